@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "profiles", "sources"]
+MODULES = ["features", "profiles", "sources", "ranked"]
 
 
 def load_all() -> None:

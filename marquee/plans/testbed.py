@@ -171,14 +171,14 @@ sales AS (
          array_to_string(list_sort(list(DISTINCT 'Studio ' || l_linenumber)), ' | ') AS studios,
          array_to_string(list_sort(list(DISTINCT l_returnflag)), ' | ') AS flags
   FROM lineitem GROUP BY l_partkey),
-pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+part_suppliers AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
 cast_lists AS (
   SELECT l_partkey, string_agg(s_name, ' | ' ORDER BY l_suppkey) AS top_cast
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS rn FROM pairs)
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS rn FROM part_suppliers)
   JOIN supplier ON s_suppkey = l_suppkey WHERE rn <= 10 GROUP BY l_partkey),
 country_lists AS (
   SELECT l_partkey, array_to_string(list_sort(list(DISTINCT n_name)), ' | ') AS production_countries
-  FROM pairs JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  FROM part_suppliers JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
   GROUP BY l_partkey),
 catalogue AS (
   SELECT p_partkey AS id,
