@@ -147,7 +147,10 @@ def grid_metrics(examples: DataFrame, models: Sequence[str], queries: DataFrame)
 
 def ranks_before_and_after(scored: DataFrame, query_key: str = "query_id") -> DataFrame:
     """Rank by similarity, and rank by the hybrid score, of every candidate."""
-    first = ranked(scored, [query_key], [F.desc("similarity_score"), F.asc("id")], "retrieval_rank")
+    first = ranked(scored, [query_key], [F.round("similarity_score", 9).desc(), F.asc("id")], "retrieval_rank")
     return ranked(
-        first, [query_key], [F.desc("hybrid_score"), F.desc("similarity_score"), F.asc("id")], "hybrid_rank"
+        first,
+        [query_key],
+        [F.round("hybrid_score", 9).desc(), F.round("similarity_score", 9).desc(), F.asc("id")],
+        "hybrid_rank",
     )

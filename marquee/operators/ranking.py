@@ -108,20 +108,21 @@ def rerank(
 
     ``rounded`` ranks by the scores after rounding to four digits, half to even,
     and keeps the retrieval order on ties; otherwise ties go to more votes.
+    Scores are compared to nine digits, which hides the noise of their sums.
     """
     scored = with_hybrid_score(pairs, norms, weights)
     if rounded:
         scored = scored.withColumns(
             {
                 "hybrid_score": F.bround("hybrid_score", 4),
-                "_retrieved": F.col("similarity_score"),
+                "_retrieved": F.round("similarity_score", 9),
                 "similarity_score": F.bround("similarity_score", 4),
             }
         )
         order = [F.desc("hybrid_score"), F.desc("similarity_score"), F.desc("_retrieved"), F.asc("id")]
     else:
         order = [
-            F.desc("hybrid_score"), F.desc("similarity_score"),
+            F.round("hybrid_score", 9).desc(), F.round("similarity_score", 9).desc(),
             F.col("vote_count").desc_nulls_last(), F.asc("id"),
         ]
     return top_per_key(scored, [query_key], order, k, "hybrid_rank").drop("_retrieved")

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from marquee.functions.vectors import unit
 from marquee.operators.blocks import BlockSizes, Order, best_matches
 
-# Similarities are compared after rounding, so that equal vectors tie exactly.
+# Similarities are ranked after rounding, so that equal vectors tie exactly.
 DIGITS = 6
-_SCHEMA = "query_id bigint, id bigint, similarity_score double, vote_count double"
-_ORDER = Order(["similarity_score", "vote_count", "id"], [False, False, True])
+_SCHEMA = "query_id bigint, id bigint, similarity_score double, similarity_key double, vote_count double"
+_COLUMNS = [field.split()[0] for field in _SCHEMA.split(", ")]
+_ORDER = Order(["similarity_key", "vote_count", "id"], [False, False, True])
 
 
 def _best_of_block(scores: np.ndarray, queries: pd.DataFrame, items: pd.DataFrame, k: int) -> list[pd.DataFrame]:
@@ -23,16 +24,13 @@ def _best_of_block(scores: np.ndarray, queries: pd.DataFrame, items: pd.DataFram
     sources = queries["source_id"].to_numpy()
     out = []
     for row, query_id, source in zip(scores, queries["query_id"], sources):
-        row = np.where(ids == source, -np.inf, np.round(row, DIGITS))
-        floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-        near = np.flatnonzero(row >= floor)
-        near = near[np.argsort(-row[near], kind="stable")][:k]
-        near = near[row[near] > -np.inf]
-        out.append(
-            pd.DataFrame(
-                {"query_id": query_id, "id": ids[near], "similarity_score": row[near], "vote_count": votes[near]}
-            )
-        )
+        key = np.where(ids == source, -np.inf, np.round(row, DIGITS))
+        floor = np.partition(key, len(key) - k)[len(key) - k] if len(key) > k else -np.inf
+        near = np.flatnonzero(key >= floor)
+        near = near[np.argsort(-key[near], kind="stable")][:k]
+        near = near[key[near] > -np.inf]
+        values = [query_id, ids[near], row[near], key[near], votes[near]]
+        out.append(pd.DataFrame(dict(zip(_COLUMNS, values))))
     return out
 
 
@@ -43,7 +41,7 @@ def _in_tie_order(items: pd.DataFrame) -> pd.DataFrame:
 def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
     if parts:
         return pd.concat(parts, ignore_index=True)
-    return pd.DataFrame({"query_id": [], "id": [], "similarity_score": [], "vote_count": []})
+    return pd.DataFrame({c: [] for c in _COLUMNS})
 
 
 def _dense_kernel(k: int, chunk: int = 256):
@@ -107,6 +105,12 @@ def _inputs(queries: DataFrame, items: DataFrame, columns: Sequence[str], within
     )
 
 
+def _found(queries, items, kernel, k, within, sizes) -> DataFrame:
+    return best_matches(
+        queries, items, kernel, _SCHEMA, _ORDER, k, within=within, sizes=sizes, rank="retrieval_rank"
+    ).drop("similarity_key")
+
+
 def nearest_dense(
     queries: DataFrame,
     items: DataFrame,
@@ -123,9 +127,7 @@ def nearest_dense(
     queries = queries.withColumn("unit", unit("vector"))
     items = items.withColumn("unit", unit("vector"))
     left, right = _inputs(queries, items, ["unit"], within)
-    return best_matches(
-        left, right, _dense_kernel(k), _SCHEMA, _ORDER, k, within=within, sizes=sizes, rank="retrieval_rank"
-    )
+    return _found(left, right, _dense_kernel(k), k, within, sizes)
 
 
 def sparse_columns(df: DataFrame, vector: str) -> DataFrame:
@@ -149,6 +151,4 @@ def nearest_sparse(
 ) -> DataFrame:
     """Exact top k by cosine of sparse vectors (``indices``, unit ``values``)."""
     left, right = _inputs(queries, items, ["indices", "values"], within)
-    return best_matches(
-        left, right, _sparse_kernel(k), _SCHEMA, _ORDER, k, within=within, sizes=sizes, rank="retrieval_rank"
-    )
+    return _found(left, right, _sparse_kernel(k), k, within, sizes)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "profiles", "sources", "ranked"]
+MODULES = ["features", "profiles", "sources", "ranked", "texts", "evaluated"]
 
 
 def load_all() -> None:

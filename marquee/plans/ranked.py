@@ -247,7 +247,8 @@ def b32(spark, sf):
 _UNIT_SQL = "vectors AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector, label AS cluster_id FROM embeddings)"
 _PAIRS_SQL = """
 pairs AS (SELECT q.id AS query_id, q.cluster_id AS query_cluster, i.id,
-  round(list_cosine_similarity(q.vector, i.vector), 6) AS similarity_score FROM vectors q, vectors i WHERE q.id <> i.id)
+  list_cosine_similarity(q.vector, i.vector) AS raw, round(list_cosine_similarity(q.vector, i.vector), 6) AS similarity_score
+  FROM vectors q, vectors i WHERE q.id <> i.id)
 """
 
 
@@ -273,7 +274,7 @@ def m8(spark, sf):
 )
 def m11(spark, sf):
     found = retrieval.nearest_dense(_all_queries(spark, sf), vectors(spark, sf), 10)
-    return found.select("query_id", "id", "similarity_score", "retrieval_rank")
+    return found.select("query_id", "id", F.round("similarity_score", 6).alias("similarity_score"), "retrieval_rank")
 
 
 @query(
@@ -284,7 +285,7 @@ def m11(spark, sf):
 )
 def m16(spark, sf):
     found = retrieval.nearest_dense(_all_queries(spark, sf), vectors(spark, sf), 10, within=["cluster_id"])
-    return found.select("query_id", "id", "similarity_score", "retrieval_rank")
+    return found.select("query_id", "id", F.round("similarity_score", 6).alias("similarity_score"), "retrieval_rank")
 
 
 def _hybrid_sql(weights, norms, pool=50, maxima=MAXIMA_SQL):
@@ -292,14 +293,14 @@ def _hybrid_sql(weights, norms, pool=50, maxima=MAXIMA_SQL):
     return prepared_sql(
         f"""SELECT query_id, id, CAST(hybrid_rank AS INTEGER) AS hybrid_rank, round(similarity_score, 6) AS similarity_score,
           round(hybrid_score, 6) AS hybrid_score FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, similarity_score DESC, vote_count DESC, id) AS hybrid_rank
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid_score, 9) DESC, round(similarity_score, 9) DESC, vote_count DESC, id) AS hybrid_rank
           FROM (SELECT query_id, id, similarity_score, vote_count, {w.similarity}::DOUBLE * similarity_score + {w.rating}::DOUBLE * {norms[0]}
             + {w.votes}::DOUBLE * {norms[1]} + {w.popularity}::DOUBLE * {norms[2]} + {w.quality}::DOUBLE * {norms[3]} AS hybrid_score
             FROM pool JOIN final USING (id), maxima)) WHERE hybrid_rank <= 10""",
         _UNIT_SQL.replace("FROM embeddings", "FROM embeddings"),
         _PAIRS_SQL.replace("WHERE q.id <> i.id", "WHERE q.id <> i.id AND i.id IN (SELECT id FROM final)"),
         maxima,
-        f"""pool AS (SELECT query_id, id, similarity_score FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id
+        f"""pool AS (SELECT query_id, id, raw AS similarity_score FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id
           ORDER BY similarity_score DESC, vote_count DESC, p.id) AS rn FROM pairs p JOIN final f ON f.id = p.id) WHERE rn <= {pool})""",
     )
 
@@ -348,14 +349,14 @@ def m14(spark, sf):
 
 
 _SERVICE_SQL = """
-pool AS (SELECT query_id, id, similarity_score FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id
+pool AS (SELECT query_id, id, raw AS similarity_score FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id
   ORDER BY similarity_score DESC, p.id) AS rn FROM pairs p) WHERE rn <= {pool}),
-scored AS (SELECT query_id, id, similarity_score AS retrieved, round(similarity_score, 4) AS similarity_score,
+service_scores AS (SELECT query_id, id, round(similarity_score, 9) AS retrieved, round(similarity_score, 4) AS similarity_score,
   round(0.7::DOUBLE * similarity_score + 0.1::DOUBLE * (vote_average / a) + 0.08::DOUBLE * (vote_count / b)
     + 0.07::DOUBLE * (popularity / c) + 0.05::DOUBLE * (recommendation_quality_score / d), 4) AS hybrid_score
   FROM pool JOIN final USING (id), maxima),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, similarity_score DESC, retrieved DESC, id) AS rn
-  FROM scored)
+  FROM service_scores)
 """
 
 
