@@ -47,6 +47,16 @@ def mean(c: Name, digits: int = 4) -> Column:
     return F.round(F.avg(as_column(c)), digits)
 
 
+def half_even_text(c: Name, digits: int) -> Column:
+    """A number below 1000 with fixed digits, rounded half to even on its exact binary value."""
+    return F.format_number(as_column(c), digits)
+
+
+def half_even(c: Name, digits: int) -> Column:
+    """Rounding as Python's ``round`` does it; ``bround`` works on the decimal text instead."""
+    return half_even_text(c, digits).try_cast("double")
+
+
 def ratio(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(part * 100.0 / whole, digits)
 

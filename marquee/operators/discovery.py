@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import text
+from marquee.functions.columns import half_even, text
 from marquee.operators.blocks import BlockSizes, Order, best_matches
 from marquee.operators.intents import BOUND_FIELDS, filter_reason, has_filters, language_code
 from marquee.operators.ranking import DISCOVERY_WEIGHTS, best_by_score, metadata_score
@@ -132,5 +132,5 @@ def discover(
     found = best_matches(asked, items, _kernel(limit), _SCHEMA, _ORDER, limit, sizes=sizes)
     reasons = requests.select(F.col("query_id").cast("bigint"), filter_reason(intent).alias("reason"))
     return found.join(reasons, "query_id").select(
-        "query_id", "rank", "id", F.bround("score", 4).alias("score"), "reason"
+        "query_id", "rank", "id", half_even("score", 4).alias("score"), "reason"
     )

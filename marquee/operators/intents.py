@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import Name, as_column
+from marquee.functions.columns import Name, as_column, half_even_text
 from marquee.functions.strings import contains_any, normalise_title
 
 # Language names and their codes.
@@ -63,9 +63,15 @@ def language_code(value: Column) -> Column:
 
 
 def _mentioned(message: Column, words: dict[str, str]) -> Column:
-    """Sorted distinct meanings of the words that stand in the message as whole words."""
-    hits = [F.when(message.rlike(rf"(?U)\b{w}\b"), F.lit(v)) for w, v in words.items()]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+    """Sorted distinct meanings of the words that stand in the message as whole words.
+
+    One pattern holds all words, longer ones first. A word inside a longer one
+    has the same meaning, so finding only the longer one loses nothing.
+    """
+    pattern = "|".join(sorted(words, key=len, reverse=True))
+    found = F.regexp_extract_all(message, F.lit(rf"(?U)\b(?:{pattern})\b"), F.lit(0))
+    meanings = _alias_map(words)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.try_element_at(meanings, w))))
 
 
 def _captured(message: Column, pattern: str, kind: str) -> Column:
@@ -76,26 +82,34 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def parse_intent(message: Name) -> Column:
-    """Intent struct of a message by patterns, NULL when no filter is found."""
-    text = normalise_title(message)
-    intent = F.struct(
-        F.lit(None).cast("string").alias("reference_title"),
-        _mentioned(text, GENRE_WORDS).alias("preferred_genres"),
-        empty_strings().alias("actors"),
-        empty_strings().alias("directors"),
-        empty_strings().alias("keywords"),
-        _mentioned(text, LANGUAGE_CODES).alias("original_languages"),
-        _captured(text, MIN_RATING_PATTERN, "double").alias("min_rating"),
-        F.lit(None).cast("double").alias("max_rating"),
-        _captured(text, YEAR_FROM_PATTERN, "int").alias("release_year_from"),
-        _captured(text, YEAR_TO_PATTERN, "int").alias("release_year_to"),
-        _captured(text, MIN_RUNTIME_PATTERN, "int").alias("min_runtime"),
-        _captured(text, MAX_RUNTIME_PATTERN, "int").alias("max_runtime"),
-        F.lit(False).alias("clarification_needed"),
-        F.lit(None).cast("string").alias("clarification_question"),
+def with_intent(df: DataFrame, message: str = "message", name: str = "intent") -> DataFrame:
+    """Add the intent that the patterns find in a message, NULL when no filter is found.
+
+    The steps are separate projections, so that no pattern runs twice per row.
+    """
+    text = F.col("_text")
+    steps = df.withColumn("_text", normalise_title(message)).withColumns(
+        {
+            "_genres": _mentioned(text, GENRE_WORDS),
+            "_languages": _mentioned(text, LANGUAGE_CODES),
+            "_rating": _captured(text, MIN_RATING_PATTERN, "double"),
+            "_from": _captured(text, YEAR_FROM_PATTERN, "int"),
+            "_to": _captured(text, YEAR_TO_PATTERN, "int"),
+            "_min": _captured(text, MIN_RUNTIME_PATTERN, "int"),
+            "_max": _captured(text, MAX_RUNTIME_PATTERN, "int"),
+        }
+    )
+    intent = intent_of(
+        preferred_genres=F.col("_genres"),
+        original_languages=F.col("_languages"),
+        min_rating=F.col("_rating"),
+        release_year_from=F.col("_from"),
+        release_year_to=F.col("_to"),
+        min_runtime=F.col("_min"),
+        max_runtime=F.col("_max"),
     )
-    return F.when(has_filters(intent), intent)
+    helpers = ["_text", "_genres", "_languages", "_rating", "_from", "_to", "_min", "_max"]
+    return steps.withColumn(name, F.when(has_filters(intent), intent)).drop(*helpers)
 
 
 def intent_of(**fields: Column) -> Column:
@@ -271,7 +285,7 @@ def metadata_answer(message: Column, movie: dict[str, Column], rating_label: str
             about("rating"),
             known(
                 movie["vote_average"],
-                say(f"{rating_label} ", title, " adalah ", F.format_string("%.1f", movie["vote_average"]), "/10."),
+                say(f"{rating_label} ", title, " adalah ", half_even_text(movie["vote_average"], 1), "/10."),
                 F.lit("Data rating belum tersedia."),
             ),
         )

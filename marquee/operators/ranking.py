@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marquee.functions.columns import half_even
 from marquee.operators.dedupe import top_per_key
 
 
@@ -114,9 +115,9 @@ def rerank(
     if rounded:
         scored = scored.withColumns(
             {
-                "hybrid_score": F.bround("hybrid_score", 4),
+                "hybrid_score": half_even("hybrid_score", 4),
                 "_retrieved": F.round("similarity_score", 9),
-                "similarity_score": F.bround("similarity_score", 4),
+                "similarity_score": half_even("similarity_score", 4),
             }
         )
         order = [F.desc("hybrid_score"), F.desc("similarity_score"), F.desc("_retrieved"), F.asc("id")]
@@ -156,7 +157,7 @@ def catalogue_ranking(movies: DataFrame, n: int = 12) -> DataFrame:
     return best_by_score(scored, "_score", n).select(
         *movies.columns,
         F.lit(0.0).alias("similarity_score"),
-        F.bround("_score", 4).alias("hybrid_score"),
+        half_even("_score", 4).alias("hybrid_score"),
         F.lit(CATALOGUE_REASON).alias("reason"),
         F.lit("discovery").alias("score_type"),
     )

@@ -8,7 +8,7 @@ from marquee.functions.columns import union_all
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import top_per_key
 from marquee.operators.discovery import discover
-from marquee.operators.intents import extract_title, has_filters, parse_intent, passes_filters
+from marquee.operators.intents import extract_title, has_filters, passes_filters, with_intent
 from marquee.operators.ranking import (
     CANDIDATE_POOL,
     SERVICE_WEIGHTS,
@@ -18,6 +18,7 @@ from marquee.operators.ranking import (
 )
 from marquee.operators.retrieval import nearest_dense
 from marquee.operators.titles import resolve_with_status, search_titles
+from marquee.session import cut_lineage
 
 # Answer texts and the ranking notes of the analysis record.
 CLARIFY = "Sebutkan satu judul film yang kamu suka agar rekomendasinya lebih tepat."
@@ -85,10 +86,9 @@ def routed(requests: DataFrame) -> DataFrame:
 
     ``intent`` may be given by another interpreter; the patterns fill the rest.
     """
-    if "intent" in requests.columns:
-        parsed = requests.withColumn("intent", F.coalesce("intent", parse_intent("message")))
-    else:
-        parsed = requests.withColumn("intent", parse_intent("message"))
+    parsed = with_intent(requests, name="_parsed")
+    given = F.coalesce("intent", "_parsed") if "intent" in requests.columns else F.col("_parsed")
+    parsed = parsed.withColumn("intent", given).drop("_parsed")
     intent = F.col("intent")
     named = F.coalesce(F.nullif(intent["reference_title"], F.lit("")), F.lit("")) != ""
     filtered = has_filters(intent)
@@ -143,13 +143,15 @@ def answer(
 
     Returns query_id, mode, status, answer, source_id, candidates,
     recommendations and analysis. A request holds at most ``max_k`` results.
+    The small result tables between the steps are written to the checkpoint
+    folder, since several later steps read each of them.
     """
-    asked = routed(requests.withColumn("query_id", F.col("query_id").cast("bigint")))
+    asked = cut_lineage(routed(requests.withColumn("query_id", F.col("query_id").cast("bigint"))))
     base = asked.withColumn("analysis", analysis(F.col("top_k")))
     wanted = asked.select("query_id", F.least("top_k", F.lit(max_k)).alias("top_k"))
 
     discovery = base.filter(F.col("mode") == "discovery")
-    listed = _results(discover(discovery, movies, max_k, sizes), wanted, "score")
+    listed = cut_lineage(_results(discover(discovery, movies, max_k, sizes), wanted, "score"))
     discovered = discovery.join(listed, "query_id", "left").select(
         "query_id", "mode",
         F.when(F.col("recommendations").isNotNull(), "recommendations").otherwise("not_found").alias("status"),
@@ -163,8 +165,8 @@ def answer(
     )
 
     similarity = base.filter(F.col("mode") == "similarity")
-    resolved = resolve_with_status(
-        similarity.select("query_id", F.col("title").alias("query")), movies, sizes
+    resolved = cut_lineage(
+        resolve_with_status(similarity.select("query_id", F.col("title").alias("query")), movies, sizes)
     )
     known = vectors.join(movies.select("id", F.col("title").alias("source_title")), "id")
     sources = resolved.filter(F.col("status") == "resolved").select("query_id", "source_id")

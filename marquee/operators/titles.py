@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from marquee.functions.strings import normalise_title
 from marquee.operators.blocks import BlockSizes, Order, best_matches
 from marquee.operators.dedupe import top_per_key
+from marquee.session import cut_lineage
 
 # The fuzzy thresholds and list lengths.
 FUZZY_RATIO = 0.74
@@ -168,7 +169,7 @@ def resolve_with_status(queries: DataFrame, movies: DataFrame, sizes: BlockSizes
     )
     exact = asked.join(per_title, "wanted", "left").withColumn("unique", F.coalesce(F.col("equal") == 1, F.lit(False)))
     open_queries = exact.filter(~F.col("unique")).select("query_id", "query")
-    contained = _listed(search_titles(open_queries, movies, CONTAINS_LIMIT, sizes), "contained")
+    contained = cut_lineage(_listed(search_titles(open_queries, movies, CONTAINS_LIMIT, sizes), "contained"))
     similar = fuzzy_titles(open_queries.join(contained, "query_id", "left_anti"), movies, FUZZY_LIMIT, sizes)
     similar = _listed(similar, "similar", F.max("ratio").alias("best_ratio"))
     merged = exact.join(contained, "query_id", "left").join(similar, "query_id", "left")

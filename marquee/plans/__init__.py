@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "profiles", "sources", "ranked", "texts", "evaluated"]
+MODULES = ["features", "profiles", "sources", "ranked", "texts", "evaluated", "conversed"]
 
 
 def load_all() -> None:
