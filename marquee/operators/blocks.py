@@ -37,9 +37,15 @@ class Order:
             for c, up in zip(self.columns, self.ascending)
         ]
 
+    def without(self, *columns: str) -> Order:
+        kept = [(c, up) for c, up in zip(self.columns, self.ascending) if c not in columns]
+        return Order([c for c, _ in kept], [up for _, up in kept])
+
+    def sorted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(list(self.columns), ascending=list(self.ascending), kind="stable")
+
     def cut(self, found: pd.DataFrame, key: str, k: int) -> pd.DataFrame:
-        ordered = found.sort_values(list(self.columns), ascending=list(self.ascending), kind="stable")
-        return ordered.groupby(key, sort=False).head(k)
+        return self.sorted(found).groupby(key, sort=False).head(k)
 
 
 @dataclass(frozen=True)
@@ -135,8 +141,10 @@ def _gridded(queries, items, kernel, schema, order, k, query_key, item_key, with
 
     left = left.withColumn("_qb", own(query_key, "_qn")).withColumn("_ib", every("_in"))
     right = right.withColumn("_ib", own(item_key, "_in")).withColumn("_qb", every("_qn"))
+    # Both sides may descend from one table: fresh columns keep them apart.
+    left, right = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (left, right))
     keys = [*within, "_qb", "_ib"]
-    empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+    empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")}, dtype=object)
 
     def run(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(i):

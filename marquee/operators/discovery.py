@@ -27,6 +27,7 @@ _BOUNDS = {
 }
 _ORDER = Order(["score", "vote_count", "vote_average", "id"], [False, False, False, True])
 _SCHEMA = "query_id bigint, id bigint, score double, vote_count double, vote_average double"
+_COLUMNS = [field.split()[0] for field in _SCHEMA.split(", ")]
 
 
 def _terms(intent: Column, field: str) -> Column:
@@ -72,7 +73,10 @@ def discover_one(movies: DataFrame, intent: Column, limit: int = 10) -> DataFram
 
 
 def _kernel(k: int):
+    """First k movies that pass; the score does not depend on the request, so one sort serves all."""
+
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        items = _ORDER.sorted(items)
         arrays = {c: pa.array(items[c], type=pa.string()) for cs in _SEARCHED.values() for c in cs}
         hits: dict[tuple[str, str], np.ndarray] = {}
 
@@ -83,6 +87,7 @@ def _kernel(k: int):
 
         numbers = {c: items[c].to_numpy(dtype=float) for c in ("vote_average", "release_year", "runtime")}
         languages = items["original_language"]
+        shown = items[list(_ORDER.columns)]
         parts = []
         for q in queries.itertuples(index=False):
             mask = np.ones(len(items), dtype=bool)
@@ -96,9 +101,9 @@ def _kernel(k: int):
                 bound = getattr(q, field)
                 if not np.isnan(bound):
                     mask &= numbers[c] >= bound if sign == ">=" else numbers[c] <= bound
-            found = items.loc[mask, ["id", "score", "vote_count", "vote_average"]].assign(query_id=q.query_id)
-            parts.append(_ORDER.cut(found, "query_id", k))
-        return pd.concat(parts, ignore_index=True)[["query_id", "id", "score", "vote_count", "vote_average"]]
+            place = np.flatnonzero(mask)[:k]
+            parts.append(shown.iloc[place].assign(query_id=q.query_id))
+        return pd.concat(parts, ignore_index=True)[_COLUMNS]
 
     return kernel
 

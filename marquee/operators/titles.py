@@ -24,38 +24,42 @@ CONTAINS_LIMIT = 8
 FUZZY_LIMIT = 5
 
 
-def _contains_kernel(columns: Sequence[str], order: Order, k: int, exact_first: bool):
+def _contains_kernel(columns: Sequence[str], own: Order, k: int, exact_first: bool):
+    """First k titles that hold the query; the block is sorted once for all queries."""
+
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        items = own.sorted(items)
         keys = pa.array(items["key"])
         parts = []
         for query_id, wanted in zip(queries["query_id"], queries["wanted"]):
             hit = pc.match_substring(keys, wanted).to_numpy(zero_copy_only=False)
-            found = items.loc[hit, [c for c in columns if c not in ("query_id", "tier")]]
-            found = found.assign(
-                query_id=query_id,
-                tier=(items.loc[hit, "key"] != wanted).astype("int32") if exact_first else np.int32(0),
-            )
-            parts.append(order.cut(found, "query_id", k))
-        return pd.concat(parts, ignore_index=True)[list(columns)]
+            if exact_first:
+                equal = pc.equal(keys, wanted).to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(equal)[:k]
+                place = np.r_[first, np.flatnonzero(hit & ~equal)[: k - len(first)]]
+                tier = (np.arange(len(place)) >= len(first)).astype("int32")
+            else:
+                place, tier = np.flatnonzero(hit)[:k], np.int32(0)
+            parts.append(items.iloc[place].assign(query_id=query_id, tier=tier)[list(columns)])
+        return pd.concat(parts, ignore_index=True)
 
     return kernel
 
 
 def _search(queries, movies, key, order, k, sizes, exact_first=False) -> DataFrame:
-    """Titles containing the query; rows of one title are cut to k before the search."""
-    keyed = movies.withColumn("key", key).filter(F.col("key").isNotNull())
+    """The k first movies of each query whose title holds it.
+
+    The catalogue is scanned, not shuffled: a title that a third of all rows
+    share adds at most k rows per query and task.
+    """
     kinds = dict(movies.dtypes)
-    own = Order([c for c in order.columns if c != "tier"], [u for c, u in zip(order.columns, order.ascending) if c != "tier"])
+    own = order.without("tier")
     needed = list(dict.fromkeys(["id", *own.columns]))
-    few = top_per_key(keyed, ["key"], own.spark(), k, "_n").select(*needed, "key")
-    asked = queries.filter(F.col("wanted") != "").select("query_id", "wanted")
+    items = movies.select(*needed, key.alias("key")).filter(F.col("key").isNotNull())
+    asked = queries.filter(F.col("wanted") != "").select(F.col("query_id").cast("bigint"), "wanted")
     columns = ["query_id", *needed, "tier"]
-    schema = ", ".join(
-        ["query_id bigint", *(f"{c} {kinds[c]}" for c in needed), "tier int"]
-    )
-    return best_matches(
-        asked, few, _contains_kernel(columns, order, k, exact_first), schema, order, k, sizes=sizes
-    )
+    schema = ", ".join(["query_id bigint", *(f"{c} {kinds[c]}" for c in needed), "tier int"])
+    return best_matches(asked, items, _contains_kernel(columns, own, k, exact_first), schema, order, k, sizes=sizes)
 
 
 def search_titles(queries: DataFrame, movies: DataFrame, limit: int = 10, sizes: BlockSizes = BlockSizes()) -> DataFrame:
@@ -128,8 +132,9 @@ def _fuzzy_kernel(order: Order, k: int):
 def fuzzy_titles(queries: DataFrame, movies: DataFrame, limit: int = FUZZY_LIMIT, sizes: BlockSizes = BlockSizes()) -> DataFrame:
     """Movies whose normalised title resembles the query, most similar first.
 
-    Queries only meet titles of a length that can reach the threshold: the
-    length is an equality column of the block search.
+    Equal titles are cut to the limit first, so that each distinct title is
+    compared once. Queries only meet titles of a length that can reach the
+    threshold: the length is an equality column of the block search.
     """
     order = Order(["ratio", "vote_count", "vote_average", "id"], [False, False, False, True])
     keyed = movies.select(
@@ -138,8 +143,7 @@ def fuzzy_titles(queries: DataFrame, movies: DataFrame, limit: int = FUZZY_LIMIT
         F.col("vote_average").cast("double").alias("vote_average"),
         normalise_title("title").alias("key"),
     )
-    own = Order(order.columns[1:], order.ascending[1:])
-    few = top_per_key(keyed, ["key"], own.spark(), limit, "_n").drop("_n")
+    few = top_per_key(keyed, ["key"], order.without("ratio").spark(), limit, "_n").drop("_n")
     few = few.withColumn("length", F.length("key"))
     size = F.length("wanted")
     shortest = F.ceil(size * FUZZY_RATIO / (2 - FUZZY_RATIO)).cast("int")
@@ -147,7 +151,7 @@ def fuzzy_titles(queries: DataFrame, movies: DataFrame, limit: int = FUZZY_LIMIT
     asked = (
         queries.withColumn("wanted", normalise_title("query"))
         .filter(size >= FUZZY_MIN_LENGTH)
-        .select("query_id", "wanted", F.explode(F.sequence(shortest, longest)).alias("length"))
+        .select(F.col("query_id").cast("bigint"), "wanted", F.explode(F.sequence(shortest, longest)).alias("length"))
     )
     schema = "query_id bigint, id bigint, ratio double, vote_count double, vote_average double"
     return best_matches(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from marquee.functions.columns import has_text, number, present
-from marquee.operators.dedupe import first_per_key
+from marquee.operators.dedupe import first_batch
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, **options) -> DataFrame:
@@ -44,30 +44,28 @@ def model_input(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """All batch files of a folder as one frame with the name of its file.
 
     Malformed rows and unreadable files are skipped, empty files add no rows.
-    The file name, and the position of the row in it, give the batch order.
-    Batch files keep one record per line, so large files split into tasks.
+    The file name, and the position of the row in it, give the batch order: a
+    file is read by one task, in order. Batch files hold a bounded number of
+    rows, so reading each whole (values may hold line ends) stays small.
     """
-    reader = spark.read.schema(schema).options(
-        header=True, quote='"', escape='"', mode="DROPMALFORMED", ignoreCorruptFiles=True
-    )
-    return reader.csv(path).select(
+    batches = read_csv(spark, path, schema, mode="DROPMALFORMED", ignoreCorruptFiles=True)
+    return batches.select(
         "*",
         F.col("_metadata.file_name").alias("batch_file"),
-        F.col("_metadata.file_block_start").alias("batch_block"),
         F.monotonically_increasing_id().alias("batch_row"),
     )
 
 
-BATCH_ORDER = ["batch_file", "batch_block", "batch_row"]
+BATCH_ORDER = ["batch_file", "batch_row"]
 
 
 def combine_batches(batches: DataFrame) -> DataFrame:
     """First row per id over all batches in file order, dates parsed."""
-    first = first_per_key(batches, ["id"], [F.col(c).asc() for c in BATCH_ORDER])
+    first = first_batch(batches, BATCH_ORDER)
     return first.drop(*BATCH_ORDER).withColumn(
         "release_date", F.col("release_date").try_cast("date")
     )
