@@ -28,10 +28,12 @@ _PIPE_OR_COMMA = r"\s*\|\s*|\s*,\s*"
 
 
 def clean(c: Name) -> Column:
-    """Lower-case ASCII text: only a-z, 0-9, '-', '|' and single spaces are left."""
-    kept = F.regexp_replace(F.lower(as_column(c)), r"[^a-z0-9\s|\-]", " ")
-    single = F.regexp_replace(kept, r"\s+", " ")
-    return F.trim(F.regexp_replace(single, _PIPE, ITEM_SEPARATOR))
+    """Lower-case ASCII text: only a-z, 0-9, '-', '|' and single spaces are left.
+
+    Every run of other characters, white space included, becomes one space.
+    """
+    kept = F.regexp_replace(F.lower(as_column(c)), r"[^a-z0-9|\-]+", " ")
+    return F.trim(F.regexp_replace(kept, r" ?\| ?", ITEM_SEPARATOR))
 
 
 def normalise_title(c: Name) -> Column:

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover, Word2Vec
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizer,
+    CountVectorizerModel,
+    RegexTokenizer,
+    StopWordsRemover,
+    Word2Vec,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -65,12 +72,29 @@ def tfidf_weights(counts: DataFrame, documents: DataFrame, size: int, min_df: fl
 # -- ML stages ---------------------------------------------------------------------------------------
 
 
-def text_pipeline(size: int, min_df: float, idf: bool, document: str = "movie_document") -> Pipeline:
-    """Tokenise, drop stop words, count, and weigh when ``idf`` is set."""
+def chosen_words(prepared: DataFrame, size: int, min_df: float, tokens_column: str = "tokens") -> list[str]:
+    """The vocabulary in order of frequency, ties by name, so that a cut at ``size`` is reproducible.
+
+    At most ``size`` words come to the driver, as they do in any count model.
+    """
+    counts = term_counts(prepared.select("id", tokens_column), name=tokens_column)
+    return [r["term"] for r in vocabulary(counts, size, min_df).select("term").collect()]
+
+
+def text_pipeline(
+    size: int, min_df: float, idf: bool, document: str = "movie_document", words: list[str] | None = None
+) -> Pipeline:
+    """Tokenise, drop stop words, count, and weigh when ``idf`` is set.
+
+    Given ``words``, the count stage uses them instead of fitting its own.
+    """
+    counting = dict(inputCol="filtered", outputCol="counts")
     stages = [
         RegexTokenizer(inputCol=document, outputCol="words", pattern=r"\W+", minTokenLength=2),
         StopWordsRemover(inputCol="words", outputCol="filtered", stopWords=STOP_WORDS),
-        CountVectorizer(inputCol="filtered", outputCol="counts", vocabSize=size, minDF=min_df),
+        CountVectorizerModel.from_vocabulary(words, **counting)
+        if words
+        else CountVectorizer(vocabSize=size, minDF=min_df, **counting),
     ]
     if idf:
         stages.append(IDF(inputCol="counts", outputCol="tfidf"))
@@ -79,7 +103,8 @@ def text_pipeline(size: int, min_df: float, idf: bool, document: str = "movie_do
 
 def text_features(df: DataFrame, size: int, min_df: float, document: str = "movie_document") -> tuple[PipelineModel, DataFrame]:
     """Fit the count and TF-IDF stages and add ``counts`` and ``tfidf`` vectors."""
-    model = text_pipeline(size, min_df, True, document).fit(df)
+    words = chosen_words(with_tokens(df, document), size, min_df)
+    model = text_pipeline(size, min_df, True, document, words).fit(df)
     return model, model.transform(df)
 
 

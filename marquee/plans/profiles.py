@@ -191,8 +191,8 @@ _entity_count("g9_top_countries", "production_countries", "production_country",
 _entity_count("g9_top_companies", "production_companies", "production_company", 25)
 _entity_count("g9_top_keywords", "keywords", "keyword", 50, fold=True)
 
-_STATS = """count(DISTINCT id) AS movie_count, round(avg(vote_average), 4) AS avg_vote_average,
-  round(avg(vote_count), 4) AS avg_vote_count, round(avg(popularity), 4) AS avg_popularity"""
+_STATS = """count(DISTINCT id) AS movie_count, round(avg(vote_average), 6) AS avg_vote_average,
+  round(avg(vote_count), 6) AS avg_vote_count, round(avg(popularity), 6) AS avg_popularity"""
 _STAT_COLUMNS = ("id", "vote_average", "vote_count", "popularity")
 
 
@@ -206,7 +206,7 @@ def _entity_statistics(name, source, item, n=30, at_least=1, by="movie_count", c
     @query(name, oracle)
     def run(spark, sf):
         movies = catalogue(spark, sf, *_STAT_COLUMNS, source)
-        stats = pf.entity_statistics(movies, source, item, at_least, commas)
+        stats = pf.entity_statistics(movies, source, item, at_least, commas, digits=6)
         return stats.orderBy(F.desc(by), item).limit(n)
 
     return run
@@ -227,7 +227,7 @@ _entity_statistics(
 )
 def g11_language(spark, sf):
     movies = catalogue(spark, sf, *_STAT_COLUMNS, "original_language")
-    return pf.group_statistics(movies, "original_language", 100)
+    return pf.group_statistics(movies, "original_language", 100, digits=6)
 
 
 @query(

@@ -39,11 +39,14 @@ def vectors(spark, sf) -> DataFrame:
 
 
 def title_queries(spark, sf) -> DataFrame:
-    """Every distinct part name as a title query."""
-    return table(spark, sf, "part").groupBy(F.col("p_name").alias("query")).agg(F.min("p_partkey").alias("query_id"))
+    """The name of every movie, without what tells namesakes apart, as a title query."""
+    name = F.split("original_title", r" \(")[0]
+    return movies(spark, sf).groupBy(name.alias("query")).agg(F.min("id").alias("query_id"))
 
 
-TITLE_QUERIES_SQL = "title_queries AS (SELECT p_name AS query, min(p_partkey) AS query_id FROM part GROUP BY 1)"
+TITLE_QUERIES_SQL = """
+title_queries AS (SELECT split_part(original_title, ' (', 1) AS query, min(id) AS query_id FROM final GROUP BY 1)
+"""
 
 
 def _grouped_parts(spark, sf) -> DataFrame:

@@ -85,7 +85,8 @@ def m3(spark, sf):
 def m3_bag(spark, sf):
     """The ML count vectors, unfolded to (id, term, tf)."""
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("movie_document"))
-    model = tm.text_pipeline(*tm.COMPARISON_VOCABULARY, idf=False).fit(documents)
+    words = tm.chosen_words(tm.with_tokens(documents), *tm.COMPARISON_VOCABULARY)
+    model = tm.text_pipeline(*tm.COMPARISON_VOCABULARY, idf=False, words=words).fit(documents)
     return _unfolded(model.transform(documents), "counts", model.stages[2].vocabulary, "tf").withColumn(
         "tf", F.col("tf").cast("bigint")
     )
