@@ -30,10 +30,11 @@ _PIPE_OR_COMMA = r"\s*\|\s*|\s*,\s*"
 def clean(c: Name) -> Column:
     """Lower-case ASCII text: only a-z, 0-9, '-', '|' and single spaces are left.
 
-    Every run of other characters, white space included, becomes one space.
+    The runs of kept characters are taken out and joined, which the JVM does
+    several times faster than replacing what lies between them.
     """
-    kept = F.regexp_replace(F.lower(as_column(c)), r"[^a-z0-9|\-]+", " ")
-    return F.trim(F.regexp_replace(kept, r" ?\| ?", ITEM_SEPARATOR))
+    runs = F.regexp_extract_all(F.lower(as_column(c)), F.lit(r"[a-z0-9|\-]+"), F.lit(0))
+    return F.trim(F.regexp_replace(F.array_join(runs, " "), r" ?\| ?", ITEM_SEPARATOR))
 
 
 def normalise_title(c: Name) -> Column:

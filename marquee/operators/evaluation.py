@@ -69,7 +69,7 @@ def evaluate_sparse(
 ) -> DataFrame:
     """Top k per query by sparse cosine, ties to more votes.
 
-    ``features``: id, indices, values (unit length), vote_count.
+    ``features``: id, indices, values, vote_count.
     """
     sources = resolved_sources(queries, movies, sizes)
     asked = sources.select("query_id", "source_id").join(

@@ -337,17 +337,22 @@ def with_quality_score(df: DataFrame) -> DataFrame:
 
 
 def with_documents(df: DataFrame) -> DataFrame:
+    """List texts, the three documents and the length of the weighted one.
+
+    The documents are made by a one-row generator. A filter on them then stays
+    above it; pushed below, it would clean every text a second time.
+    """
     texts = {
         name: join_items(c, " ") if c in df.columns else F.lit("") for name, c in LIST_TEXTS.items()
     }
-    df = df.withColumns(texts)
-    documents = {
-        name: F.trim(F.concat_ws(" ", *(F.col(c) for c in fields)))
-        for name, fields in DOCUMENT_FIELDS.items()
-    }
-    return df.withColumns(documents).withColumn(
-        "movie_document_length", F.length("movie_document_weighted")
+    documents = F.struct(
+        *(
+            F.trim(F.concat_ws(" ", *(F.col(c) for c in fields))).alias(name)
+            for name, fields in DOCUMENT_FIELDS.items()
+        )
     )
+    made = df.withColumns(texts).select("*", F.inline(F.array(documents)))
+    return made.withColumn("movie_document_length", F.length("movie_document_weighted"))
 
 
 def preprocess(df: DataFrame, fix_genre_flag: bool = False) -> DataFrame:

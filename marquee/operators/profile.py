@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.columns import as_column, flag, long_table, mean, number, present, ratio
@@ -73,8 +76,9 @@ def global_profile(df: DataFrame) -> DataFrame:
 def is_missing(c: str, kind: str) -> Column:
     if kind != "string":
         return F.col(c).isNull()
-    word = F.lower(F.trim(F.col(c)))
-    return F.coalesce((word == "") | word.isin(MISSING_WORDS), F.lit(True))
+    word = F.trim(F.col(c))
+    short = F.length(word) <= max(map(len, MISSING_WORDS))
+    return F.coalesce((word == "") | (short & F.lower(word).isin(MISSING_WORDS)), F.lit(True))
 
 
 def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -151,38 +155,49 @@ def quantiles(
     return _rows(stats, cells)
 
 
-def correlations(
-    df: DataFrame, columns: Sequence[str] = CORRELATED_COLUMNS, nulls_as_zero: bool = True,
-    digits: int = 6,
+def correlations(df: DataFrame, columns: Sequence[str] = CORRELATED_COLUMNS, digits: int = 6) -> DataFrame:
+    """Pearson matrix as (column_a, column_b, correlation), NULL read as 0.
+
+    One pass for all pairs; a constant column has no correlation (NULL). Reading
+    NULL as 0 is what ``DataFrameStatFunctions.corr`` does.
+    """
+    names = present(df, columns)
+    filled = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
+    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(filled).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    cells = [
+        (a, b, None if math.isnan(matrix[i, j]) else round(float(matrix[i, j]), digits))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+    ]
+    return df.sparkSession.createDataFrame(cells, "column_a string, column_b string, correlation double")
+
+
+def correlations_of_known_pairs(
+    df: DataFrame, columns: Sequence[str] = CORRELATED_COLUMNS, digits: int = 6
 ) -> DataFrame:
-    """Pearson matrix as (column_a, column_b, correlation).
+    """Pearson matrix over the rows where both columns are known, in one aggregation.
 
-    ``nulls_as_zero`` reads NULL as 0, as ``DataFrameStatFunctions.corr`` does;
-    otherwise a pair with a NULL is left out. Each unordered pair is aggregated
-    once and mirrored afterwards. A constant column has no correlation (NULL).
+    Each unordered pair is aggregated once and mirrored afterwards.
     """
     names = present(df, columns)
     pairs = list(combinations_with_replacement(names, 2))
 
     def pearson(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        if nulls_as_zero:
-            x, y = F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))
-        else:
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
+        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
     stats = df.agg(*(pearson(a, b).alias(f"{a}__{b}") for a, b in pairs))
-    cells = []
-    for a, b in pairs:
-        for x, y in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(
-                    F.lit(x).alias("column_a"),
-                    F.lit(y).alias("column_b"),
-                    F.round(f"{a}__{b}", digits).alias("correlation"),
-                )
-            )
+    cells = [
+        F.struct(
+            F.lit(x).alias("column_a"),
+            F.lit(y).alias("column_b"),
+            F.round(f"{a}__{b}", digits).alias("correlation"),
+        )
+        for a, b in pairs
+        for x, y in {(a, b), (b, a)}
+    ]
     return _rows(stats, cells)
 
 

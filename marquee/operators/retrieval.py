@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from marquee.functions.vectors import unit
 from marquee.operators.blocks import BlockSizes, Order, best_matches
 
 # Similarities are ranked after rounding, so that equal vectors tie exactly.
@@ -44,39 +43,50 @@ def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
     return pd.DataFrame({c: [] for c in _COLUMNS})
 
 
+def _scaled(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Values over sizes; where the size is zero the values stay zero."""
+    return np.divide(values, sizes, out=np.zeros_like(values), where=sizes > 0)
+
+
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    table = np.stack(vectors.to_numpy()).astype(float)
+    return _scaled(table, np.linalg.norm(table, axis=1, keepdims=True))
+
+
 def _dense_kernel(k: int, chunk: int = 256):
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         items = _in_tie_order(items)
-        table = np.stack(items["unit"].to_numpy())
+        table = _unit_rows(items["vector"])
         parts: list[pd.DataFrame] = []
         for start in range(0, len(queries), chunk):
             block = queries.iloc[start : start + chunk]
-            scores = np.stack(block["unit"].to_numpy()) @ table.T
+            scores = _unit_rows(block["vector"]) @ table.T
             parts += _best_of_block(scores, block, items, k)
         return _joined(parts)
 
     return kernel
 
 
-def _ragged(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of arrays as one flat array and the row of each entry."""
-    lengths = values.map(len).to_numpy()
-    flat = np.concatenate(values.to_numpy()) if len(values) else np.empty(0)
-    return flat, np.repeat(np.arange(len(values)), lengths)
+def _sparse_rows(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries of a block as (term, row, weight), the weights of a row scaled to length one."""
+    lengths = block["indices"].map(len).to_numpy()
+    terms = np.concatenate(block["indices"].to_numpy())
+    weights = np.concatenate(block["values"].to_numpy()).astype(float)
+    row = np.repeat(np.arange(len(block)), lengths)
+    sizes = np.sqrt(np.bincount(row, weights * weights, minlength=len(block)))
+    return terms.astype(np.int64), row, _scaled(weights, sizes[row])
 
 
 def _sparse_kernel(k: int, cells: int = 4_000_000):
-    """Cosine of sparse unit vectors: only terms that some query holds are touched."""
+    """Cosine of sparse vectors: only terms that some query holds are touched."""
 
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         items = _in_tie_order(items)
-        terms, item_row = _ragged(items["indices"])
-        weights, _ = _ragged(items["values"])
+        terms, item_row, weights = _sparse_rows(items)
         parts: list[pd.DataFrame] = []
         for start in range(0, len(queries), 128):
             block = queries.iloc[start : start + 128]
-            q_terms, q_row = _ragged(block["indices"])
-            q_weights, _ = _ragged(block["values"])
+            q_terms, q_row, q_weights = _sparse_rows(block)
             known = np.unique(q_terms)
             table = np.zeros((len(known), len(block)))
             table[np.searchsorted(known, q_terms), q_row] = q_weights
@@ -124,22 +134,14 @@ def nearest_dense(
     ``items``: id, vector, vote_count (tie-break; optional).
     ``within``: columns that must be equal, such as the cluster.
     """
-    queries = queries.withColumn("unit", unit("vector"))
-    items = items.withColumn("unit", unit("vector"))
-    left, right = _inputs(queries, items, ["unit"], within)
+    left, right = _inputs(queries, items, ["vector"], within)
     return _found(left, right, _dense_kernel(k), k, within, sizes)
 
 
 def sparse_columns(df: DataFrame, vector: str) -> DataFrame:
-    """The indices and unit-length values of an ML sparse vector column."""
-    plain = df.withColumn("_v", F.unwrap_udt(vector))
-    size = F.sqrt(F.aggregate("_v.values", F.lit(0.0), lambda s, x: s + x * x))
-    return plain.withColumns(
-        {
-            "indices": F.col("_v.indices"),
-            "values": F.transform("_v.values", lambda x: F.when(size > 0, x / size).otherwise(0.0)),
-        }
-    ).drop("_v")
+    """The indices and values of an ML sparse vector column."""
+    plain = F.unwrap_udt(vector)
+    return df.withColumns({"indices": plain["indices"], "values": plain["values"]})
 
 
 def nearest_sparse(
@@ -149,6 +151,6 @@ def nearest_sparse(
     within: Sequence[str] = (),
     sizes: BlockSizes = BlockSizes(),
 ) -> DataFrame:
-    """Exact top k by cosine of sparse vectors (``indices``, unit ``values``)."""
+    """Exact top k by cosine of sparse vectors (``indices``, ``values``)."""
     left, right = _inputs(queries, items, ["indices", "values"], within)
     return _found(left, right, _sparse_kernel(k), k, within, sizes)

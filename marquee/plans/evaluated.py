@@ -10,7 +10,8 @@ from marquee.operators.ranking import SERVICE_WEIGHTS, linear_norms, with_hybrid
 from marquee.operators.retrieval import nearest_dense
 from marquee.plans.ranked import MAXIMA_SQL, _UNIT_SQL, _all_queries
 from marquee.plans.registry import query
-from marquee.plans.served import TITLE_QUERIES_SQL, movies, stored, title_queries, vectors
+from marquee.plans.served import TITLE_QUERIES_SQL, movies, title_queries, vectors
+from marquee.plans.storage import stored
 from marquee.plans.testbed import prepared_sql
 from marquee.plans.texts import COUNT_WEIGHT, TFIDF_WEIGHT, _MOVIE_TERMS_SQL, sparse_features
 

@@ -274,7 +274,7 @@ def g14(spark, sf):
 
 @query("g14_correlations_known_pairs", _correlations("{c}::DOUBLE"))
 def g14_known(spark, sf):
-    return pf.correlations(eda(spark, sf), nulls_as_zero=False)
+    return pf.correlations_of_known_pairs(eda(spark, sf))
 
 
 @query(

@@ -6,22 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from marquee.operators import features as ft
 from marquee.operators.ranking import service_columns
-from marquee.plans.sources import final_movies, scratch_folder
+from marquee.plans.sources import final_movies
+from marquee.plans.storage import stored
 from marquee.plans.testbed import table
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
-
-def stored(spark, sf: str, name: str, build) -> DataFrame:
-    """A prepared table: built once per session, read as Parquet afterwards."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        path = f"{scratch_folder(spark)}/{name}"
-        build().write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
-
-
 SERVED_COLUMNS = [*ft.DOCUMENT_COLUMNS, "poster_path", "backdrop_path"]
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 from marquee.functions.columns import has_text, project, union_all
 from marquee.operators import dedupe, features as ft, profile as pf
 from marquee.plans.registry import query
+from marquee.plans.storage import scratch_folder, stored
 from marquee.plans.testbed import CATALOGUE_SQL, COLUMNS, PREPROCESS_SQL, catalogue, prepared_sql, sql, table
 from marquee.sources import payloads, readers, sinks
 from marquee.sources.schemas import BASE_MOVIE, data_dictionary
@@ -26,20 +25,9 @@ OPTIONAL_PAYLOAD_COLUMNS = [
 ]
 
 
-def scratch_folder(spark) -> str:
-    """A new folder for a write-and-read-back query, beside the checkpoints of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        import uuid
-
-        return f"{root.rstrip('/')}/marquee-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="marquee-")
-
-
 def ready_movies(spark, sf) -> DataFrame:
-    return ft.model_ready(ft.preprocess(catalogue(spark, sf)))
+    """The model-ready table, written once: several later tables are made from it."""
+    return stored(spark, sf, "ready", lambda: ft.model_ready(ft.preprocess(catalogue(spark, sf))))
 
 
 def keep_final(documents: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from marquee.functions.strings import STOP_WORDS, tokens
 from marquee.operators import retrieval, text_models as tm
 from marquee.operators.features import modelling_base
 from marquee.plans.registry import query
-from marquee.plans.served import TITLE_QUERIES_SQL, movies, stored, title_queries
+from marquee.plans.served import TITLE_QUERIES_SQL, movies, title_queries
+from marquee.plans.storage import stored
 from marquee.plans.testbed import prepared_sql, table
 
 _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
@@ -131,7 +132,7 @@ def base(spark, sf):
 
 
 def sparse_features(spark, sf, vector):
-    """id, indices and unit values of the count or TF-IDF vectors of all movies."""
+    """id, indices and values of the count or TF-IDF vectors of all movies."""
 
     def build():
         _, features = tm.text_features(base(spark, sf), *tm.COMPARISON_VOCABULARY)

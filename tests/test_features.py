@@ -77,11 +77,13 @@ def test_missing_words_count_as_missing(spark):
 def test_correlation_with_nulls(spark):
     data = [(1.0, 2.0), (2.0, 4.0), (3.0, None), (4.0, 8.0)]
     df = spark.createDataFrame(data, "popularity double, vote_average double")
-    def off_diagonal(**kw):
-        found = pf.correlations(df, ["popularity", "vote_average"], **kw)
+    names = ["popularity", "vote_average"]
+
+    def off_diagonal(found):
         return found.filter("column_a = 'popularity' and column_b = 'vote_average'").first()["correlation"]
-    assert off_diagonal(nulls_as_zero=False) == 1.0
-    assert off_diagonal() == round(df.na.fill(0).stat.corr("popularity", "vote_average"), 6)
+
+    assert off_diagonal(pf.correlations_of_known_pairs(df, names)) == 1.0
+    assert off_diagonal(pf.correlations(df, names)) == round(df.stat.corr(*names), 6)
 
 
 def test_histogram_matches_numpy(spark):

@@ -23,10 +23,10 @@ def test_tfidf_relation_equals_the_ml_stage(spark, documents):
     assert relation == ml and ml
 
 
-def test_sparse_columns_are_unit_length(spark, documents):
+def test_sparse_columns_hold_the_vector(spark, documents):
     _, features = tm.text_features(documents, 100, 1.0)
     for r in retrieval.sparse_columns(features, "tfidf").collect():
-        assert abs(sum(v * v for v in r["values"]) - 1) < 1e-9
+        assert dict(zip(r["indices"], r["values"])) == dict(zip(map(int, r["tfidf"].indices), r["tfidf"].values))
 
 
 def test_word2vec_vectors(spark, documents):
