@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marquee.functions.columns import union_all
 from marquee.operators.dedupe import last_writer_wins, top_per_key
 from marquee.session import cut_lineage
 from marquee.sources.sinks import upserted
@@ -149,14 +150,14 @@ def cascade(threads: DataFrame, removed: DataFrame, max_depth: int = 1000) -> Da
     and is written to the checkpoint folder, so the plan does not grow.
     """
     links = threads.select(F.col("id").alias("child"), F.col("parent_thread_id").alias("id"))
-    closed = cut_lineage(removed.select("id").distinct())
-    level = closed
+    levels = [cut_lineage(removed.select("id").distinct())]
     for _ in range(max_depth):
-        children = links.join(level, "id", "left_semi").select(F.col("child").alias("id")).distinct()
+        closed = union_all(levels)
+        children = links.join(levels[-1], "id", "left_semi").select(F.col("child").alias("id")).distinct()
         level = cut_lineage(children.join(closed, "id", "left_anti"))
         if level.isEmpty():
             return closed
-        closed = cut_lineage(closed.unionByName(level))
+        levels.append(level)
     raise RuntimeError(f"threads are nested deeper than {max_depth}")
 
 

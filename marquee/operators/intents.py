@@ -65,10 +65,14 @@ def language_code(value: Column) -> Column:
 def _mentioned(message: Column, words: dict[str, str]) -> Column:
     """Sorted distinct meanings of the words that stand in the message as whole words.
 
-    One pattern holds all words, longer ones first. A word inside a longer one
-    has the same meaning, so finding only the longer one loses nothing.
+    One pattern holds all words, grouped by first letter, longer ones first. A
+    word inside a longer one has the same meaning, so finding only the longer
+    one loses nothing.
     """
-    pattern = "|".join(sorted(words, key=len, reverse=True))
+    by_letter: dict[str, list[str]] = {}
+    for word in sorted(words, key=len, reverse=True):
+        by_letter.setdefault(word[0], []).append(word[1:])
+    pattern = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
     found = F.regexp_extract_all(message, F.lit(rf"(?U)\b(?:{pattern})\b"), F.lit(0))
     meanings = _alias_map(words)
     return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.try_element_at(meanings, w))))

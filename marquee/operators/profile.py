@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.columns import as_column, flag, long_table, mean, number, present, ratio
@@ -155,40 +152,28 @@ def quantiles(
     return _rows(stats, cells)
 
 
-def correlations(df: DataFrame, columns: Sequence[str] = CORRELATED_COLUMNS, digits: int = 6) -> DataFrame:
-    """Pearson matrix as (column_a, column_b, correlation), NULL read as 0.
-
-    One pass for all pairs; a constant column has no correlation (NULL). Reading
-    NULL as 0 is what ``DataFrameStatFunctions.corr`` does.
-    """
-    names = present(df, columns)
-    filled = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(filled).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    cells = [
-        (a, b, None if math.isnan(matrix[i, j]) else round(float(matrix[i, j]), digits))
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    return df.sparkSession.createDataFrame(cells, "column_a string, column_b string, correlation double")
-
-
-def correlations_of_known_pairs(
-    df: DataFrame, columns: Sequence[str] = CORRELATED_COLUMNS, digits: int = 6
+def correlations(
+    df: DataFrame, columns: Sequence[str] = CORRELATED_COLUMNS, nulls_as_zero: bool = True, digits: int = 6
 ) -> DataFrame:
-    """Pearson matrix over the rows where both columns are known, in one aggregation.
+    """Pearson matrix as (column_a, column_b, correlation), all pairs in one aggregation.
 
-    Each unordered pair is aggregated once and mirrored afterwards.
+    ``nulls_as_zero`` reads NULL as 0, as ``DataFrameStatFunctions.corr`` does;
+    otherwise a pair uses the rows where both columns are known. Each unordered
+    pair is aggregated once and mirrored. A constant column has no correlation.
     """
     names = present(df, columns)
     pairs = list(combinations_with_replacement(names, 2))
+    numbers = df.select(*(F.col(c).cast("double").alias(c) for c in names))
+    if nulls_as_zero:
+        numbers = numbers.na.fill(0.0)
 
     def pearson(a: str, b: str) -> Column:
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        x, y = F.col(a), F.col(b)
+        if not nulls_as_zero:
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
-    stats = df.agg(*(pearson(a, b).alias(f"{a}__{b}") for a, b in pairs))
+    stats = numbers.agg(*(pearson(a, b).alias(f"{a}__{b}") for a, b in pairs))
     cells = [
         F.struct(
             F.lit(x).alias("column_a"),

@@ -82,7 +82,7 @@ def test_correlation_with_nulls(spark):
     def off_diagonal(found):
         return found.filter("column_a = 'popularity' and column_b = 'vote_average'").first()["correlation"]
 
-    assert off_diagonal(pf.correlations_of_known_pairs(df, names)) == 1.0
+    assert off_diagonal(pf.correlations(df, names, nulls_as_zero=False)) == 1.0
     assert off_diagonal(pf.correlations(df, names)) == round(df.stat.corr(*names), 6)
 
 
