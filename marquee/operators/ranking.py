@@ -97,6 +97,16 @@ def with_hybrid_score(pairs: DataFrame, norms: dict[str, Column], weights: Weigh
     return pairs.withColumns(norms).withColumn("hybrid_score", score)
 
 
+def own_score(norms: dict[str, Column], weights: Weights) -> Column:
+    """The part of the hybrid score that does not depend on the query."""
+    return (
+        weights.rating * norms["rating_norm"]
+        + weights.votes * norms["vote_count_norm"]
+        + weights.popularity * norms["popularity_norm"]
+        + weights.quality * norms["quality_norm"]
+    )
+
+
 def rerank(
     pairs: DataFrame,
     norms: dict[str, Column],

@@ -6,29 +6,38 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.operators.blocks import BlockSizes, Order, best_matches
 
-# Similarities are ranked after rounding, so that equal vectors tie exactly.
+# Scores are ranked after rounding, so that equal vectors tie exactly.
 DIGITS = 6
-_SCHEMA = "query_id bigint, id bigint, similarity_score double, similarity_key double, vote_count double"
+_SCHEMA = (
+    "query_id bigint, id bigint, similarity_score double, hybrid_score double, "
+    "score_key double, similarity_key double, vote_count double"
+)
 _COLUMNS = [field.split()[0] for field in _SCHEMA.split(", ")]
-_ORDER = Order(["similarity_key", "vote_count", "id"], [False, False, True])
+_ORDER = Order(["score_key", "similarity_key", "vote_count", "id"], [False, False, False, True])
 
 
-def _best_of_block(scores: np.ndarray, queries: pd.DataFrame, items: pd.DataFrame, k: int) -> list[pd.DataFrame]:
-    """The k best items of every query row; ``items`` are already in tie order."""
-    ids, votes = items["id"].to_numpy(), items["vote_count"].to_numpy()
-    sources = queries["source_id"].to_numpy()
+def _best_of_block(
+    scores: np.ndarray, queries: pd.DataFrame, items: pd.DataFrame, k: int, weight: float
+) -> list[pd.DataFrame]:
+    """The k best items of every query row; ``items`` are already in tie order.
+
+    The score is ``weight`` times the similarity plus the item's own part.
+    """
+    ids, votes, own = (items[c].to_numpy() for c in ("id", "vote_count", "own"))
     out = []
-    for row, query_id, source in zip(scores, queries["query_id"], sources):
-        key = np.where(ids == source, -np.inf, np.round(row, DIGITS))
+    for row, query_id, source in zip(scores, queries["query_id"], queries["source_id"]):
+        total = weight * row + own
+        key = np.where(ids == source, -np.inf, np.round(total, DIGITS))
         floor = np.partition(key, len(key) - k)[len(key) - k] if len(key) > k else -np.inf
         near = np.flatnonzero(key >= floor)
-        near = near[np.argsort(-key[near], kind="stable")][:k]
+        similar = np.round(row, DIGITS)
+        near = near[np.lexsort((-similar[near], -key[near]))][:k]
         near = near[key[near] > -np.inf]
-        values = [query_id, ids[near], row[near], key[near], votes[near]]
+        values = [query_id, ids[near], row[near], total[near], key[near], similar[near], votes[near]]
         out.append(pd.DataFrame(dict(zip(_COLUMNS, values))))
     return out
 
@@ -53,7 +62,7 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return _scaled(table, np.linalg.norm(table, axis=1, keepdims=True))
 
 
-def _dense_kernel(k: int, chunk: int = 256):
+def _dense_kernel(k: int, weight: float, chunk: int = 256):
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         items = _in_tie_order(items)
         table = _unit_rows(items["vector"])
@@ -61,7 +70,7 @@ def _dense_kernel(k: int, chunk: int = 256):
         for start in range(0, len(queries), chunk):
             block = queries.iloc[start : start + chunk]
             scores = _unit_rows(block["vector"]) @ table.T
-            parts += _best_of_block(scores, block, items, k)
+            parts += _best_of_block(scores, block, items, k, weight)
         return _joined(parts)
 
     return kernel
@@ -77,7 +86,7 @@ def _sparse_rows(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return terms.astype(np.int64), row, _scaled(weights, sizes[row])
 
 
-def _sparse_kernel(k: int, cells: int = 4_000_000):
+def _sparse_kernel(k: int, weight: float, cells: int = 4_000_000):
     """Cosine of sparse vectors: only terms that some query holds are touched."""
 
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
@@ -101,24 +110,23 @@ def _sparse_kernel(k: int, cells: int = 4_000_000):
                 products = table[place[a : a + step]] * values[a : a + step, None]
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 scores[part[starts]] += np.add.reduceat(products, starts, axis=0)
-            parts += _best_of_block(scores.T, block, items, k)
+            parts += _best_of_block(scores.T, block, items, k, weight)
         return _joined(parts)
 
     return kernel
 
 
-def _inputs(queries: DataFrame, items: DataFrame, columns: Sequence[str], within: Sequence[str]):
+def _nearest(queries, items, columns, kernel, k, within, weight, own, sizes) -> DataFrame:
     votes = F.coalesce(F.col("vote_count").cast("double"), F.lit(0.0)) if "vote_count" in items.columns else F.lit(0.0)
-    return (
-        queries.select(F.col("query_id").cast("bigint"), F.col("source_id").cast("bigint"), *columns, *within),
-        items.select(F.col("id").cast("bigint"), votes.alias("vote_count"), *columns, *within),
+    part = F.lit(0.0) if own is None else own
+    left = queries.select(F.col("query_id").cast("bigint"), F.col("source_id").cast("bigint"), *columns, *within)
+    right = items.select(
+        F.col("id").cast("bigint"), votes.alias("vote_count"), part.alias("own"), *columns, *within
     )
-
-
-def _found(queries, items, kernel, k, within, sizes) -> DataFrame:
-    return best_matches(
-        queries, items, kernel, _SCHEMA, _ORDER, k, within=within, sizes=sizes, rank="retrieval_rank"
-    ).drop("similarity_key")
+    found = best_matches(
+        left, right, kernel(k, weight), _SCHEMA, _ORDER, k, within=within, sizes=sizes, rank="retrieval_rank"
+    ).drop("score_key", "similarity_key")
+    return found if own is not None else found.drop("hybrid_score")
 
 
 def nearest_dense(
@@ -126,6 +134,8 @@ def nearest_dense(
     items: DataFrame,
     k: int,
     within: Sequence[str] = (),
+    weight: float = 1.0,
+    own: Column | None = None,
     sizes: BlockSizes = BlockSizes(),
 ) -> DataFrame:
     """Exact top k by cosine of dense vectors.
@@ -133,9 +143,10 @@ def nearest_dense(
     ``queries``: query_id, source_id (left out of its own result), vector.
     ``items``: id, vector, vote_count (tie-break; optional).
     ``within``: columns that must be equal, such as the cluster.
+    ``own``: a score of the item itself; results then rank by weight * cosine + own
+    over all items, not over a pool, and carry it as ``hybrid_score``.
     """
-    left, right = _inputs(queries, items, ["vector"], within)
-    return _found(left, right, _dense_kernel(k), k, within, sizes)
+    return _nearest(queries, items, ["vector"], _dense_kernel, k, within, weight, own, sizes)
 
 
 def sparse_columns(df: DataFrame, vector: str) -> DataFrame:
@@ -149,8 +160,9 @@ def nearest_sparse(
     items: DataFrame,
     k: int,
     within: Sequence[str] = (),
+    weight: float = 1.0,
+    own: Column | None = None,
     sizes: BlockSizes = BlockSizes(),
 ) -> DataFrame:
-    """Exact top k by cosine of sparse vectors (``indices``, ``values``)."""
-    left, right = _inputs(queries, items, ["indices", "values"], within)
-    return _found(left, right, _sparse_kernel(k), k, within, sizes)
+    """Exact top k by cosine of sparse vectors (``indices``, ``values``); see ``nearest_dense``."""
+    return _nearest(queries, items, ["indices", "values"], _sparse_kernel, k, within, weight, own, sizes)

@@ -189,6 +189,60 @@ def m10(spark, sf):
     return _sparse_neighbours(spark, sf, "tfidf")
 
 
+def _hybrid_texts_sql(same_language=False):
+    match = "AND i.original_language = a.original_language" if same_language else ""
+    return prepared_sql(
+        f"""SELECT query_id, id, CAST(rn AS INTEGER) AS rank, round(similarity_score, 6) AS similarity_score,
+          round(hybrid_score, 6) AS hybrid_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY round(hybrid_score, 6) DESC, round(similarity_score, 6) DESC, vote_count DESC, id) AS rn FROM (
+          SELECT s.query_id, i.id, i.vote_count, coalesce(dot / (x.size * y.size), 0) AS similarity_score,
+            0.7::DOUBLE * coalesce(dot / (x.size * y.size), 0) + (0.1::DOUBLE * (i.vote_average / 10.0::DOUBLE)
+              + 0.1::DOUBLE * (ln(1 + i.vote_count) / b) + 0.05::DOUBLE * (ln(1 + i.popularity) / c)
+              + 0.05::DOUBLE * (i.recommendation_quality_score / d)) AS hybrid_score
+          FROM popular s JOIN final a ON a.id = s.source_id JOIN final i ON i.id <> s.source_id {match}
+          LEFT JOIN hybrid_dots h ON h.query_id = s.query_id AND h.id = i.id LEFT JOIN norms x ON x.id = s.source_id LEFT JOIN norms y ON y.id = i.id, maxima)) WHERE rn <= 10""",
+        TITLE_QUERIES_SQL,
+        _MOVIE_TERMS_SQL.format(weight=TFIDF_WEIGHT),
+        """popular AS (SELECT query_id, id AS source_id FROM (SELECT q.query_id, f.id, row_number() OVER (PARTITION BY q.query_id
+            ORDER BY vote_count DESC, popularity DESC, f.id) AS rn
+          FROM title_queries q JOIN final f ON contains(lower(f.title), lower(q.query))) WHERE rn = 1)""",
+        """hybrid_dots AS (SELECT s.query_id, i.id, sum(q.w * i.w) AS dot FROM popular s JOIN weighted q ON q.id = s.source_id
+          JOIN weighted i ON i.term = q.term GROUP BY 1, 2)""",
+        """maxima AS (SELECT coalesce(nullif(max(ln(1 + vote_count)), 0), 1.0::DOUBLE) AS b,
+          coalesce(nullif(max(ln(1 + popularity)), 0), 1.0::DOUBLE) AS c,
+          coalesce(nullif(max(recommendation_quality_score), 0), 1.0::DOUBLE) AS d FROM final)""",
+    )
+
+
+def _hybrid_texts(spark, sf, within):
+    """TF-IDF similarity and metadata, ranked over all movies rather than over a pool."""
+    from marquee.operators.ranking import NOTEBOOK_WEIGHTS, log_norms, own_score
+    from marquee.operators.titles import resolve_popular
+
+    shown = movies(spark, sf)
+    features = sparse_features(spark, sf, "tfidf").drop("vote_count").join(shown, "id")
+    sources = resolve_popular(title_queries(spark, sf), shown).select("query_id", F.col("id").alias("source_id"))
+    vectors = features.select(F.col("id").alias("source_id"), "indices", "values", *within)
+    found = retrieval.nearest_sparse(
+        sources.join(vectors, "source_id"), features, 10, within=within, weight=NOTEBOOK_WEIGHTS.similarity,
+        own=own_score(log_norms(shown), NOTEBOOK_WEIGHTS),
+    )
+    return found.select(
+        "query_id", "id", F.col("retrieval_rank").alias("rank"),
+        F.round("similarity_score", 6).alias("similarity_score"), F.round("hybrid_score", 6).alias("hybrid_score"),
+    )
+
+
+@query("m13_hybrid_over_all_movies", _hybrid_texts_sql())
+def m13_texts(spark, sf):
+    return _hybrid_texts(spark, sf, [])
+
+
+@query("m16_hybrid_in_same_group", _hybrid_texts_sql(same_language=True))
+def m16_texts(spark, sf):
+    return _hybrid_texts(spark, sf, ["original_language"])
+
+
 @query("m6_word2vec_vectors")
 def m6(spark, sf):
     """Training is not reproducible across partitions: checked by invariants in the tests."""

@@ -84,6 +84,24 @@ def test_a_hot_cluster_is_cut_into_blocks(spark):
     assert got == brute(data, 3, True)
 
 
+@pytest.mark.parametrize("sizes", SIZES)
+def test_hybrid_over_all_items(spark, vectors, sizes):
+    df, data = vectors
+    own = F.col("vote_count") / 10
+    found = retrieval.nearest_dense(asked(df), df, 4, weight=0.7, own=own, sizes=sizes)
+    got = {(r["query_id"], r["id"], r["retrieval_rank"], round(r["hybrid_score"], 6)) for r in found.collect()}
+    units = {i: np.array(v) / (np.linalg.norm(v) or 1.0) for i, v, _, _ in data}
+    want = set()
+    for i, _, _, _ in data:
+        rows = []
+        for j, _, _, votes in data:
+            if j != i:
+                similar = float(units[i] @ units[j])
+                rows.append((-round(0.7 * similar + votes / 10, 6), -round(similar, 6), -votes, j))
+        want |= {(i, j, r, -h) for r, (h, _, _, j) in enumerate(sorted(rows)[:4], 1)}
+    assert got == want
+
+
 def test_no_queries_no_rows(spark, vectors):
     df, _ = vectors
     assert retrieval.nearest_dense(asked(df).limit(0), df, 3).count() == 0
