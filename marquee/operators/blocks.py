@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.operators.dedupe import top_per_key
 
+# Results a task holds before it cuts them again; cutting less often costs less sorting.
+_HELD_ROWS = 500_000
+
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
@@ -108,14 +111,17 @@ def _streamed(small, items, kernel, schema, order, k, query_key, within) -> Data
     shared = spark.sparkContext.broadcast(small)
 
     def run(batches):
-        best = None
+        held, rows, limit = [], 0, _HELD_ROWS
         for batch in filter(len, batches):
-            for found in _pairs(shared.value, batch, within, kernel):
-                if len(found):
-                    found = found if best is None else pd.concat([best, found], ignore_index=True)
-                    best = order.cut(found, query_key, k)
-        if best is not None:
-            yield best
+            for found in filter(len, _pairs(shared.value, batch, within, kernel)):
+                held.append(found)
+                rows += len(found)
+            if rows > limit:
+                held = [order.cut(pd.concat(held, ignore_index=True), query_key, k)]
+                rows = len(held[0])
+                limit = max(_HELD_ROWS, 2 * rows)
+        if held:
+            yield order.cut(pd.concat(held, ignore_index=True), query_key, k)
 
     return items.mapInPandas(run, schema)
 

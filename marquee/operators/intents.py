@@ -79,7 +79,9 @@ def _mentioned(message: Column, words: dict[str, str]) -> Column:
 
 
 def _captured(message: Column, pattern: str, kind: str) -> Column:
-    return F.replace(F.regexp_extract(message, pattern, 1), F.lit(","), F.lit(".")).try_cast(kind)
+    """The captured number, NULL without a match (casting '' would raise inside for every row)."""
+    found = F.nullif(F.regexp_extract(message, pattern, 1), F.lit(""))
+    return F.replace(found, F.lit(","), F.lit(".")).try_cast(kind)
 
 
 def empty_strings() -> Column:

@@ -115,7 +115,7 @@ def m4(spark, sf):
 
 
 @query(
-    "m5_tfidf_pipeline",
+    "m5_tfidf_stages",
     _TFIDF_SQL.format(min_df=3, size=60000).replace("SELECT id, term, tf, round", "SELECT id, term, round"),
 )
 def m5(spark, sf):
@@ -136,9 +136,10 @@ def sparse_features(spark, sf, vector):
 
     def build():
         _, features = tm.text_features(base(spark, sf), *tm.COMPARISON_VOCABULARY)
-        return retrieval.sparse_columns(features, vector).select("id", "vote_count", "indices", "values")
+        return features.select("id", "vote_count", *(F.unwrap_udt(c).alias(c) for c in ("counts", "tfidf")))
 
-    return stored(spark, sf, f"features_{vector}", build)
+    both = stored(spark, sf, "features", build)
+    return both.select("id", "vote_count", f"{vector}.indices", f"{vector}.values")
 
 
 _MOVIE_TERMS_SQL = f"""
