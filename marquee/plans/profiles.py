@@ -303,8 +303,8 @@ def g22(spark, sf):
 
     movies = final_movies(spark, sf)
     logs = log_maxima(movies)
-    return linear_maxima(movies).crossJoin(
-        F.broadcast(logs.select(*(F.round(c, 6).alias(c) for c in logs.columns)))
+    return linear_maxima(movies).select(
+        "*", *(F.round(logs.select(c).scalar(), 6).alias(c) for c in logs.columns)
     )
 
 
