@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm import bpe, decontaminate, line_dedup
+from marquee.llm import bpe, decontaminate, jaccard_join, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,3 +97,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query(
+    "op10_jaccard_join",
+    rf"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+    ), shingle AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+    ), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+    ), common AS (
+        SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), link AS (
+        SELECT u, v FROM common JOIN size p ON p.doc_id = u JOIN size q ON q.doc_id = v WHERE 100 * c >= 90 * (p.n + q.n - c)
+    ), reach AS (
+        SELECT u, u AS v FROM (SELECT DISTINCT u FROM link) UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v
+    ), least AS (SELECT u, min(v) AS component FROM reach GROUP BY u)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id
+    FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.u = doc_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.set_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
