@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm import bpe, decontaminate, jaccard_join, line_dedup
+from marquee.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query(
     "op5_decontamination",
     rf"""
