@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm import bpe, chat_format, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules
+from marquee.llm import bpe, chat_format, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=200).withColumnRenamed("id", "doc_id")
+
+
 @query(
     "op5_decontamination",
     rf"""

@@ -32,10 +32,11 @@ def row_blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts in a row, and where each text begins; NULL is empty."""
+    """UTF-8 bytes of all texts (or binary values) in a row, and where each begins; NULL is empty."""
+    binary = pa.types.is_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     _, offset_buffer, data_buffer = column.buffers()
     if len(column) == 0 or offset_buffer is None:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
