@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from marquee.llm.shared import partitions, shared_folder, written
 from marquee.llm.textblocks import PrefixHashes, mixed, row_blocks, text_bytes
 
+#: Text bytes searched together: a byte takes about a hundred bytes of arrays.
+BLOCK = 1 << 20
 #: Different contexts of one anchor that a task sorts.
 CROWD = 2000
 #: Context bytes sorted together.
@@ -193,7 +195,7 @@ def _int32(x: np.ndarray) -> pa.Array:
 
 def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, "text"):
+        for block in row_blocks(batches, "text", BLOCK):
             data, offsets = text_bytes(block.column("text"))
             text, place, low, high, gram, context = anchors(data, offsets, length)
             ids = block.column("class").to_numpy(zero_copy_only=False)
@@ -207,7 +209,7 @@ def _find_anchors(length: int):
 
 def _cut_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, "text"):
+        for block in row_blocks(batches, "text", BLOCK):
             data, offsets = text_bytes(block.column("text"))
             lists = block.column("marks")
             marks = lists.flatten()
@@ -289,7 +291,7 @@ def _crowd_strings(length: int):
 
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, "text"):
+        for block in row_blocks(batches, "text", BLOCK):
             data, offsets = text_bytes(block.column("text"))
             lists = block.column("spans").fill_null([])
             marks = lists.flatten()
