@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm.shared import partitions, shared_folder, written
+from marquee.llm.shared import partitions, released_shuffles, shared_folder, written
 from marquee.llm.textblocks import LOWER, SPACES, PrefixHashes, binary16, mixed, row_blocks, text_bytes
 
 _ROW = ("__row1", "__row2")
@@ -76,11 +76,9 @@ class LineRuns:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (
-            df.repartition(self.buckets, "key").write.format("parquet")
-            .bucketBy(self.buckets, "key").sortBy("key")
-            .option("path", f"{shared_folder(self.spark)}/{name}").saveAsTable(name)
-        )
+        writer = df.repartition(self.buckets, "key").write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
+        with released_shuffles(self.spark):
+            writer.option("path", f"{shared_folder(self.spark)}/{name}").saveAsTable(name)
         self.tables.append(name)
         return name
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +24,41 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go as soon as a write has ended: its rows are in the shared folder then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read again at will."""
     spark = df.sparkSession
     path = shared_folder(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with released_shuffles(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` written in buckets of ``key``: joins on it inside the block don't shuffle it again."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    writer = df.repartition(partitions(spark), key).write.format("parquet").bucketBy(partitions(spark), key)
+    with released_shuffles(spark):
+        writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,6 @@ enough; ids may be NULL or repeat; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -37,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marquee.llm.shared import partitions, shared_folder, written
+from marquee.llm.shared import bucketed, partitions, written
 from marquee.llm.textblocks import PrefixHashes, mixed, row_blocks, text_bytes
 
 #: Text bytes searched together: a byte takes about a hundred bytes of arrays.
@@ -330,42 +329,37 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
         places.groupBy("h1", "h2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
         .select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "row", "copies")
     )
-    name = f"texts_{uuid.uuid4().hex}"
-    n = partitions(spark)
     source = rows.select(*digest, F.xxhash64("id", "text").alias("row"), "text").join(classes.select("class", "h1", "h2", "row"), ["h1", "h2", "row"])
-    source.select("class", "text").write.format("parquet").bucketBy(n, "class").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    texts = spark.table(name)
-
-    found = texts.mapInArrow(_find_anchors(length), "anchor bigint, context bigint, class bigint, low int, shape int")
-    shared = written(found.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1").drop("n"))
-    contexts = shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("class", "low", "shape")).alias("at"))
-    contexts = written(contexts.select("anchor", "context", "n", "at.*"))
-    groups = contexts.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter("different > 1 AND least = 1")
-    open_ = contexts.join(groups, "anchor")
-    marks = open_.groupBy("class").agg(F.collect_list(F.struct("anchor", "context", "n", "low", "shape", "different")).alias("marks"))
-
-    def cut(condition) -> DataFrame:
-        some = marks.withColumn("marks", F.filter("marks", condition)).filter(F.size("marks") > 0)
-        return texts.join(some, "class").select("text", "marks").mapInArrow(_cut_contexts(length), "anchor bigint, context bigint, n bigint, shape int, content binary")
-
-    few = cut(lambda m: m["different"] <= crowd).repartition(n, "anchor").sortWithinPartitions("anchor")
-    few = few.mapInArrow(_sort_contexts(length), "anchor bigint, context bigint, ranges array<struct<a:int,b:int>>")
-    strings = cut(lambda m: m["different"] > crowd).mapInArrow(_crowd_strings(length), "one bigint, two bigint, anchor bigint, context bigint, n bigint, number int")
-    strings = written(strings)
-    twice = strings.groupBy("one", "two").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
-    many = strings.filter("n = 1").join(twice, ["one", "two"], "left_semi").groupBy("anchor", "context").agg(
-        F.collect_list(F.struct(F.col("number").alias("a"), F.col("number").alias("b"))).alias("ranges")
-    )
-    partly = few.unionByName(many)
-    whole = contexts.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("shape").bitwiseAND(0xFFFF).alias("b"))).alias("ranges"))
-    spans = shared.join(whole.unionByName(partly), ["anchor", "context"]).select(
-        "class", F.explode(F.transform("ranges", lambda r: F.struct((F.col("low") + r["a"]).alias("start"), (F.col("low") + r["b"] + length).alias("end")))).alias("span")
-    )
-    spans = spans.groupBy("class").agg(F.collect_list("span").alias("spans"))
-    result = texts.join(spans, "class", "left").mapInArrow(_removed(length), "class bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    result = (result if content else result.drop("kept")).dropDuplicates(["class"])
-    judged = written(classes.join(result, "class"))
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with bucketed(source.select("class", "text"), "class") as texts:
+        found = texts.mapInArrow(_find_anchors(length), "anchor bigint, context bigint, class bigint, low int, shape int")
+        shared = written(found.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1").drop("n"))
+        contexts = shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("class", "low", "shape")).alias("at"))
+        contexts = written(contexts.select("anchor", "context", "n", "at.*"))
+        groups = contexts.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter("different > 1 AND least = 1")
+        open_ = contexts.join(groups, "anchor")
+        marks = open_.groupBy("class").agg(F.collect_list(F.struct("anchor", "context", "n", "low", "shape", "different")).alias("marks"))
+
+        def cut(condition) -> DataFrame:
+            some = marks.withColumn("marks", F.filter("marks", condition)).filter(F.size("marks") > 0)
+            return texts.join(some, "class").select("text", "marks").mapInArrow(_cut_contexts(length), "anchor bigint, context bigint, n bigint, shape int, content binary")
+
+        few = cut(lambda m: m["different"] <= crowd).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+        few = few.mapInArrow(_sort_contexts(length), "anchor bigint, context bigint, ranges array<struct<a:int,b:int>>")
+        strings = cut(lambda m: m["different"] > crowd).mapInArrow(_crowd_strings(length), "one bigint, two bigint, anchor bigint, context bigint, n bigint, number int")
+        strings = written(strings)
+        twice = strings.groupBy("one", "two").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
+        many = strings.filter("n = 1").join(twice, ["one", "two"], "left_semi").groupBy("anchor", "context").agg(
+            F.collect_list(F.struct(F.col("number").alias("a"), F.col("number").alias("b"))).alias("ranges")
+        )
+        partly = few.unionByName(many)
+        whole = contexts.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("shape").bitwiseAND(0xFFFF).alias("b"))).alias("ranges"))
+        spans = shared.join(whole.unionByName(partly), ["anchor", "context"]).select(
+            "class", F.explode(F.transform("ranges", lambda r: F.struct((F.col("low") + r["a"]).alias("start"), (F.col("low") + r["b"] + length).alias("end")))).alias("span")
+        )
+        spans = spans.groupBy("class").agg(F.collect_list("span").alias("spans"))
+        result = texts.join(spans, "class", "left").mapInArrow(_removed(length), "class bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        result = (result if content else result.drop("kept")).dropDuplicates(["class"])
+        judged = written(classes.join(result, "class"))
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = places.join(judged.select("h1", "h2", "copies", "n_removed", "n_spans", "kept_sha256", *(["kept"] if content else [])), ["h1", "h2"])
     none = sha256(b"").hexdigest()
