@@ -54,17 +54,19 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array([*out, low * 100 // percent], np.int64)
 
 
-def layout(high: int, percent: int) -> tuple[int, int, int, int]:
-    """Parts, cells a part, cells of a signature, and spare parts for linked sets of at most ``high`` elements."""
-    k = 2 * high * (100 - percent) // (100 + percent)
+def layout(low: int, high: int, percent: int) -> tuple[int, int, int, int]:
+    """Parts, cells a part, cells of a signature, and spare parts for linked sets of at most ``low`` and ``high`` elements.
+
+    Sets of one band meet in the next band's signatures as well, so a band's own have to find
+    only pairs with a set of the band before, whose sizes end at ``low``.
+    """
+    k = (low + high) * (100 - percent) // (100 + percent)
     if k == 0:
         return 1, 1, 1, 0
-    if k <= 6:
+    if k <= 12:
         return 1, k + 2, 2, 0
-    k2, n2 = (0, 1) if high >= 8 * (k + 1) else (1, 3)
-    parts = k // (k2 + 1) + 1
-    spare = 1 + parts // 16
-    return parts + spare, n2, n2 - k2, spare
+    parts, spare = k + 1, 2 + k // 16
+    return parts + spare, 1, 1, spare
 
 
 def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, percent: int)
     sizes = np.bincount(text, minlength=n_texts)
     tops = bands(percent, int(sizes.max(initial=1)))
     band = np.searchsorted(tops, sizes)
-    spec = np.array([layout(int(h), percent) for h in tops], np.int64)
+    spec = np.array([layout(int(low), int(high), percent) for low, high in zip(np.append(0, tops), tops)], np.int64)
     out_sig, out_text = [], []
     full = np.flatnonzero(sizes)
     for tag in (band[full], band[full] + 1):
