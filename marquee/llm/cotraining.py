@@ -6,6 +6,10 @@ each round either classifier labels the unlabelled documents that it is confiden
 and these pseudo-labels train the other one. At the end each view is calibrated on
 held-out labels, and a small regression over both calibrated log-odds scores all documents.
 
+Words enter the text view with the weight that naive Bayes would give them: the smoothed
+log-ratio of their shares in good and other training texts. Words that are rare in training weigh
+little, telling ones much, and the regression starts from there.
+
 A document is good if its label says quality 1 and toxic 0.
 
 Fitting reads ``LABELLED`` labelled and ``POOL`` unlabelled rows, give or take chance: a
@@ -29,8 +33,10 @@ from math import log
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.expressions import let, words_of
@@ -41,6 +47,8 @@ ROUNDS = 2
 CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.5
 TEXT_SIZE, META_SIZE = 1 << 16, 1 << 12
+#: Measures of form at the head of the text view, and their weight.
+MEASURES, MEASURE_WEIGHT = 6, 2.0
 #: Partitions of the bounded training sample: few enough that an iteration is one stage.
 FIT_PARTITIONS = 4
 
@@ -85,21 +93,41 @@ def with_features(documents: DataFrame, key: str, text: str, source: str, lang:
 
 @dataclass
 class View:
-    """A classifier of one view and the calibration of its margin."""
+    """A classifier of one view and the calibration of its margin; the text view weighs its inputs first."""
 
     column: str
     model: LogisticRegressionModel
+    weights: list[float] | None = None
     slope: float = 1.0
     shift: float = 0.0
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the calibrated log-odds as ``<column>_odds``."""
-        out = self.model.setFeaturesCol(self.column).setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("").transform(rows)
-        return out.withColumn(f"{self.column}_odds", vector_to_array("__raw")[1] * self.slope + self.shift).drop("__raw")
+        rows = _weighed(rows, self.column, self.weights)
+        out = self.model.setFeaturesCol("__x").setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("").transform(rows)
+        return out.withColumn(f"{self.column}_odds", vector_to_array("__raw")[1] * self.slope + self.shift).drop("__raw", "__x")
+
+
+def _weighed(rows: DataFrame, column: str, weights: list[float] | None) -> DataFrame:
+    """The view's inputs as ``__x``."""
+    if weights is None:
+        return rows.withColumn("__x", F.col(column))
+    return ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol=column, outputCol="__x").transform(rows)
+
+
+def _word_weights(train: DataFrame) -> list[float]:
+    """Naive Bayes log-ratios of the hashed words; measures keep a fixed weight."""
+    sums = Summarizer.metrics("sum")
+    rows = train.groupBy("label").agg(sums.summary(F.col("text_view"))["sum"].alias("sums"), F.count("*").alias("n")).collect()  # two rows
+    share = {r["label"]: (r["sums"].toArray() + 1) / (r["n"] + 2) for r in rows}
+    ratio = np.abs(np.log(share[1.0] / share[0.0]))
+    ratio[:MEASURES] = MEASURE_WEIGHT
+    return ratio.tolist()
 
 
-def _fit(rows: DataFrame, column: str, reg: float) -> LogisticRegressionModel:
-    learner = LogisticRegression(featuresCol=column, labelCol="label", weightCol="weight", maxIter=20, regParam=reg, standardization=False)
+def _fit(rows: DataFrame, column: str, weights: list[float] | None, reg: float) -> LogisticRegressionModel:
+    rows = _weighed(rows, column, weights)
+    learner = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="weight", maxIter=20, regParam=reg, standardization=False)
     return learner.fit(rows)
 
 
@@ -121,7 +149,7 @@ def _regression(rows: list, inputs: int) -> list[float]:
 def _calibrated(view: View, held: DataFrame) -> View:
     """Platt scaling: a regression of held-out labels (a fifth of the sample) on the margin."""
     shift, slope = _regression(view.scored(held).select(f"{view.column}_odds", "label").collect(), 1)
-    return View(view.column, view.model, slope, shift)
+    return View(view.column, view.model, view.weights, slope, shift)
 
 
 def _sample(rows: DataFrame, bound: int, salt: int) -> DataFrame:
@@ -170,12 +198,13 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     others = _sample(chosen.join(marked.select("id").distinct(), "id", "left_anti"), pool, 3)
     unlabelled = _bounded(with_features(others, key, text, source, lang, length))
     train, held = known.filter("NOT held").select("id", "text_view", "meta_view", "label", "weight"), known.filter("held")
+    word_weights = _word_weights(train)
     extra: dict[str, DataFrame | None] = {"text_view": None, "meta_view": None}
     for round_ in range(rounds + 1):
         views = {}
-        for column, reg in (("text_view", 0.002), ("meta_view", 0.01)):
+        for column, weights, reg in (("text_view", word_weights, 0.01), ("meta_view", None, 0.01)):
             rows = train if extra[column] is None else _bounded(train.unionByName(extra[column]))
-            views[column] = _calibrated(View(column, _fit(rows, column, reg)), held)
+            views[column] = _calibrated(View(column, _fit(rows, column, weights, reg), weights), held)
         if round_ == rounds:
             break
         edge = F.log(F.lit(CONFIDENT / (1 - CONFIDENT)))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.llm import bpe, chat_format, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, suffix_dedup
+from marquee.llm import (
+    bpe, chat_format, cotraining, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, secret_scan, suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -182,3 +184,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select(
         F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert",
     )
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("at").alias("word"), "length", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), "is_secret",
+    )
+
+
+@query("op6_cotraining")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), *(F.round(c, 6).alias(c) for c in ("text_score", "meta_score", "score")), "kept")
