@@ -7,8 +7,8 @@ and these pseudo-labels train the other one. At the end each view is calibrated
 held-out labels, and a small regression over both calibrated log-odds scores all documents.
 
 Words enter the text view with the weight that naive Bayes would give them: the smoothed
-log-ratio of their shares in good and other training texts. Words that are rare in training weigh
-little, telling ones much, and the regression starts from there.
+log-ratio of their shares in good and other training texts, and not at all unless the shares
+differ beyond chance. So words that are rare in training add no noise.
 
 A document is good if its label says quality 1 and toxic 0.
 
@@ -49,6 +49,8 @@ PSEUDO_WEIGHT = 0.5
 TEXT_SIZE, META_SIZE = 1 << 16, 1 << 12
 #: Measures of form at the head of the text view, and their weight.
 MEASURES, MEASURE_WEIGHT = 6, 2.0
+#: Standard deviations by which a word's shares must differ to count.
+DEVIATIONS = 3.5
 #: Partitions of the bounded training sample: few enough that an iteration is one stage.
 FIT_PARTITIONS = 4
 
@@ -116,11 +118,13 @@ def _weighed(rows: DataFrame, column: str, weights: list[float] | None) -> DataF
 
 
 def _word_weights(train: DataFrame) -> list[float]:
-    """Naive Bayes log-ratios of the hashed words; measures keep a fixed weight."""
+    """Naive Bayes log-ratios of the hashed words that differ beyond chance; measures keep a fixed weight."""
     sums = Summarizer.metrics("sum")
     rows = train.groupBy("label").agg(sums.summary(F.col("text_view"))["sum"].alias("sums"), F.count("*").alias("n")).collect()  # two rows
-    share = {r["label"]: (r["sums"].toArray() + 1) / (r["n"] + 2) for r in rows}
-    ratio = np.abs(np.log(share[1.0] / share[0.0]))
+    seen = {r["label"]: (r["sums"].toArray() + 1, r["n"] + 2) for r in rows}
+    (good, n_good), (bad, n_bad) = seen[1.0], seen[0.0]
+    ratio = np.abs(np.log(good / n_good) - np.log(bad / n_bad))
+    ratio[ratio < DEVIATIONS * np.sqrt(1 / good + 1 / bad)] = 0
     ratio[:MEASURES] = MEASURE_WEIGHT
     return ratio.tolist()
 
