@@ -48,8 +48,8 @@ def mean(c: Name, digits: int = 4) -> Column:
 
 
 def half_even_text(c: Name, digits: int) -> Column:
-    """A number below 1000 with fixed digits, rounded half to even on its exact binary value."""
-    return F.format_number(as_column(c), digits)
+    """A number with fixed digits, rounded half to even on its exact binary value."""
+    return F.replace(F.format_number(as_column(c), digits), F.lit(","), F.lit(""))
 
 
 def half_even(c: Name, digits: int) -> Column:

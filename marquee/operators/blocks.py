@@ -1,13 +1,12 @@
 """Exact k-best search of a table of queries over a table of items.
 
-No pair is ever written out: items stream through tasks in blocks, a NumPy
-kernel scores a block of queries against a block of items, and only the k best
-of each query leave the task. Spark then cuts the survivors to k per query.
-
-A query table of proven small size is broadcast and the items are not shuffled
-at all. A larger one is cut into blocks by hash, items likewise, and every
-block pair is one task (block nested-loop join), so neither side has to fit
-anywhere. Equality columns (``within``) restrict the pairs; a value that holds
+No pair is ever written out: a NumPy kernel scores a block of queries against a
+block of items, and only the k best of each query leave the task. Spark then
+cuts the survivors to k per query.
+
+Queries are cut into blocks by hash, items likewise, and every block pair is one
+group (block nested-loop join), so neither side has to fit anywhere, and the plan
+is the same for few queries and for many. Equality columns (``within``) restrict the pairs; a value that holds
 a third of all rows is cut into blocks like everything else.
 """
 
@@ -21,9 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.operators.dedupe import top_per_key
 
-# Results a task holds before it cuts them again; cutting less often costs less sorting.
-_HELD_ROWS = 500_000
-
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
@@ -53,10 +49,10 @@ class Order:
 
 @dataclass(frozen=True)
 class BlockSizes:
-    broadcast_rows: int = 2048
-    broadcast_bytes: int = 128 * 1024 * 1024
+    """Rows of a query block and of an item block: what one group holds."""
+
     query_rows: int = 2048
-    item_rows: int = 32768
+    item_rows: int = 4096
 
 
 def best_matches(
@@ -77,55 +73,10 @@ def best_matches(
     ``kernel(queries, items)`` scores one block pair with pandas and returns
     rows of ``schema``. ``within`` columns exist on both sides.
     """
-    small = _small(queries, sizes)
-    if small is not None:
-        found = _streamed(small, items, kernel, schema, order, k, query_key, list(within))
-    else:
-        found = _gridded(queries, items, kernel, schema, order, k, query_key, item_key, list(within), sizes)
+    found = _gridded(queries, items, kernel, schema, order, k, query_key, item_key, list(within), sizes)
     return top_per_key(found, [query_key], order.spark(), k, rank)
 
 
-def _small(queries: DataFrame, sizes: BlockSizes) -> pd.DataFrame | None:
-    """The queries, when they are few enough to broadcast."""
-    head = queries.limit(sizes.broadcast_rows + 1).toPandas()
-    if len(head) > sizes.broadcast_rows or head.memory_usage(deep=True).sum() > sizes.broadcast_bytes:
-        return None
-    return head
-
-
-def _pairs(left: pd.DataFrame, right: pd.DataFrame, within: list[str], kernel: Kernel):
-    """Kernel results of the block, split by the equality columns."""
-    if not within:
-        yield kernel(left, right)
-        return
-    groups = dict(list(right.groupby(within, sort=False)))
-    for value, part in left.groupby(within, sort=False):
-        if value in groups:
-            yield kernel(part, groups[value])
-
-
-def _streamed(small, items, kernel, schema, order, k, query_key, within) -> DataFrame:
-    spark = items.sparkSession
-    if not len(small):
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(small)
-
-    def run(batches):
-        held, rows, limit = [], 0, _HELD_ROWS
-        for batch in filter(len, batches):
-            for found in filter(len, _pairs(shared.value, batch, within, kernel)):
-                held.append(found)
-                rows += len(found)
-            if rows > limit:
-                held = [order.cut(pd.concat(held, ignore_index=True), query_key, k)]
-                rows = len(held[0])
-                limit = max(_HELD_ROWS, 2 * rows)
-        if held:
-            yield order.cut(pd.concat(held, ignore_index=True), query_key, k)
-
-    return items.mapInPandas(run, schema)
-
-
 def _gridded(queries, items, kernel, schema, order, k, query_key, item_key, within, sizes) -> DataFrame:
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         return df.groupBy(*within).agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("int").alias(name))

@@ -34,29 +34,41 @@ def _checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("violations", reasons)
 
 
+def _matched(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows without a key stay where they are: they match nothing, and would all meet in one task."""
+    joined = rows.filter(F.col(key).isNotNull()).join(known, key, "left")
+    return union_all([joined, rows.filter(F.col(key).isNull())]).select(*rows.columns, *(c for c in known.columns if c != key))
+
+
 def check_messages(messages: DataFrame, threads: DataFrame) -> DataFrame:
     """Messages with the names of the constraints they break (none: valid)."""
     known = threads.select(F.col("id").alias("thread_id"), F.lit(True).alias("_known"))
     parents = messages.select(F.col("id").alias("parent_message_id"), F.lit(True).alias("_parent"))
-    joined = messages.join(known, "thread_id", "left").join(parents, "parent_message_id", "left")
+    joined = _matched(_matched(messages, known, "thread_id"), parents, "parent_message_id")
     rules = {
         "user_missing": F.col("user_id").isNotNull(),
         "thread_unknown": F.col("_known"),
         "parent_unknown": F.col("parent_message_id").isNull() | F.col("_parent"),
         "role_invalid": F.col("role").isin(ROLES),
         "content_length": F.length("content").between(*CONTENT_LENGTHS),
+        **_timed(messages, "created_at"),
     }
     return _checked(joined, rules).drop("_known", "_parent")
 
 
+def _timed(rows: DataFrame, *columns: str) -> dict[str, Column]:
+    return {f"{c}_missing": F.col(c).isNotNull() for c in columns if c in rows.columns}
+
+
 def check_threads(threads: DataFrame) -> DataFrame:
     parents = threads.select(F.col("id").alias("parent_thread_id"), F.lit(True).alias("_parent"))
-    joined = threads.join(parents, "parent_thread_id", "left")
+    joined = _matched(threads, parents, "parent_thread_id")
     rules = {
         "user_missing": F.col("user_id").isNotNull(),
         "title_missing": F.col("title").isNotNull(),
         "context_invalid": F.col("context_type").isin(CONTEXTS),
         "parent_unknown": F.col("parent_thread_id").isNull() | F.col("_parent"),
+        **_timed(threads, "created_at", "updated_at"),
     }
     return _checked(joined, rules).drop("_parent")
 
@@ -107,7 +119,7 @@ def nested_threads(threads: DataFrame, messages: DataFrame, page: int = 1000) ->
 
 
 def _paged(messages: DataFrame, page: int) -> DataFrame:
-    """Page numbers in time order, without one task per thread.
+    """Page numbers in time order, without one task per thread; messages without a time come first.
 
     Messages are counted per thread and minute; the running count over the
     minutes of a thread gives each its first position, and only the
@@ -121,7 +133,9 @@ def _paged(messages: DataFrame, page: int) -> DataFrame:
     before = Window.partitionBy("thread_id").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("thread_id", "_minute").orderBy("created_at", "id")
-    placed = timed.join(starts, ["thread_id", "_minute"]).withColumn(
+    starts = starts.withColumnsRenamed({"thread_id": "_thread", "_minute": "_m"})
+    same = F.col("thread_id").eqNullSafe(F.col("_thread")) & F.col("_minute").eqNullSafe(F.col("_m"))
+    placed = timed.join(starts, same).drop("_thread", "_m").withColumn(
         "_place", F.col("_start") + F.row_number().over(within) - 1
     )
     return placed.withColumn("page", F.floor(F.col("_place") / page).cast("int")).drop("_minute", "_start")
@@ -143,22 +157,22 @@ def written_back(stored: DataFrame, local: DataFrame, remote: DataFrame) -> Data
     return upserted(stored, last_writer_wins(local, remote))
 
 
-def cascade(threads: DataFrame, removed: DataFrame, max_depth: int = 1000) -> DataFrame:
+def cascade(threads: DataFrame, removed: DataFrame) -> DataFrame:
     """Ids of the removed threads and of all their descendants.
 
-    Level by level until no new child is found; each level is one shuffle join
-    and is written to the checkpoint folder, so the plan does not grow.
+    Level by level until no new child is found, which also ends a cycle; each level is
+    one shuffle join and is written to the checkpoint folder, so the plan does not grow.
+    Threads without a parent are no one's children and are left out of the joins.
     """
-    links = threads.select(F.col("id").alias("child"), F.col("parent_thread_id").alias("id"))
+    links = threads.select(F.col("id").alias("child"), F.col("parent_thread_id").alias("id")).filter("id IS NOT NULL")
     levels = [cut_lineage(removed.select("id").distinct())]
-    for _ in range(max_depth):
+    while True:
         closed = union_all(levels)
         children = links.join(levels[-1], "id", "left_semi").select(F.col("child").alias("id")).distinct()
         level = cut_lineage(children.join(closed, "id", "left_anti"))
         if level.isEmpty():
             return closed
         levels.append(level)
-    raise RuntimeError(f"threads are nested deeper than {max_depth}")
 
 
 def delete_threads(
@@ -176,7 +190,7 @@ def delete_threads(
     kept = threads.join(gone, "id", "left_anti")
     left = messages.join(gone.withColumnRenamed("id", "thread_id"), "thread_id", "left_anti")
     there = left.select(F.col("id").alias("parent_message_id"), F.lit(True).alias("_there"))
-    linked = left.join(there, "parent_message_id", "left")
+    linked = _matched(left, there, "parent_message_id")
     return kept, linked.withColumn(
         "parent_message_id", F.when(F.col("_there"), F.col("parent_message_id"))
     ).drop("_there")

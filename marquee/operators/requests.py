@@ -28,6 +28,11 @@ CHOOSE = "Saya menemukan beberapa film. Pilih salah satu agar rekomendasi lebih
 DISCOVERY_RANKING = "40% rating + 25% vote count + 15% popularity + 20% metadata quality"
 SIMILARITY_RANKING = "70% similarity + 10% rating + 8% vote count + 7% popularity + 5% metadata quality"
 
+# The limits of a request.
+MESSAGE_LENGTHS = (1, 500)
+TOP_K = (1, 20)
+DEFAULT_TOP_K = 10
+
 _SUMMARY = {
     "genres": "genres_text", "cast": "top_cast_text", "director": "director_clean",
     "keywords": "keywords_text", "overview": "overview_clean",
@@ -67,18 +72,45 @@ def filtered_similar(
     k: int = 10,
     sizes: BlockSizes = BlockSizes(),
 ) -> DataFrame:
-    """Similar movies that also pass the request's filters, k per request.
+    """Similar movies that also pass the request's filters, top_k per request.
 
-    ``requests``: query_id, source_id, intent (NULL: no filter). The pool grows
-    to ten times k before the filters cut it.
+    ``requests``: query_id, source_id, intent (NULL: no filter), and top_k, or
+    all ask for ``k``. A request's pool is ten times its own top_k, cut by
+    similarity before the pool is re-ranked and filtered. With a top_k column
+    the requests' values must lie within ``TOP_K``.
     """
-    wide = max(CANDIDATE_POOL, 10 * k)
-    found = similar_movies(requests.select("query_id", "source_id"), movies, vectors, wide, wide, sizes)
-    intents = requests.select(F.col("query_id").cast("bigint"), "intent")
-    joined = found.join(intents, "query_id")
+    own = "top_k" in requests.columns
+    most = TOP_K[1] if own else k
+    asked = requests.select(
+        F.col("query_id").cast("bigint"), "intent", (F.col("top_k") if own else F.lit(k)).alias("_top_k")
+    )
+    sources = requests.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
+        "query_id", "source_id", "vector"
+    )
+    near = nearest_dense(sources, vectors.join(movies.select("id"), "id"), candidate_pool(most), sizes=sizes)
+    pooled = near.join(asked, "query_id").filter(F.col("retrieval_rank") <= pool_target(F.col("_top_k")))
+    scored = pooled.drop("vote_count").join(movies, "id")
+    found = rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, candidate_pool(most), rounded=True).withColumns(
+        {"reason": F.lit(SIMILARITY_REASON), "score_type": F.lit("similarity")}
+    )
     movie = {n: F.col(c) for n, c in _SUMMARY.items()}
-    kept = joined.filter(passes_filters(F.col("intent"), movie))
-    return top_per_key(kept.drop("intent"), ["query_id"], [F.asc("hybrid_rank")], k, "rank")
+    kept = found.filter(passes_filters(F.col("intent"), movie))
+    ranked = top_per_key(kept.drop("intent"), ["query_id"], [F.asc("hybrid_rank")], most, "rank")
+    return ranked.filter(F.col("rank") <= F.col("_top_k")).drop("_top_k")
+
+
+def candidate_pool(top_k: int) -> int:
+    """Candidates that are re-ranked for a request of ``top_k`` results."""
+    return max(CANDIDATE_POOL, 10 * top_k)
+
+
+def pool_target(top_k: Column) -> Column:
+    return F.greatest(F.lit(CANDIDATE_POOL), top_k * 10)
+
+
+def is_valid(message: Column, top_k: Column) -> Column:
+    """Whether the request keeps the limits; one that does not gets an error, not a shorter answer."""
+    return F.coalesce(F.length(message).between(*MESSAGE_LENGTHS) & top_k.between(*TOP_K), F.lit(False))
 
 
 def routed(requests: DataFrame) -> DataFrame:
@@ -115,7 +147,7 @@ def analysis(top_k: Column) -> Column:
         .otherwise("request_clarification()")
         .alias("backend_query"),
         F.when(similar, F.col("title")).alias("reference_title"),
-        F.when(similar, F.greatest(F.lit(CANDIDATE_POOL), top_k * 10)).alias("candidate_pool_target"),
+        F.when(similar, pool_target(top_k)).alias("candidate_pool_target"),
         top_k.alias("top_k"),
         F.when(similar, SIMILARITY_RANKING)
         .when(F.col("mode") == "discovery", DISCOVERY_RANKING)
@@ -136,22 +168,30 @@ def answer(
     requests: DataFrame,
     movies: DataFrame,
     vectors: DataFrame,
-    max_k: int = 20,
     sizes: BlockSizes = BlockSizes(),
 ) -> DataFrame:
     """Answer a table of messages (query_id, message, top_k).
 
     Returns query_id, mode, status, answer, source_id, candidates,
-    recommendations and analysis. A request holds at most ``max_k`` results.
-    The small result tables between the steps are written to the checkpoint
-    folder, since several later steps read each of them.
+    recommendations and analysis. A request outside the limits (``MESSAGE_LENGTHS``,
+    ``TOP_K``) is not answered but gets the status ``invalid_request``; without a
+    top_k it asks for ``DEFAULT_TOP_K``. The small result tables between the steps
+    are written to the checkpoint folder, since several later steps read each of them.
     """
-    asked = cut_lineage(routed(requests.withColumn("query_id", F.col("query_id").cast("bigint"))))
+    top_k = F.coalesce("top_k", F.lit(DEFAULT_TOP_K))
+    numbered = requests.withColumns({"query_id": F.col("query_id").cast("bigint"), "top_k": top_k})
+    all_asked = cut_lineage(routed(numbered).withColumn("_valid", is_valid(F.col("message"), F.col("top_k"))))
+    asked = all_asked.filter("_valid").drop("_valid")
+    refused = all_asked.filter("NOT _valid").select(
+        "query_id", "mode", F.lit("invalid_request").alias("status"), F.lit(None).cast("string").alias("answer"),
+        F.lit(None).cast("bigint").alias("source_id"), F.array().cast("array<bigint>").alias("candidates"),
+        analysis(F.col("top_k")).alias("analysis"),
+    )
     base = asked.withColumn("analysis", analysis(F.col("top_k")))
-    wanted = asked.select("query_id", F.least("top_k", F.lit(max_k)).alias("top_k"))
+    wanted = asked.select("query_id", "top_k")
 
     discovery = base.filter(F.col("mode") == "discovery")
-    listed = cut_lineage(_results(discover(discovery, movies, max_k, sizes), wanted, "score"))
+    listed = cut_lineage(_results(discover(discovery, movies, TOP_K[1], sizes), wanted, "score"))
     discovered = discovery.join(listed, "query_id", "left").select(
         "query_id", "mode",
         F.when(F.col("recommendations").isNotNull(), "recommendations").otherwise("not_found").alias("status"),
@@ -171,7 +211,9 @@ def answer(
     known = vectors.join(movies.select("id", F.col("title").alias("source_title")), "id")
     sources = resolved.filter(F.col("status") == "resolved").select("query_id", "source_id")
     found = _results(
-        filtered_similar(sources.join(similarity.select("query_id", "intent"), "query_id"), movies, vectors, max_k, sizes),
+        filtered_similar(
+            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes
+        ),
         wanted,
         "hybrid_score",
     )
@@ -211,7 +253,7 @@ def answer(
         F.array().cast("array<bigint>").alias("candidates"),
         "analysis",
     )
-    return union_all([discovered, similar, unclear])
+    return union_all([discovered, similar, unclear, refused])
 
 
 def with_explanations(results: DataFrame, explanations: DataFrame) -> DataFrame:

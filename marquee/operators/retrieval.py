@@ -25,21 +25,26 @@ def _best_of_block(
 ) -> list[pd.DataFrame]:
     """The k best items of every query row; ``items`` are already in tie order.
 
-    The score is ``weight`` times the similarity plus the item's own part.
+    The score is ``weight`` times the similarity plus the item's own part. One
+    partition and one sort serve the whole block.
     """
     ids, votes, own = (items[c].to_numpy() for c in ("id", "vote_count", "own"))
-    out = []
-    for row, query_id, source in zip(scores, queries["query_id"], queries["source_id"]):
-        total = weight * row + own
-        key = np.where(ids == source, -np.inf, np.round(total, DIGITS))
-        floor = np.partition(key, len(key) - k)[len(key) - k] if len(key) > k else -np.inf
-        near = np.flatnonzero(key >= floor)
-        similar = np.round(row, DIGITS)
-        near = near[np.lexsort((-similar[near], -key[near]))][:k]
-        near = near[key[near] > -np.inf]
-        values = [query_id, ids[near], row[near], total[near], key[near], similar[near], votes[near]]
-        out.append(pd.DataFrame(dict(zip(_COLUMNS, values))))
-    return out
+    total = weight * scores + own
+    key = np.round(total, DIGITS)
+    key[ids[None, :] == queries["source_id"].to_numpy()[:, None]] = -np.inf
+    floor = -np.inf
+    if key.shape[1] > k:
+        floor = np.partition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k][:, None]
+    row, item = np.nonzero((key >= floor) & (key > -np.inf))
+    similar = np.round(scores[row, item], DIGITS)
+    order = np.lexsort((item, -similar, -key[row, item], row))
+    row, item, similar = row[order], item[order], similar[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, item, similar = row[best], item[best], similar[best]
+    values = [
+        queries["query_id"].to_numpy()[row], ids[item], scores[row, item], total[row, item], key[row, item], similar, votes[item],
+    ]
+    return [pd.DataFrame(dict(zip(_COLUMNS, values)))]
 
 
 def _in_tie_order(items: pd.DataFrame) -> pd.DataFrame:

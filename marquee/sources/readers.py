@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marquee.functions.columns import has_text, number, present
 from marquee.operators.dedupe import first_batch
@@ -44,22 +44,53 @@ def model_input(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """All batch files of a folder as one frame with the name of its file.
+MALFORMED = "_malformed"
+
+
+def with_malformed(schema: StructType | str) -> StructType:
+    """The schema with a column that keeps the text of rows that do not fit it."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return StructType([*fields.fields, StructField(MALFORMED, StringType())])
 
-    Malformed rows and unreadable files are skipped, empty files add no rows.
-    The file name, and the position of the row in it, give the batch order: a
+
+def checked_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """All batch files of a folder as one frame with the path of its file.
+
+    A row that does not fit the schema is kept with its text in ``_malformed``; all
+    columns are parsed for that, whichever are read.
+    The path, and the position of the row in its file, give the batch order: a
     file is read by one task, in order. Batch files hold a bounded number of
-    rows, so reading each whole (values may hold line ends) stays small.
+    rows, so reading each whole (values may hold line ends) stays small. Files
+    that cannot be read at all stop the scan.
     """
-    batches = read_csv(spark, path, schema, mode="DROPMALFORMED", ignoreCorruptFiles=True)
-    return batches.select(
+    batches = read_csv(spark, path, with_malformed(schema), mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED)
+    # always true; it names every column, as the parser checks only those that are read
+    whole = F.hash(*(c for c in batches.columns)) >= F.lit(-(1 << 31))
+    return batches.filter(whole).select(
         "*",
-        F.col("_metadata.file_name").alias("batch_file"),
+        F.col("_metadata.file_path").alias("batch_file"),
         F.monotonically_increasing_id().alias("batch_row"),
     )
 
 
+def read_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of all batch files that fit the schema; :func:`quarantined_rows` gives the others."""
+    return checked_batches(spark, path, schema).filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def quarantined_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of all batch files that do not fit the schema: file, place and text."""
+    checked = checked_batches(spark, path, schema).filter(F.col(MALFORMED).isNotNull())
+    return checked.select("batch_file", "batch_row", F.col(MALFORMED).alias("text"))
+
+
+def batch_counts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Valid and malformed rows per batch file."""
+    bad = F.col(MALFORMED).isNotNull()
+    counts = [F.sum(F.when(x, 1).otherwise(0)).alias(name) for name, x in (("n_valid", ~bad), ("n_malformed", bad))]
+    return checked_batches(spark, path, schema).groupBy("batch_file").agg(*counts)
+
+
 BATCH_ORDER = ["batch_file", "batch_row"]
 
 

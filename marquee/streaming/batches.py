@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from marquee.sources.readers import MALFORMED, with_malformed
+
 
 def new_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """Stream of the rows of batch files that were not ingested before."""
+    """Stream of the rows of batch files that were not ingested before.
+
+    A row that does not fit the schema comes with its text in ``_malformed``:
+    ingested like the others, it can be counted and looked at in the table.
+    """
     return (
-        spark.readStream.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED")
+        spark.readStream.schema(with_malformed(schema))
+        .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED)
         .csv(folder)
-        .withColumn("batch_file", F.col("_metadata.file_name"))
+        .withColumn("batch_file", F.col("_metadata.file_path"))
     )
 
 

@@ -78,3 +78,26 @@ def test_merge_is_idempotent(spark, rows):
 def test_movie_threads_newest_first(spark):
     t = threads(spark, (1, 7, None), (2, 8, None), (3, 7, None))
     assert [r["id"] for r in cv.movie_threads(t, 7).collect()] == [3, 1]
+
+
+def test_messages_without_a_time_are_nested(spark):
+    threads = spark.createDataFrame([(1, "2024-01-01")], "id bigint, updated_at string")
+    rows = [(1, 1, None), (2, 1, "2024-01-01 00:00:05"), (3, 1, None)]
+    messages = spark.createDataFrame(rows, "id bigint, thread_id bigint, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    (row,) = cv.nested_threads(threads, messages).collect()
+    assert [m["id"] for m in row["messages"]] == [1, 3, 2]
+
+
+def test_missing_times_are_violations(spark):
+    threads = spark.createDataFrame([(1, 7, "t", "movie", None, "2024-01-01", None)], "id bigint, user_id bigint, title string, context_type string, parent_thread_id bigint, created_at string, updated_at string")
+    assert cv.check_threads(threads).first()["violations"] == ["updated_at_missing"]
+    messages = spark.createDataFrame([(1, 1, 7, None, "user", "hi", None), (2, 1, 7, 1, "user", "hi", "2024"), (3, 1, 7, 9, "user", "hi", "2024")], "id bigint, thread_id bigint, user_id bigint, parent_message_id bigint, role string, content string, created_at string")
+    found = {r["id"]: r["violations"] for r in cv.check_messages(messages, threads).collect()}
+    assert found == {1: ["created_at_missing"], 2: [], 3: ["parent_unknown"]}
+
+
+def test_deep_and_circular_threads_end(spark):
+    links = [(i, i - 1 if i else None) for i in range(12)] + [(50, 51), (51, 50)]
+    threads = spark.createDataFrame(links, "id bigint, parent_thread_id bigint")
+    gone = cv.cascade(threads, spark.createDataFrame([(3,), (50,)], "id bigint"))
+    assert sorted(r["id"] for r in gone.collect()) == [3, 4, 5, 6, 7, 8, 9, 10, 11, 50, 51]

@@ -1,5 +1,6 @@
 """The request cases: titles, intents, filters, answers, routing."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,37 @@ def test_answer_covers_every_status(spark):
     assert got[3]["status"] in ("needs_selection", "recommendations")
     assert got[1]["analysis"]["candidate_pool_target"] == 50
     assert "t4_catalogue_ranking" in entry.queries()
+
+
+def test_pool_and_length_follow_each_request(spark):
+    rnd = np.random.default_rng(3)
+    n = 320
+    table = rnd.normal(size=(n, 6)) * 0.4 + 1
+    movies = spark.createDataFrame(
+        [(i, f"m{i}", float(rnd.uniform(0, 10)), float(rnd.integers(0, 900)), float(rnd.uniform(0, 90)), float(rnd.uniform(0, 100))) for i in range(n)],
+        "id bigint, title string, vote_average double, vote_count double, popularity double, recommendation_quality_score double",
+    )
+    for c in ("genres_text", "top_cast_text", "director_clean", "keywords_text", "overview_clean", "original_language"):
+        movies = movies.withColumn(c, F.lit("x"))
+    movies = movies.withColumns({"release_year": F.lit(2000), "runtime": F.lit(100.0)})
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(table)], "id bigint, vector array<double>")
+    asked = spark.createDataFrame([(1, 5, 1), (2, 5, 10), (3, 5, 20), (4, 9, 7)], "query_id bigint, source_id bigint, top_k int")
+    intent = it.with_intent(spark.createDataFrame([("halo",)], "message string"), name="intent").select("intent").limit(0)
+    asked = asked.withColumn("intent", F.lit(None).cast(intent.schema["intent"].dataType))
+    got = {}
+    for r in rq.filtered_similar(asked, movies, vectors).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    for query, source, k in [(1, 5, 1), (2, 5, 10), (3, 5, 20), (4, 9, 7)]:
+        alone = asked.filter(F.col("query_id") == query).drop("top_k")
+        want = rq.filtered_similar(alone, movies, vectors, k).orderBy("rank").collect()
+        assert got[query] == [r["id"] for r in want] and len(want) == k
+    unit = table / np.linalg.norm(table, axis=1, keepdims=True)
+    near = [i for i in np.argsort(-(unit @ unit[5])) if i != 5][:50]
+    assert set(got[1]) <= set(near)
+
+
+def test_requests_outside_the_limits_are_refused(spark):
+    ok = rq.is_valid(F.col("message"), F.col("top_k"))
+    rows = [("a", 1), ("a" * 500, 20), ("", 5), ("a" * 501, 5), ("a", 0), ("a", 21), (None, 5)]
+    df = spark.createDataFrame(rows, "message string, top_k int")
+    assert [r[0] for r in df.select(ok).collect()] == [True, True, False, False, False, False, False]

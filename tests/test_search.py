@@ -18,7 +18,7 @@ GOLDEN = [
     (0.9545947, 0.7421, 0.0009506416831361169, 0.0013526505623229666, 1.0, 0.7925970268740136),
 ]
 
-SMALL = BlockSizes(broadcast_rows=0, query_rows=7, item_rows=11)
+SMALL = BlockSizes(query_rows=7, item_rows=11)
 SIZES = [BlockSizes(), SMALL]
 
 

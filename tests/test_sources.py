@@ -78,6 +78,25 @@ def test_batches_are_combined_in_file_order(spark, tmp_path):
     assert {r["id"]: r["title"] for r in last.collect()}[1] == "second"
 
 
+def test_malformed_rows_are_kept_and_counted(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text("id,title,year\n1,a,2000\nx,b,2001\n2,c,20o2\n")
+    (tmp_path / "b.csv").write_text("id,title,year\n3,d,2003\n")
+    schema = "id bigint, title string, year int"
+    assert rows(readers.read_batches(spark, str(tmp_path), schema), "id", "title") == [(1, "a"), (3, "d")]
+    bad = readers.quarantined_rows(spark, str(tmp_path), schema).collect()
+    assert sorted(r["text"].strip() for r in bad) == ["2,c,20o2", "x,b,2001"]
+    counts = readers.batch_counts(spark, str(tmp_path), schema).collect()
+    assert sorted((r["batch_file"].rsplit("/")[-1], r["n_valid"], r["n_malformed"]) for r in counts) == [("a.csv", 1, 2), ("b.csv", 1, 0)]
+
+
+def test_equal_file_names_keep_folder_order(spark, tmp_path):
+    for folder, title in (("b1", "first"), ("b2", "second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f"id,title,release_date\n1,{title},2020-01-01\n")
+    read = readers.read_batches(spark, [str(tmp_path / "b2"), str(tmp_path / "b1")], "id bigint, title string, release_date string")
+    assert readers.combine_batches(read).first()["title"] == "first"
+
+
 def test_csv_round_trip_keeps_quotes_and_lines(spark, tmp_path):
     text = 'He said "hi",\nthen left'
     df = spark.createDataFrame([(1, text)], "id bigint, title string")
@@ -134,7 +153,7 @@ def test_streamed_batches_are_ingested_once(spark, tmp_path):
 
     def run():
         batches.ingest(batches.new_batches(spark, str(landing), schema), str(table), str(progress)).awaitTermination(60)
-        return sorted((r["id"], r["batch_file"]) for r in spark.read.parquet(str(table)).collect())
+        return sorted((r["id"], r["batch_file"].rsplit("/")[-1]) for r in spark.read.parquet(str(table)).collect())
 
     assert run() == [(1, "a.csv")]
     (landing / "b.csv").write_text(header + "1,b,2021-01-01\n2,c,2021-01-01\n")
