@@ -91,7 +91,7 @@ def model_rows(rows: DataFrame, model_name: str, rank: Column, score: Column) ->
         F.col("title").alias("recommended_title"),
         F.col("release_year").alias("recommended_release_year"),
         F.col("genres_text").alias("recommended_genres"),
-        "vote_average", "vote_count",
+        "vote_average", "vote_count", "popularity",
         score.alias("score"),
         "genre_overlap",
     )
@@ -136,7 +136,7 @@ def query_summary(examples: DataFrame, query: str = "query") -> DataFrame:
 
 def grid_metrics(examples: DataFrame, models: Sequence[str], queries: DataFrame) -> DataFrame:
     """Metrics of every (model, query) pair; pairs without results are zero."""
-    means = ["score", "vote_average", "vote_count"]
+    means = ["score", "vote_average", "vote_count", "popularity"]
     found = examples.groupBy("model", "query_id").agg(
         F.count("*").alias("recommendation_count"), *(mean(c).alias(f"avg_{c}") for c in means)
     )

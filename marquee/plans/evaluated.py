@@ -120,7 +120,7 @@ def _sparse_examples_sql(name, weight, label):
         .replace("ranked AS", f"{name}_ranked AS").strip()
         + f""",
 {name}_examples AS (SELECT * EXCLUDE (a, b), {_OVERLAP} AS genre_overlap FROM (SELECT '{label}' AS model, query_id, f.id,
-  r.raw AS score, f.vote_average, f.vote_count, {_words('s.genres_text')} AS a, {_words('f.genres_text')} AS b
+  r.raw AS score, f.vote_average, f.vote_count, f.popularity, {_words('s.genres_text')} AS a, {_words('f.genres_text')} AS b
   FROM {name}_ranked r JOIN final f ON f.id = r.id JOIN final s ON s.id = r.source_id WHERE rn <= 10))
 """
     )
@@ -134,9 +134,9 @@ _COMPARED_SQL = (
     *_PARTS,
     _sparse_examples_sql("cv", COUNT_WEIGHT, COUNT_MODEL),
     _sparse_examples_sql("ti", TFIDF_WEIGHT, TFIDF_MODEL),
-    f"""compared AS (SELECT model, query_id, id, score, vote_average, vote_count, genre_overlap FROM cv_examples
-  UNION ALL SELECT model, query_id, id, score, vote_average, vote_count, genre_overlap FROM ti_examples
-  UNION ALL SELECT '{DENSE_MODEL}', query_id, id, similarity_score, vote_average, vote_count, genre_overlap FROM examples)""",
+    f"""compared AS (SELECT model, query_id, id, score, vote_average, vote_count, popularity, genre_overlap FROM cv_examples
+  UNION ALL SELECT model, query_id, id, score, vote_average, vote_count, popularity, genre_overlap FROM ti_examples
+  UNION ALL SELECT '{DENSE_MODEL}', query_id, id, similarity_score, vote_average, vote_count, popularity, genre_overlap FROM examples)""",
 )
 
 
@@ -187,10 +187,10 @@ def g19(spark, sf):
     "g21_model_query_grid",
     prepared_sql(
         f"""SELECT m.model, q.query_id, coalesce(n, 0) AS recommendation_count, coalesce(s, 0) AS avg_score,
-        coalesce(r, 0) AS avg_vote_average, coalesce(v, 0) AS avg_vote_count
+        coalesce(r, 0) AS avg_vote_average, coalesce(v, 0) AS avg_vote_count, coalesce(p, 0) AS avg_popularity
         FROM (VALUES ('{COUNT_MODEL}'), ('{TFIDF_MODEL}'), ('{DENSE_MODEL}'), ('no such model')) m(model), title_queries q
         LEFT JOIN (SELECT model, query_id, count(*) AS n, round(avg(score), 4) AS s, round(avg(vote_average), 4) AS r,
-          round(avg(vote_count), 4) AS v FROM compared GROUP BY 1, 2) g ON g.model = m.model AND g.query_id = q.query_id""",
+          round(avg(vote_count), 4) AS v, round(avg(popularity), 4) AS p FROM compared GROUP BY 1, 2) g ON g.model = m.model AND g.query_id = q.query_id""",
         *_COMPARED_SQL,
     ),
 )
