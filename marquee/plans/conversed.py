@@ -108,7 +108,8 @@ def chat_requests(spark, sf):
         .when(F.col("p_type") == "MEDIUM", say(" ", "name", F.col("query_id").cast("string")))
         .otherwise(say(" ", F.lit("film horor seperti"), "name", F.col("query_id").cast("string")))
         .alias("message"),
-        F.lit(10).alias("top_k"),
+        # 0 to 23: some ask for nothing or for more than the service gives
+        F.pmod("query_id", F.lit(24)).cast("int").alias("top_k"),
     )
 
 
@@ -137,15 +138,16 @@ def r4_routes(spark, sf):
     SELECT query_id, message AS original_query, CASE WHEN {_NO_FILTER}
         THEN 'resolve_title -> cosine_search -> hybrid_rerank -> intent_filters -> top_k'
         ELSE 'metadata_discovery(filters) -> discovery_ranking -> top_k' END AS backend_query,
-      CASE WHEN {_NO_FILTER} THEN 100 END AS candidate_pool_target,
+      CASE WHEN {_NO_FILTER} THEN 'similarity' ELSE 'discovery' END AS execution_mode, CAST(query_id % 20 + 1 AS INTEGER) AS top_k,
+      CASE WHEN {_NO_FILTER} THEN greatest(50, CAST(10 * (query_id % 20 + 1) AS INTEGER)) END AS candidate_pool_target,
       CASE WHEN {_NO_FILTER} THEN '{rq.SIMILARITY_RANKING}' ELSE '{rq.DISCOVERY_RANKING}' END AS ranking
     FROM intents JOIN messages USING (query_id)""",
 )
 def r5(spark, sf):
-    asked = rq.routed(messages(spark, sf).withColumn("top_k", F.lit(10)))
+    asked = rq.routed(messages(spark, sf).withColumn("top_k", (F.pmod("query_id", F.lit(20)) + 1).cast("int")))
     record = asked.select("query_id", rq.analysis(F.col("top_k")).alias("a"))
     return record.select(
-        "query_id", "a.original_query", "a.backend_query", "a.candidate_pool_target", "a.ranking"
+        "query_id", "a.original_query", "a.backend_query", "a.execution_mode", "a.top_k", "a.candidate_pool_target", "a.ranking"
     )
 
 
