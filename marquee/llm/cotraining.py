@@ -16,6 +16,9 @@ Fitting reads ``LABELLED`` labelled and ``POOL`` unlabelled rows, give or take c
 sample by hash of the id, so it does not depend on order or partitions. A fifth of the
 labelled rows is held out for calibration. Scoring reads every document.
 
+A document is kept if its score is 0.5 or more, or lower, where that would drop more than 2 % of
+the held-out good documents (``KEEP_GOOD``): the bound then is the score that keeps 98 %.
+
 Confidence is judged by calibrated probability: a view whose probabilities never reach
 ``CONFIDENT`` gives no labels away, so a weak view cannot mislead the strong one.
 
@@ -45,6 +48,8 @@ from marquee.llm.shared import written
 LABELLED, POOL = 20_000, 10_000
 ROUNDS = 2
 CONFIDENT = 0.97
+#: Share of held-out good documents that the decision keeps at least.
+KEEP_GOOD = 0.98
 PSEUDO_WEIGHT = 0.5
 TEXT_SIZE, META_SIZE = 1 << 16, 1 << 12
 #: Measures of form at the head of the text view, and their weight.
@@ -171,11 +176,12 @@ def _bounded(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Classifier:
-    """Both views and the weights of their calibrated log-odds."""
+    """Both views, the weights of their calibrated log-odds, and the log-odds from which a document is kept."""
 
     text: View | None
     meta: View | None
     weights: tuple[float, float, float]
+    kept_from: float = 0.0
 
     def scored(self, rows: DataFrame) -> DataFrame:
         shift, a, b = self.weights
@@ -186,7 +192,7 @@ class Classifier:
         return both.select("id", F.col("text_view_odds").alias("text_odds"), F.col("meta_view_odds").alias("meta_odds"), odds.alias("odds"))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", quality: str = "quality", toxic: str = "toxic", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Classifier:
+def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", quality: str = "quality", toxic: str = "toxic", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> Classifier:
     """Co-train on the labelled documents and a pool of others."""
     good = (F.coalesce(F.col(quality), F.lit(0)) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0)
     marked = labels.select(F.col(key).alias("id"), good.cast("double").alias("label")).filter("id IS NOT NULL")
@@ -217,16 +223,18 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             sure = views[teacher].scored(unlabelled).filter(F.abs(odds) >= edge)
             extra[learner] = sure.select("id", "text_view", "meta_view", (odds > 0).cast("double").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"))
     both = views["meta_view"].scored(views["text_view"].scored(held))
-    weights = _regression(both.select("text_view_odds", "meta_view_odds", "label").collect(), 2)
-    return Classifier(views["text_view"], views["meta_view"], tuple(weights))
+    margins = np.array(both.select("text_view_odds", "meta_view_odds", "label").collect(), float)
+    weights = _regression(margins, 2)
+    good_odds = (weights[0] + margins[:, :2] @ np.array(weights[1:]))[margins[:, 2] == 1]
+    return Classifier(views["text_view"], views["meta_view"], tuple(weights), min(0.0, float(np.quantile(good_odds, 1 - keep_good))))
 
 
-def scored(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", threshold: float = 0.5, **fit) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", **fit) -> DataFrame:
     """Per row: ``id``, the views' calibrated probabilities, ``score`` (probability of good) and ``kept``."""
     classifier = fitted(documents, labels, key, text, source, lang, length, **fit)
     probability = lambda c: 1 / (1 + F.exp(-F.col(c)))
     out = classifier.scored(with_features(documents, key, text, source, lang, length))
     return out.select(
         "id", probability("text_odds").alias("text_score"), probability("meta_odds").alias("meta_score"), probability("odds").alias("score"),
-        (probability("odds") >= threshold).alias("kept"),
+        (F.col("odds") >= classifier.kept_from).alias("kept"),
     )
