@@ -25,17 +25,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the writes inside go as soon as a write has ended: its rows are in the shared folder then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the writes inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def released_shuffles(spark: SparkSession):
+    """Shuffle files of the writes inside go as soon as a write has ended: its rows are in the shared folder then."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Texts of the writes inside go to Python in batches of few rows, as a batch lies in memory on both sides."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read again at will."""
     spark = df.sparkSession

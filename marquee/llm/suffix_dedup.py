@@ -36,11 +36,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marquee.llm.shared import bucketed, partitions, written
+from marquee.llm.shared import bucketed, partitions, small_batches, written
 from marquee.llm.textblocks import PrefixHashes, mixed, row_blocks, text_bytes
 
 #: Text bytes searched together: a byte takes about a hundred bytes of arrays.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Different contexts of one anchor that a task sorts.
 CROWD = 2000
 #: Context bytes sorted together.
@@ -330,7 +330,7 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
         .select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "row", "copies")
     )
     source = rows.select(*digest, F.xxhash64("id", "text").alias("row"), "text").join(classes.select("class", "h1", "h2", "row"), ["h1", "h2", "row"])
-    with bucketed(source.select("class", "text"), "class") as texts:
+    with bucketed(source.select("class", "text"), "class") as texts, small_batches(spark):
         found = texts.mapInArrow(_find_anchors(length), "anchor bigint, context bigint, class bigint, low int, shape int")
         shared = written(found.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1").drop("n"))
         contexts = shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("class", "low", "shape")).alias("at"))
