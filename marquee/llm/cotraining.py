@@ -36,7 +36,7 @@ from math import log
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import ElementwiseProduct, HashingTF, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -56,6 +56,8 @@ TEXT_SIZE, META_SIZE = 1 << 16, 1 << 12
 MEASURES, MEASURE_WEIGHT = 6, 2.0
 #: Standard deviations by which a word's shares must differ to count.
 DEVIATIONS = 3.5
+#: Words that the text classifier weighs: those that deviate most.
+WORDS = 4096
 #: Partitions of the bounded training sample: few enough that an iteration is one stage.
 FIT_PARTITIONS = 4
 
@@ -104,7 +106,7 @@ class View:
 
     column: str
     model: LogisticRegressionModel
-    weights: list[float] | None = None
+    weights: dict[int, float] | None = None
     slope: float = 1.0
     shift: float = 0.0
 
@@ -115,26 +117,31 @@ class View:
         return out.withColumn(f"{self.column}_odds", vector_to_array("__raw")[1] * self.slope + self.shift).drop("__raw", "__x")
 
 
-def _weighed(rows: DataFrame, column: str, weights: list[float] | None) -> DataFrame:
-    """The view's inputs as ``__x``."""
+def _weighed(rows: DataFrame, column: str, weights: dict[int, float] | None) -> DataFrame:
+    """The view's inputs as ``__x``: all of them, or the chosen ones with their weights."""
     if weights is None:
         return rows.withColumn("__x", F.col(column))
-    return ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol=column, outputCol="__x").transform(rows)
+    rows = VectorSlicer(inputCol=column, outputCol="__some", indices=list(weights)).transform(rows)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(list(weights.values())), inputCol="__some", outputCol="__x")
+    return scaled.transform(rows).drop("__some")
 
 
-def _word_weights(train: DataFrame) -> list[float]:
-    """Naive Bayes log-ratios of the hashed words that differ beyond chance; measures keep a fixed weight."""
+def _word_weights(train: DataFrame) -> dict[int, float]:
+    """Naive Bayes log-ratios of the hashed words that differ beyond chance, ``WORDS`` at most; measures keep a fixed weight."""
     sums = Summarizer.metrics("sum")
     rows = train.groupBy("label").agg(sums.summary(F.col("text_view"))["sum"].alias("sums"), F.count("*").alias("n")).collect()  # two rows
     seen = {r["label"]: (r["sums"].toArray() + 1, r["n"] + 2) for r in rows}
     (good, n_good), (bad, n_bad) = seen[1.0], seen[0.0]
     ratio = np.abs(np.log(good / n_good) - np.log(bad / n_bad))
-    ratio[ratio < DEVIATIONS * np.sqrt(1 / good + 1 / bad)] = 0
+    deviations = ratio / np.sqrt(1 / good + 1 / bad)
+    deviations[:MEASURES] = np.inf
     ratio[:MEASURES] = MEASURE_WEIGHT
-    return ratio.tolist()
+    telling = np.flatnonzero(deviations >= DEVIATIONS)
+    telling = np.sort(telling[np.argsort(-deviations[telling], kind="stable")[: WORDS + MEASURES]])
+    return {int(i): float(ratio[i]) for i in telling}
 
 
-def _fit(rows: DataFrame, column: str, weights: list[float] | None, reg: float) -> LogisticRegressionModel:
+def _fit(rows: DataFrame, column: str, weights: dict[int, float] | None, reg: float) -> LogisticRegressionModel:
     rows = _weighed(rows, column, weights)
     learner = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="weight", maxIter=20, regParam=reg, standardization=False)
     return learner.fit(rows)
