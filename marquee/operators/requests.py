@@ -17,7 +17,7 @@ from marquee.operators.ranking import (
     rerank,
 )
 from marquee.operators.retrieval import nearest_dense
-from marquee.operators.titles import resolve_with_status, search_titles
+from marquee.operators.titles import resolve_with_status
 from marquee.session import cut_lineage
 
 # Answer texts and the ranking notes of the analysis record.
@@ -264,10 +264,6 @@ def with_explanations(results: DataFrame, explanations: DataFrame) -> DataFrame:
     ).drop("_given")
 
 
-def title_listing(queries: DataFrame, movies: DataFrame, limit: int = 10) -> DataFrame:
-    return search_titles(queries, movies, limit)
-
-
 def display_columns(results: DataFrame, prefix: str = "https://image.example.org") -> DataFrame:
     """Poster address and score as a percent text."""
     return results.withColumns(

@@ -115,18 +115,20 @@ def fit_word2vec(
     iterations: int = 5,
     seed: int = 42,
     tokens_column: str = "tokens",
-    max_vocabulary: int = 2_000_000,
+    max_vocabulary: int | None = None,
     partitions: int | None = None,
 ):
     """Word2Vec over the token arrays, trained on every partition.
 
-    Training keeps the whole vocabulary on the driver and in each task, so its
-    size is checked first; a larger one needs a higher ``min_count``.
+    Training keeps the whole vocabulary on the driver and in each task. With
+    ``max_vocabulary`` its size is checked first, and a larger one is refused: it
+    needs a higher ``min_count``.
     """
-    words = prepared.select(F.explode(tokens_column).alias("term")).groupBy("term").count()
-    known = words.filter(F.col("count") >= min_count).count()
-    if known > max_vocabulary:
-        raise ValueError(f"{known} words reach min_count={min_count}; at most {max_vocabulary} fit: raise min_count")
+    if max_vocabulary is not None:
+        words = prepared.select(F.explode(tokens_column).alias("term")).groupBy("term").count()
+        known = words.filter(F.col("count") >= min_count).count()
+        if known > max_vocabulary:
+            raise ValueError(f"{known} words reach min_count={min_count}; at most {max_vocabulary} fit: raise min_count")
     partitions = partitions or max(1, prepared.sparkSession.sparkContext.defaultParallelism)
     stage = Word2Vec(
         vectorSize=size, minCount=min_count, maxIter=iterations, seed=seed, numPartitions=partitions,
@@ -215,4 +217,4 @@ def _joined_terms(top: DataFrame, key: str) -> DataFrame:
 
 
 def cluster_report(summary: DataFrame, terms: DataFrame, key: str = "cluster_id") -> DataFrame:
-    return summary.join(F.broadcast(terms), key, "left")
+    return summary.join(terms, key, "left")

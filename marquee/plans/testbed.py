@@ -124,7 +124,7 @@ def _country_lists(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame)
         lineitem.select("l_partkey", "l_suppkey")
         .distinct()
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     return made.groupBy("l_partkey").agg(
         F.concat_ws(" | ", F.array_sort(F.collect_set("n_name"))).alias("production_countries")
