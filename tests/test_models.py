@@ -66,7 +66,7 @@ def test_summaries(spark):
     by_query = {r["query_id"]: r for r in ev.query_summary(df, "query_id").collect()}
     assert by_query["__overall__"]["recommendation_count"] == 3
     assert by_query["1"]["avg_similarity_score"] == 0.3
-    shaped = df.withColumnsRenamed({"id": "recommended_id", "similarity_score": "score"})
+    shaped = df.withColumnsRenamed({"id": "recommended_id", "similarity_score": "score"}).withColumn("popularity", F.lit(2.5))
     assert [r["model"] for r in ev.model_summary(shaped).collect()] == ["n", "m"]
     queries = spark.createDataFrame([(1,), (2,)], "query_id bigint")
     grid = {(r["model"], r["query_id"]): r["recommendation_count"] for r in ev.grid_metrics(shaped, ["m", "n"], queries).collect()}
