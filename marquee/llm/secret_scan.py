@@ -13,8 +13,9 @@ names or prefixes a candidate matched is not among the forest's inputs, so it ha
 what secrets look like; reviewed findings can be passed instead or besides.
 
 Training reads about ``FINDINGS`` labelled findings (a sample by hash). The dictionary is counted
-over all documents; it keeps the ``DICTIONARY`` commonest letter words. Candidates and
-verdicts cover every document, whole.
+over all documents; it keeps every letter word that stands in ``KNOWN_FROM`` of them or more, whatever
+their number. Letters inside a key or an address are no word: chance would make them known in
+a large table. Candidates and verdicts cover every document, whole.
 
 All expressions and the forest run in the JVM.
 
@@ -35,7 +36,8 @@ from marquee.llm.expressions import words_of
 from marquee.llm.shared import written
 
 FINDINGS = 20_000
-DICTIONARY = 20_000
+#: Documents that a word of the dictionary stands in at least.
+KNOWN_FROM = 2
 TREES, DEPTH, SEED = 30, 8, 7
 NEIGHBOURS, PATHS = 64, 16
 
@@ -44,15 +46,17 @@ NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|aut
 ISSUED = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{8,})"
 RUN = r"[\p{L}\p{N}+/_=.@-]{16,}"
 CANDIDATE = rf"{RUN}|{NAMES[4:]}[=:]\S{{6,}}"
+#: Letters that are not part of a key, an address or a name with digits.
+WORD = r"(?<![\p{L}\p{N}+/_=@])\p{L}{3,}(?![\p{L}\p{N}+/_=@])"
 _ASSIGNED = rf"{NAMES}[=:]+[\"']?\S{{6,}}$"
 _NAME_ONLY = rf"^[\"'(\[{{]*{NAMES}[\"']?[=:]*$"
 
 
-def dictionary(documents: DataFrame, text: str, size: int = DICTIONARY) -> DataFrame:
-    """The commonest words of three letters or more, lower-cased, over all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))
+def dictionary(documents: DataFrame, text: str, known_from: int = KNOWN_FROM) -> DataFrame:
+    """All words of three letters or more, lower-cased, that ``known_from`` documents or more hold."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)))
     counted = documents.select(F.explode(words).alias("word")).groupBy("word").count()
-    return counted.orderBy(F.desc("count"), "word").limit(size).select("word")
+    return counted.filter(F.col("count") >= known_from).select("word")
 
 
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:

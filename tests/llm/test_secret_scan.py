@@ -57,3 +57,13 @@ def test_odd_rows(spark, make_documents):
     assert sorted(str(r.id) for r in out) == ["3", "3", "3", "None"]
     assert secret_scan.scanned(docs.limit(0)).count() == 0
     assert secret_scan.scanned(docs.limit(2)).count() == 0
+
+
+def test_dictionary_keeps_every_word(spark, make_documents):
+    def word(i):
+        return "w" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    common = [" ".join(word(i) for i in range(start, start + 6000)) for start in range(0, 24_000, 6000)]
+    docs = make_documents([*common, *common, "seltenwort key3abc4", "ein Seltenwort, key5abc6", "einmal"])
+    known = {r.word for r in secret_scan.dictionary(docs, "text").collect()}
+    assert known == {*(word(i) for i in range(24_000)), "seltenwort"}
