@@ -1,6 +1,7 @@
 """Secret scan with a random forest behind the candidate patterns.
 
-Patterns find words that may be or hold a secret: values assigned to telling names, keys
+Patterns find words that may be or hold a secret: values assigned to telling names (in
+the same word, or of six characters or more in the word after the name), keys
 with a known prefix, and long runs of key characters. Most long runs are no secrets, so
 a forest judges every candidate by its length, the character classes and the
 transitions between them, how much of it the corpus's dictionary covers, the path
@@ -32,7 +33,7 @@ from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.llm.expressions import words_of
+from marquee.llm.expressions import NO_SPACE, SPACE, words_of
 from marquee.llm.shared import written
 
 FINDINGS = 20_000
@@ -45,11 +46,15 @@ NEIGHBOURS, PATHS = 64, 16
 NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 ISSUED = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{8,})"
 RUN = r"[\p{L}\p{N}+/_=.@-]{16,}"
-CANDIDATE = rf"{RUN}|{NAMES[4:]}[=:]\S{{6,}}"
+CANDIDATE = rf"{RUN}|{NAMES[4:]}[\"']?[=:]\S{{6,}}"
 #: Letters that are not part of a key, an address or a name with digits.
 WORD = r"(?<![\p{L}\p{N}+/_=@])\p{L}{3,}(?![\p{L}\p{N}+/_=@])"
-_ASSIGNED = rf"{NAMES}[=:]+[\"']?\S{{6,}}$"
+_ASSIGNED = rf"{NAMES}[\"']?[=:]+[\"']?\S{{6,}}$"
 _NAME_ONLY = rf"^[\"'(\[{{]*{NAMES}[\"']?[=:]*$"
+#: A text with a telling name as a word and a value of six characters behind it.
+_NAME_AND_VALUE = rf"(?:^|{SPACE})[\"'(\[{{]*{NAMES}[\"']?[=:]*{SPACE}+(?:[=:]+{SPACE}+)?{NO_SPACE}{{6,}}"
+#: Characters from which a value behind a name without ``=`` or ``:`` is a sure label.
+SURE = 16
 
 
 def dictionary(documents: DataFrame, text: str, known_from: int = KNOWN_FROM) -> DataFrame:
@@ -62,12 +67,13 @@ def dictionary(documents: DataFrame, text: str, known_from: int = KNOWN_FROM) ->
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """``id``, ``path``, ``at`` (number of the word), ``candidate`` and two words on either side."""
     rows = documents.select(F.col(key).alias("id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.filter(F.col("text").rlike(f"(?i){CANDIDATE}"))
+    rows = rows.filter(F.col("text").rlike(f"(?i){CANDIDATE}") | F.col("text").rlike(_NAME_AND_VALUE))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("w", words_of(F.col("text"))).drop("text")
 
     def at(w: Column) -> Column:
-        places = F.transform(w, lambda x, i: F.when(x.rlike(f"(?i){CANDIDATE}"), i))
         side = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+        behind = lambda x, i: _named(side(i - 1), side(i - 2)) & (F.length(_value(x)) >= 6)
+        places = F.transform(w, lambda x, i: F.when(x.rlike(f"(?i){CANDIDATE}") | behind(x, i), i))
         return F.transform(F.array_compact(places), lambda i: F.struct(
             i.alias("at"), side(i).alias("candidate"), *(side(i + k).alias(name) for name, k in (("before2", -2), ("before", -1), ("after", 1), ("after2", 2))),
         ))
@@ -78,7 +84,12 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
 def _value(candidate: Column) -> Column:
     """The candidate without quotes and a leading name."""
     bare = F.regexp_replace(candidate, r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$", "")
-    return F.regexp_replace(bare, rf"^{NAMES}[=:]+[\"']?", "")
+    return F.regexp_replace(bare, rf"^{NAMES}[\"']?[=:]+[\"']?", "")
+
+
+def _named(before: Column, before2: Column) -> Column:
+    """Whether the words before are a telling name, or one and its ``=`` or ``:``."""
+    return before.rlike(_NAME_ONLY) | (before.rlike("^[=:]+$") & before2.rlike(_NAME_ONLY))
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -127,7 +138,9 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings whose label is beyond doubt: ``row``, ``at``, ``label``."""
     issued = F.col("value").rlike(f"^{ISSUED}$")
-    named = F.col("candidate").rlike(_ASSIGNED) | (F.col("before").rlike(_NAME_ONLY) | (F.col("before").rlike("^[=:]+$") & F.col("before2").rlike(_NAME_ONLY)))
+    # a short word behind a bare name may be prose: the forest judges it
+    sure = F.col("before").rlike("[=:]$") | (F.length("value") >= SURE)
+    named = F.col("candidate").rlike(_ASSIGNED) | (_named(F.col("before"), F.col("before2")) & sure)
     address = F.col("value").rlike(r"^[^@]+@[^@]+\.\p{L}{2,}$|^https?:|^www\.")
     letters = F.col("value").rlike(r"^[\p{L}.,'-]+$")
     label = F.when(issued | (named & ~letters), 1.0).when(address | letters | (F.col("covered") >= 0.8), 0.0)

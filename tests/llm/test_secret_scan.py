@@ -67,3 +67,16 @@ def test_dictionary_keeps_every_word(spark, make_documents):
     docs = make_documents([*common, *common, "seltenwort key3abc4", "ein Seltenwort, key5abc6", "einmal"])
     known = {r.word for r in secret_scan.dictionary(docs, "text").collect()}
     assert known == {*(word(i) for i in range(24_000)), "seltenwort"}
+
+
+def test_short_values_of_names(spark, make_documents):
+    texts = [
+        "set password = hunter2xyz now", 'the password: "s3cr3tpw" here', '{"password":"hunter2x"}', "pwd : abc123", "token abc123 used", "api_key\t=\nq1w2e3",
+        "password = abc12", "password is hunter2x", "the words = hunter2xyz", 'pwd: "abc"',
+    ]
+    found = {(r.id, r.candidate): r.value for r in secret_scan.candidates(make_documents(texts)).withColumn("value", secret_scan._value(F.col("candidate"))).collect()}
+    assert found == {
+        (0, "hunter2xyz"): "hunter2xyz", (1, '"s3cr3tpw"'): "s3cr3tpw", (2, '{"password":"hunter2x"}'): "hunter2x", (3, "abc123"): "abc123", (4, "abc123"): "abc123",
+        (5, "q1w2e3"): "q1w2e3",
+    }
+    assert secret_scan.scanned(make_documents(texts)).count() == 6
