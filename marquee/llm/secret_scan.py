@@ -13,7 +13,8 @@ true, and candidates that the dictionary or a plain address explains are false.
 names or prefixes a candidate matched is not among the forest's inputs, so it has to learn
 what secrets look like; reviewed findings can be passed instead or besides.
 
-Training reads about ``FINDINGS`` labelled findings (a sample by hash). The dictionary is counted
+Training reads about ``FINDINGS`` labelled findings: a sample by hash of each label, half of them
+secrets or all secrets if there are fewer, with weights that restore the labels' shares. The dictionary is counted
 over all documents; it keeps every letter word that stands in ``KNOWN_FROM`` of them or more, whatever
 their number. Letters inside a key or an address are no word: chance would make them known in
 a large table. Candidates and verdicts cover every document, whole.
@@ -34,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.expressions import NO_SPACE, SPACE, words_of
-from marquee.llm.shared import written
+from marquee.llm.shared import PARTS, label_shares, written
 
 FINDINGS = 20_000
 #: Documents that a word of the dictionary stands in at least.
@@ -147,6 +148,24 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     return found.withColumn("label", label).filter("label IS NOT NULL").select("row", "at", "label")
 
 
+def fit_sample(marked: DataFrame, total: dict[float, int], findings: int) -> DataFrame:
+    """About ``findings`` rows of ``marked``, both labels among them, with the ``weight`` that restores the share of their label."""
+    shares = label_shares(total, findings)
+    while True:
+        # chosen by the candidate: copies of one finding weigh what they weigh in the whole
+        share = F.when(F.col("label") == 1, F.lit(shares[1.0])).otherwise(F.lit(shares[0.0]))
+        sample = marked.filter(F.pmod(F.xxhash64("candidate", "row", "at"), F.lit(PARTS)) < share)
+        sample = written(sample.select("features", "label").orderBy("row", "at"))
+        drawn = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most two rows
+        if len(drawn) == len(total):
+            break
+        # a small bound can miss a label by chance
+        shares = {label: n if label in drawn else min(PARTS, 2 * n) for label, n in shares.items()}
+    rows, chosen = sum(total.values()), sum(drawn.values())
+    weights = {label: total[label] / drawn[label] * chosen / rows for label in total}
+    return sample.withColumn("weight", F.when(F.col("label") == 1, F.lit(weights[1.0])).otherwise(F.lit(weights[0.0])))
+
+
 def scanned(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labels: DataFrame | None = None, findings: int = FINDINGS, threshold: float = 0.5) -> DataFrame:
     """Every candidate with the forest's ``probability`` and ``is_secret``.
 
@@ -163,11 +182,11 @@ def scanned(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     if len(total) < 2:
         out = found.withColumn("probability", F.lit(1.0 if 1.0 in total else 0.0))
     else:
-        share = min(1_000_000, findings * 1_000_000 // sum(total.values()))
-        # chosen by the candidate: copies of one finding weigh what they weigh in the whole
-        sample = marked.filter(F.pmod(F.xxhash64("candidate", "row", "at"), F.lit(1_000_000)) < share)
-        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", predictionCol="", rawPredictionCol="")
-        model = forest.fit(written(sample.select("features", "label").orderBy("row", "at")).coalesce(4))
+        sample = fit_sample(marked, total, findings)
+        forest = RandomForestClassifier(
+            numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", weightCol="weight", predictionCol="", rawPredictionCol=""
+        )
+        model = forest.fit(sample.coalesce(4))
         out = model.setProbabilityCol("__p").transform(found).withColumn("probability", vector_to_array("__p")[1])
     return out.select(
         "id", "path", "at", "candidate", F.length("candidate").alias("length"), "before", "after", "probability", (F.col("probability") >= threshold).alias("is_secret"),

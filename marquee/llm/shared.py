@@ -69,5 +69,19 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+#: Parts of a share of rows that is drawn by hash.
+PARTS = 1 << 40
+
+
+def label_shares(total: dict[float, int], bound: int) -> dict[float, int]:
+    """Share of each label's rows, in ``PARTS``, that draws about ``bound`` rows in all.
+
+    Each label gives an equal part of them, and more where another label has too few: a rare label is taken whole.
+    """
+    rows, each = sum(total.values()), max(1, bound // max(1, len(total)))
+    take = {label: max(each, bound - (rows - n)) for label, n in total.items()}
+    return {label: PARTS if take[label] >= n else max(1, take[label] * PARTS // n) for label, n in total.items()}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -80,3 +80,26 @@ def test_short_values_of_names(spark, make_documents):
         (5, "q1w2e3"): "q1w2e3",
     }
     assert secret_scan.scanned(make_documents(texts)).count() == 6
+
+
+def test_rare_secrets_are_learned(spark, make_documents):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghilmnorstu") for _ in range(rnd.randint(5, 9)))
+    plain = [" ".join(f"{word()}.{word()}@mail.example.com" for _ in range(60)) for _ in range(100)]
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    hidden = [f"the value is {key()} here" for _ in range(10)]
+    told = [f"set password={key()} here" for _ in range(12)]
+    docs = make_documents([*plain, *hidden, *told])
+    out = secret_scan.scanned(docs, findings=100).collect()
+    secrets = {r.id for r in out if r.is_secret}
+    assert secrets >= set(range(100, 122)) and not secrets & set(range(100)), secrets
+
+
+def test_sample_holds_both_labels(spark):
+    rows = [(i, 0, f"c{i}", float(i < 7)) for i in range(5000)]
+    marked = spark.createDataFrame(rows, "row bigint, at int, candidate string, label double").withColumn("features", F.col("row"))
+    for findings in (2, 100):
+        sample = secret_scan.fit_sample(marked, {1.0: 7, 0.0: 4993}, findings).groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+        got = {r.label: r for r in sample}
+        assert set(got) == {0.0, 1.0} and abs(got[1.0].w / (got[0.0].w + got[1.0].w) - 7 / 5000) < 1e-9
+        assert findings < 100 or (got[1.0].n == 7 and 60 < got[0.0].n < 130)
