@@ -194,6 +194,11 @@ def _near(percent: int, a: str, b: str) -> Column:
 
 def set_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: ``id``, the row's hash, ``n`` (size of its set) and ``component_id`` (smallest id reachable by links)."""
+    return _judged(documents, key, text, words, percent).drop("best")
+
+
+def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """:func:`set_components` with ``best``: the first row of the component by id, NULL last, and hash."""
     rows = documents.select(
         F.col(key).alias("id"), F.xxhash64(F.lit(1), key, text).alias(_ROW[0]), F.xxhash64(F.lit(2), text, key).alias(_ROW[1]), F.col(text).alias("text")
     )
@@ -202,8 +207,8 @@ def set_components(documents: DataFrame, key: str = "doc_id", text: str = "text"
     digests = written(rows.mapInArrow(_set_digests(words), f"id {kind}, {row_types}, n bigint, set_key binary, sketch array<bigint>"))
     classes = written(
         digests.filter("n > 0").groupBy("set_key")
-        .agg(F.min("id").alias("least_id"), F.min(F.struct(*_ROW)).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        .select(F.monotonically_increasing_id().alias("class"), "set_key", "least_id", "row.*", "n", "sketch")
+        .agg(F.min("id").alias("least_id"), F.min(_rank()).alias("best"), F.min(F.struct(*_ROW)).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .select(F.monotonically_increasing_id().alias("class"), "set_key", "least_id", "best", "row.*", "n", "sketch")
     )
     texts = rows.select(*_ROW, "text").join(classes.select("class", *_ROW), list(_ROW)).select("class", "text")
 
@@ -236,25 +241,39 @@ def set_components(documents: DataFrame, key: str = "doc_id", text: str = "text"
         stars_done = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
         parts = written(components(stars_done.unionByName(more)))
 
-    named = classes.select("class", "set_key", "least_id").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    named = classes.select("class", "set_key", "least_id", "best").join(parts.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "component").select("set_key", "component_id")
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("best").alias("best"))
+    named = named.drop("best").join(least, "component").select("set_key", "component_id", "best")
     found = digests.join(named, "set_key", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return found.select("id", *_ROW, "n", own.alias("component_id"))
+    return found.select("id", *_ROW, "n", own.alias("component_id"), "best")
+
 
+def _rank() -> Column:
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", *_ROW)
 
-def _by(column: str):
+
+def _by(*columns: str):
     from pyspark.sql import Window
 
-    return Window.partitionBy(column)
+    return Window.partitionBy(*columns)
+
 
+def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, equal_rows: bool = True) -> DataFrame:
+    """``documents`` less near duplicates: of each component the document with the smallest id (NULL last, then by
+    hash of the text) stays, and all rows without a set.
 
-def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` less near duplicates: of each component the row with the smallest id stays,
-    and all rows without a set. Rows with equal id and text are one document and stay together."""
-    found = set_components(documents, key, text, words, percent)
-    gone = found.filter("n > 0 AND NOT (id <=> component_id)").select(*_ROW).distinct()
+    Rows with equal id and text are one document and stay together; without ``equal_rows`` one of them
+    stays, so each component keeps exactly one row."""
+    found = _judged(documents, key, text, words, percent).filter("n > 0").select(*_ROW, _rank().eqNullSafe(F.col("best")).alias("stays"))
+    tally = written(found.groupBy(*_ROW, "stays").count().filter("NOT stays OR count > 1"))
     marked = documents.withColumns({_ROW[0]: F.xxhash64(F.lit(1), key, text), _ROW[1]: F.xxhash64(F.lit(2), text, key)})
-    return marked.join(gone, list(_ROW), "left_anti").drop(*_ROW)
+    kept = marked.join(tally.filter("NOT stays").select(*_ROW), list(_ROW), "left_anti")
+    repeated = tally.filter("stays").select(*_ROW)
+    if equal_rows or repeated.isEmpty():
+        return kept.drop(*_ROW)
+    # the rows of one document differ in other columns at most
+    order = F.xxhash64(*(F.col(c) for c in documents.columns))
+    first = marked.join(repeated, list(_ROW), "left_semi").withColumn("__nth", F.row_number().over(_by(*_ROW).orderBy(order)))
+    return kept.join(repeated, list(_ROW), "left_anti").unionByName(first.filter("__nth = 1").drop("__nth")).drop(*_ROW)

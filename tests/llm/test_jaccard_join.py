@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marquee.llm import jaccard_join
 from marquee.llm.components import components
 
@@ -90,6 +91,25 @@ def test_null_and_repeated_ids(spark, make_documents):
     assert jaccard_join.one_per_group(docs.limit(0)).count() == 0
 
 
+def test_one_row_per_group(spark, make_documents):
+    def base(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(7, base("a"))] * 5 + [(3, base("b")), (3, base("b") + " x"), (3, base("b") + " y"), (None, base("c")), (None, base("c")), (None, base("c") + " z")]
+    rows += [(None, base("d")), (9, base("d") + " x"), (8, base("d")), (5, "alone"), (6, None), (6, None), (None, "")]
+    docs = make_documents(rows).repartition(4)
+    want = sorted([(7, "a0"), (3, "b0"), ("None", "c0"), (8, "d0"), (5, "alone"), (6, ""), (6, ""), ("None", "")], key=str)
+
+    def heads(df):
+        return sorted(((("None" if r.doc_id is None else r.doc_id), (r.text or " ").split(" ")[0]) for r in df.collect()), key=str)
+
+    assert heads(jaccard_join.one_per_group(docs, equal_rows=False)) == want
+    assert heads(corpus_pipeline.unique_documents(spark, docs, "")) == want
+    # rows that are equal in id and text stay together by default, other near copies go
+    assert jaccard_join.one_per_group(docs).groupBy("doc_id").count().filter("doc_id = 7").first()["count"] == 5
+    assert jaccard_join.one_per_group(docs).filter("doc_id = 3").count() == 1
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(rnd.randint(100, 200), rnd.randint(100, 200)) for _ in range(60)] + [(300, x) for x in range(301, 400)]
