@@ -12,9 +12,12 @@ differ beyond chance. So words that are rare in training add no noise.
 
 A document is good if its label says quality 1 and toxic 0.
 
-Fitting reads ``LABELLED`` labelled and ``POOL`` unlabelled rows, give or take chance: a
-sample by hash of the id, so it does not depend on order or partitions. A fifth of the
-labelled rows is held out for calibration. Scoring reads every document.
+Fitting reads ``LABELLED`` labelled rows, give or take chance: a sample by hash of the id, so it
+does not depend on order or partitions. A fifth of them is held out for calibration. In each
+round both views score every unlabelled document. Of all that a view is confident about, the other
+one trains on ``PSEUDO`` at most, give or take chance: a sample by hash of each class, half of
+them of either class or all of a rarer one, with weights that restore the shares of the classes.
+Scoring reads every document.
 
 A document is kept if its score is 0.5 or more, or lower, where that would drop more than 2 % of
 the held-out good documents (``KEEP_GOOD``): the bound then is the score that keeps 98 %.
@@ -43,9 +46,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.expressions import let, words_of
-from marquee.llm.shared import written
+from marquee.llm.shared import PARTS, label_shares, written
 
-LABELLED, POOL = 20_000, 10_000
+LABELLED, PSEUDO = 20_000, 10_000
 ROUNDS = 2
 CONFIDENT = 0.97
 #: Share of held-out good documents that the decision keeps at least.
@@ -176,6 +179,25 @@ def _sample(rows: DataFrame, bound: int, salt: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(million)) < share)
 
 
+def _narrow(rows: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """``rows`` with the chosen and weighed inputs as the text view."""
+    return _weighed(rows, "text_view", weights).withColumn("text_view", F.col("__x")).drop("__x")
+
+
+def _pseudo_labelled(judged: DataFrame, odds: str, bound: int) -> DataFrame:
+    """About ``bound`` of all rows whose ``odds`` are confident, each class drawn apart and weighed back."""
+    edge = log(CONFIDENT / (1 - CONFIDENT))
+    sure = judged.filter(F.abs(odds) >= edge).withColumn("label", (F.col(odds) > 0).cast("double"))
+    total = {r["label"]: r["n"] for r in sure.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most two rows
+    shares = label_shares(total, bound)
+    drawn = sum(n * shares[label] / PARTS for label, n in total.items())
+    scale = {label: PSEUDO_WEIGHT * PARTS / shares[label] * drawn / sum(total.values()) for label in total}
+    pick = lambda of, default: F.when(F.col("label") == 1, F.lit(of.get(1.0, default))).otherwise(F.lit(of.get(0.0, default)))
+    # chosen by the whole row: rows with equal or NULL ids are drawn one by one
+    chosen = sure.filter(F.pmod(F.xxhash64(F.lit(3), "id", "text_view", "meta_view"), F.lit(PARTS)) < pick(shares, 0))
+    return chosen.select("id", "text_view", "meta_view", "label", pick(scale, PSEUDO_WEIGHT).alias("weight"))
+
+
 def _bounded(rows: DataFrame) -> DataFrame:
     """A bounded sample, written once and read in few partitions."""
     return written(written(rows).coalesce(FIT_PARTITIONS)).coalesce(FIT_PARTITIONS)
@@ -199,8 +221,8 @@ class Classifier:
         return both.select("id", F.col("text_view_odds").alias("text_odds"), F.col("meta_view_odds").alias("meta_odds"), odds.alias("odds"))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", quality: str = "quality", toxic: str = "toxic", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> Classifier:
-    """Co-train on the labelled documents and a pool of others."""
+def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", quality: str = "quality", toxic: str = "toxic", labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> Classifier:
+    """Co-train on the labelled documents and all others."""
     good = (F.coalesce(F.col(quality), F.lit(0)) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0)
     marked = labels.select(F.col(key).alias("id"), good.cast("double").alias("label")).filter("id IS NOT NULL")
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most two rows
@@ -212,27 +234,28 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     if len(seen) < 4:
         share = (counts.get(1.0, 0) + 1e-9) / (sum(counts.values()) + 2e-9)
         return Classifier(None, None, (max(-20.0, min(20.0, log(share / (1 - share)))), 0.0, 0.0))
-    others = _sample(chosen.join(marked.select("id").distinct(), "id", "left_anti"), pool, 3)
-    unlabelled = _bounded(with_features(others, key, text, source, lang, length))
     train, held = known.filter("NOT held").select("id", "text_view", "meta_view", "label", "weight"), known.filter("held")
     word_weights = _word_weights(train)
+    # the chosen words only from here on: that makes a table of all unlabelled documents small
+    others = with_features(chosen.join(marked.select("id").distinct(), "id", "left_anti"), key, text, source, lang, length)
+    unlabelled = written(_narrow(others, word_weights))
+    train, held = _bounded(_narrow(train, word_weights)), _bounded(_narrow(held, word_weights))
     extra: dict[str, DataFrame | None] = {"text_view": None, "meta_view": None}
     for round_ in range(rounds + 1):
         views = {}
-        for column, weights, reg in (("text_view", word_weights, 0.01), ("meta_view", None, 0.01)):
+        for column in ("text_view", "meta_view"):
             rows = train if extra[column] is None else _bounded(train.unionByName(extra[column]))
-            views[column] = _calibrated(View(column, _fit(rows, column, weights, reg), weights), held)
+            views[column] = _calibrated(View(column, _fit(rows, column, None, 0.01)), held)
         if round_ == rounds:
             break
-        edge = F.log(F.lit(CONFIDENT / (1 - CONFIDENT)))
+        judged = views["meta_view"].scored(views["text_view"].scored(unlabelled))
         for teacher, learner in (("text_view", "meta_view"), ("meta_view", "text_view")):
-            odds = F.col(f"{teacher}_odds")
-            sure = views[teacher].scored(unlabelled).filter(F.abs(odds) >= edge)
-            extra[learner] = sure.select("id", "text_view", "meta_view", (odds > 0).cast("double").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"))
+            extra[learner] = _pseudo_labelled(judged, f"{teacher}_odds", pseudo)
     both = views["meta_view"].scored(views["text_view"].scored(held))
     margins = np.array(both.select("text_view_odds", "meta_view_odds", "label").collect(), float)
     weights = _regression(margins, 2)
     good_odds = (weights[0] + margins[:, :2] @ np.array(weights[1:]))[margins[:, 2] == 1]
+    views["text_view"].weights = word_weights
     return Classifier(views["text_view"], views["meta_view"], tuple(weights), min(0.0, float(np.quantile(good_odds, 1 - keep_good))))
 
 

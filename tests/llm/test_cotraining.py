@@ -63,3 +63,26 @@ def test_without_labels(spark):
     assert {round(r.score, 6) for r in cotraining.scored(docs, none).collect()} == {0.5}
     one = none.unionByName(spark.createDataFrame([(i, 1, 0) for i in range(40)], LABELS))
     assert all(r.kept for r in cotraining.scored(docs, one).collect())
+
+
+def test_every_unlabelled_document_can_teach(spark, monkeypatch):
+    rows, labels = corpus(500, 4)
+    known = {x[0] for x in labels}
+    rows = [r for r in rows if r[0] in known]
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 5)))
+    for i in range(1000, 1500):
+        # twelve of the five hundred are junk
+        rows.append((i, " ".join(word() + ("***" if i < 1012 else "") for _ in range(60)), "en", "press", 100))
+    taught, fit = [], cotraining._fit
+
+    def spied(train, column, *args):
+        if column == "meta_view":
+            taught.append({r.id: r.label for r in train.select("id", "label").collect() if r.id >= 1000})
+        return fit(train, column, *args)
+
+    monkeypatch.setattr(cotraining, "_fit", spied)
+    monkeypatch.setattr(cotraining, "CONFIDENT", 0.8)
+    cotraining.fitted(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, LABELS), rounds=1, pseudo=40)
+    junk = {i for i, label in taught[-1].items() if label == 0 and i < 1012}
+    assert len(junk) >= 10 and 15 < len(taught[-1]) < 70, taught[-1]
