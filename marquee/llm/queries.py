@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.llm import (
-    bpe, chat_format, cotraining, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, secret_scan, suffix_dedup,
+    bpe, chat_format, cotraining, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, resampling, secret_scan,
+    suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +199,50 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), *(F.round(c, 6).alias(c) for c in ("text_score", "meta_score", "score")), "kept")
+
+
+#: CRC-32 of a text in SQL: a table made from the polynomial, and a fold over the bytes.
+_CRC_TABLE = """(SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    """The checksum of a non-empty text; ``tab`` is in scope."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen({text}) + 1),
+      lambda i: ('0x' || substr(hex({text}), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+
+@query(
+    "op13_importance_resampling",
+    rf"""
+    WITH crc AS {_CRC_TABLE}, read AS (
+        SELECT 'raw' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'target', item_id, text FROM benchmark
+    ), words AS (
+        SELECT kind, id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM read
+    ), feature AS (
+        SELECT kind, id, unnest(w) AS f FROM words UNION ALL
+        SELECT kind, id, w[i] || ' ' || w[i + 1] FROM (SELECT kind, id, w, unnest(range(1, len(w))) AS i FROM words)
+    ), hashed AS (SELECT f, {_crc_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM feature), crc
+    ), placed AS (SELECT kind, id, bucket FROM feature JOIN hashed USING (f)
+    ), counted AS (
+        SELECT bucket, count(*) FILTER (kind = 'raw') AS s, count(*) FILTER (kind = 'target') AS t FROM placed GROUP BY bucket
+    ), total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS S_all, coalesce(sum(t), 0)::DOUBLE AS T_all FROM counted
+    ), gain AS (
+        SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (S_all + 10000)) / ((s + 1)::DOUBLE * (T_all + 10000))))::BIGINT AS gain FROM counted, total
+    ), weight AS (
+        SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM placed JOIN gain USING (bucket) WHERE kind = 'raw' GROUP BY id
+    ), scored AS (
+        SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+        FROM words LEFT JOIN weight USING (id) WHERE kind = 'raw'
+    ), placed_able AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+    )
+    SELECT scored.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+    FROM scored LEFT JOIN placed_able USING (doc_id)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = resampling.scored(documents, benchmark, F.col("doc_id"), F.col("text"), F.col("text"))
+    return resampling.ranked(rows).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
