@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.llm import (
-    bpe, chat_format, cotraining, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, resampling, secret_scan,
-    suffix_dedup,
+    adaptive_scan, bpe, chat_format, conversation_repair, cotraining, decontaminate, hilbert, jaccard_join, line_dedup, quality_rules, resampling,
+    secret_scan, suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,3 +246,81 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     rows = resampling.scored(documents, benchmark, F.col("doc_id"), F.col("text"), F.col("text"))
     return resampling.ranked(rows).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def _path_sql(state: str, cost: str, edit: str) -> str:
+    """A path as its cost in six digits and its edits, so that the least text is the cheapest and first path; NULL is no path."""
+    return f"lpad((left({state}, 6)::BIGINT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || '{edit}'"
+
+
+def _paths_sql(states: str, to: str) -> str:
+    """Ways of keeping or re-roling row ``p`` into turn ``to`` from any of the states."""
+    keep = [f"CASE WHEN NOT gone AND initial = '{to}' THEN {_path_sql(x, 'extra', 'K')} END" for x in states]
+    role = [f"CASE WHEN NOT gone THEN {_path_sql(x, '2 + extra', 'R')} END" for x in states]
+    return ", ".join(keep + role)
+
+
+@query(
+    "op12_conversation_repair",
+    rf"""
+    WITH RECURSIVE crc AS {_CRC_TABLE}, named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+        FROM conversations
+    ), chat AS (SELECT conv_id, turn, role, text, {_crc_sql("name")} % 20 AS fault FROM named, crc
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+               CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM chat, range(2) AS copies(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)
+    ), ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+    ), placed AS (
+        SELECT *, left(role, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS repeated
+        FROM ordered
+    ), faults AS (
+        SELECT *, solid = '' AS blank, solid <> '' AND repeated AS duplicate,
+               solid <> '' AND NOT repeated AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated,
+               lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+        FROM placed
+    ), p AS (SELECT *, blank OR duplicate AS gone, truncated::BIGINT AS extra FROM faults
+    ), steps AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000' AS z, NULL::VARCHAR AS s, '000002I' AS u, '000004II' AS a FROM conversations
+        UNION ALL
+        SELECT conv_id, i, z, s, u, least(a, {_path_sql("u", "2", "I")}) FROM (
+            SELECT conv_id, i, z, s, least(u, {_path_sql("z", "2", "I")}, {_path_sql("s", "2", "I")}, {_path_sql("a", "2", "I")}) AS u, a FROM (
+                SELECT p.conv_id, p.i, {_path_sql("z", "3", "D")} AS z,
+                       least({_path_sql("s", "3", "D")}, CASE WHEN NOT gone AND initial = 's' THEN {_path_sql("z", "extra", "K")} END) AS s,
+                       least({_path_sql("u", "3", "D")}, {_paths_sql("zsa", "u")}) AS u, least({_path_sql("a", "3", "D")}, {_paths_sql("u", "a")}) AS a
+                FROM steps JOIN p ON p.conv_id = steps.conv_id AND p.i = steps.i + 1))
+    ), best AS (
+        SELECT conv_id, left(path, 6)::BIGINT AS cost, substr(path, 7) AS audit
+        FROM (SELECT conv_id, arg_max(least(z, a), i) AS path FROM steps GROUP BY conv_id)
+    ), edit AS (
+        SELECT conv_id, k, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i
+        FROM (SELECT conv_id, k, substr(audit, k, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM best))
+    ), written AS (
+        SELECT edit.conv_id, e, role, CASE WHEN e = 'I' THEN '' ELSE text END AS text, row_number() OVER w AS j,
+               max(CASE WHEN e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY edit.conv_id) AS led
+        FROM edit LEFT JOIN p ON p.conv_id = edit.conv_id AND p.i = edit.i AND e <> 'I' WHERE e <> 'D' WINDOW w AS (PARTITION BY edit.conv_id ORDER BY k)
+    ), repaired AS (
+        SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS whole
+        FROM written GROUP BY conv_id
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+               count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+        FROM faults GROUP BY conv_id
+    )
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+    FROM best LEFT JOIN counted USING (conv_id) LEFT JOIN repaired USING (conv_id)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    found = conversation_repair.repair_digests(rows, *(F.col(c) for c in ("conv", "turn", "role", "text", "absent")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+@query("op11_nearest_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adaptive_scan.usable(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"))
+    return adaptive_scan.nearest(rows, rows.filter("id % 100 = 0"), 10)
