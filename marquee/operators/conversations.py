@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.columns import union_all
 from marquee.operators.dedupe import last_writer_wins, top_per_key
+from marquee.operators.places import with_places
 from marquee.session import cut_lineage
 from marquee.sources.sinks import upserted
 
@@ -16,6 +17,8 @@ ROLES = ["user", "assistant"]
 CONTEXTS = ["recommendation", "movie"]
 CONTENT_LENGTHS = (1, 4000)
 HISTORY = 12
+# Shares that rows without a key are dealt into.
+_SPREAD = 4096
 
 
 def owned(rows: DataFrame, user: Column | int | str) -> DataFrame:
@@ -35,9 +38,10 @@ def _checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def _matched(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Left join in which rows without a key stay where they are: they match nothing, and would all meet in one task."""
-    joined = rows.filter(F.col(key).isNotNull()).join(known, key, "left")
-    return union_all([joined, rows.filter(F.col(key).isNull())]).select(*rows.columns, *(c for c in known.columns if c != key))
+    """Left join in which rows without a key, which match nothing, are dealt by their id instead of meeting in one task."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("id"), F.lit(_SPREAD))).otherwise(0)
+    joined = rows.withColumn("_spread", spread).join(known.withColumn("_spread", F.lit(0).cast("bigint")), [key, "_spread"], "left")
+    return joined.select(*rows.columns, *(c for c in known.columns if c != key))
 
 
 def check_messages(messages: DataFrame, threads: DataFrame) -> DataFrame:
@@ -121,24 +125,13 @@ def nested_threads(threads: DataFrame, messages: DataFrame, page: int = 1000) ->
 def _paged(messages: DataFrame, page: int) -> DataFrame:
     """Page numbers in time order, without one task per thread; messages without a time come first.
 
-    Messages are counted per thread and minute; the running count over the
-    minutes of a thread gives each its first position, and only the
-    messages of one minute are then ranked together.
+    All messages are placed in one order by thread and time, whose ranges cut long threads, and even one
+    moment of a thread, into tasks; the first place of a thread makes its places start at 0.
     """
-    from pyspark.sql import Window
-
-    minute = F.date_trunc("minute", "created_at")
-    timed = messages.withColumn("_minute", minute)
-    counts = timed.groupBy("thread_id", "_minute").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("thread_id").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("thread_id", "_minute").orderBy("created_at", "id")
-    starts = starts.withColumnsRenamed({"thread_id": "_thread", "_minute": "_m"})
-    same = F.col("thread_id").eqNullSafe(F.col("_thread")) & F.col("_minute").eqNullSafe(F.col("_m"))
-    placed = timed.join(starts, same).drop("_thread", "_m").withColumn(
-        "_place", F.col("_start") + F.row_number().over(within) - 1
-    )
-    return placed.withColumn("page", F.floor(F.col("_place") / page).cast("int")).drop("_minute", "_start")
+    placed = with_places(messages, [F.asc_nulls_first("thread_id"), F.asc_nulls_first("created_at"), F.asc_nulls_first("id")], "_all")
+    first = placed.groupBy(F.col("thread_id").alias("_thread")).agg(F.min("_all").alias("_first"))
+    own = placed.join(first, F.col("thread_id").eqNullSafe(F.col("_thread"))).withColumn("_place", F.col("_all") - F.col("_first"))
+    return own.withColumn("page", F.floor(F.col("_place") / page).cast("int")).drop("_all", "_thread", "_first")
 
 
 def movie_threads(threads: DataFrame, user: Column | int | str) -> DataFrame:
@@ -158,21 +151,28 @@ def written_back(stored: DataFrame, local: DataFrame, remote: DataFrame) -> Data
 
 
 def cascade(threads: DataFrame, removed: DataFrame) -> DataFrame:
-    """Ids of the removed threads and of all their descendants.
+    """Ids of the removed threads and of all their descendants; thread ids are unique.
 
-    Level by level until no new child is found, which also ends a cycle; each level is
-    one shuffle join and is written to the checkpoint folder, so the plan does not grow.
-    Threads without a parent are no one's children and are left out of the joins.
+    Pointer doubling: every thread knows an ancestor, and whether a removed thread lies on the way to it. In each
+    round threads that are still open take over what their ancestor knows, which doubles the way, so a chain of n threads
+    takes log2(n) rounds instead of n. A thread is settled when its way holds a removed thread or ends; on a
+    cycle the rounds end when the way is longer than there are threads. Each round joins on the ancestor's id and
+    is written to the checkpoint folder, so the plan does not grow.
     """
-    links = threads.select(F.col("id").alias("child"), F.col("parent_thread_id").alias("id")).filter("id IS NOT NULL")
-    levels = [cut_lineage(removed.select("id").distinct())]
-    while True:
-        closed = union_all(levels)
-        children = links.join(levels[-1], "id", "left_semi").select(F.col("child").alias("id")).distinct()
-        level = cut_lineage(children.join(closed, "id", "left_anti"))
-        if level.isEmpty():
-            return closed
-        levels.append(level)
+    gone = removed.select("id").distinct()
+    links = threads.select("id", F.col("parent_thread_id").alias("up")).filter("up IS NOT NULL")
+    hits = links.join(gone.withColumnsRenamed({"id": "up"}).withColumn("_hit", F.lit(True)), "up", "left")
+    state = cut_lineage(hits.select("id", "up", F.coalesce("_hit", F.lit(False)).alias("hit")))
+    way, size = 1, state.count()
+    while way <= size:
+        far = state.select(F.col("id").alias("up"), F.col("up").alias("_next"), F.col("hit").alias("_hit"))
+        moved = state.filter("NOT hit AND up IS NOT NULL").join(far, "up", "left")
+        step = moved.select("id", F.col("_next").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit"))
+        settled = state.filter("hit OR up IS NULL")
+        state, way = cut_lineage(settled.unionByName(step)), 2 * way
+        if state.filter("NOT hit AND up IS NOT NULL").isEmpty():
+            break
+    return gone.unionByName(state.filter("hit").select("id")).distinct()
 
 
 def delete_threads(

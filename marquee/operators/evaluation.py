@@ -18,9 +18,9 @@ OVERALL = "__overall__"
 _SHOWN = ["id", "title", "release_year", "genres_text", "vote_average", "vote_count", "popularity", "recommendation_quality_score"]
 
 
-def resolved_sources(queries: DataFrame, movies: DataFrame, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+def resolved_sources(queries: DataFrame, movies: DataFrame) -> DataFrame:
     """query_id, source_id and the source's title, year and genres; unmatched queries drop out."""
-    found = resolve_first(queries, movies, sizes).select("query_id", F.col("id").alias("source_id"))
+    found = resolve_first(queries, movies).select("query_id", F.col("id").alias("source_id"))
     shown = movies.select(
         F.col("id").alias("source_id"),
         F.col("title").alias("source_title"),
@@ -45,7 +45,7 @@ def evaluate_dense(
     sizes: BlockSizes = BlockSizes(),
 ) -> DataFrame:
     """Top k per query: cosine pool, hybrid re-rank, every score and both ranks."""
-    sources = resolved_sources(queries, movies, sizes)
+    sources = resolved_sources(queries, movies)
     asked = sources.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
         "query_id", "source_id", "vector"
     )
@@ -71,7 +71,7 @@ def evaluate_sparse(
 
     ``features``: id, indices, values, vote_count.
     """
-    sources = resolved_sources(queries, movies, sizes)
+    sources = resolved_sources(queries, movies)
     asked = sources.select("query_id", "source_id").join(
         features.select(F.col("id").alias("source_id"), "indices", "values"), "source_id"
     )

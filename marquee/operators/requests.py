@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.columns import union_all
@@ -41,6 +43,16 @@ _SUMMARY = {
 }
 
 
+#: A search of a vector index: queries (query_id, source_id, vector) and k, to what ``nearest_dense`` gives.
+Search = Callable[[DataFrame, int], DataFrame]
+
+
+def _searched(asked: DataFrame, movies: DataFrame, vectors: DataFrame, k: int, sizes: BlockSizes, search: Search | None) -> DataFrame:
+    if search is not None:
+        return search(asked, k)
+    return nearest_dense(asked, vectors.join(movies.select("id"), "id"), k, sizes=sizes)
+
+
 def similar_movies(
     sources: DataFrame,
     movies: DataFrame,
@@ -48,17 +60,19 @@ def similar_movies(
     k: int = 10,
     pool: int = CANDIDATE_POOL,
     sizes: BlockSizes = BlockSizes(),
+    search: Search | None = None,
 ) -> DataFrame:
     """Service recommendation for resolved sources.
 
     ``sources``: query_id, source_id. The pool counts the source itself, so
     pool - 1 others are re-ranked; scores are rounded before they are ranked.
+    ``search`` asks an index of the movies' vectors instead of all of them.
     """
     pool = max(pool, k + 1)
     asked = sources.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
         "query_id", "source_id", "vector"
     )
-    pairs = nearest_dense(asked, vectors.join(movies.select("id"), "id"), pool - 1, sizes=sizes)
+    pairs = _searched(asked, movies, vectors, pool - 1, sizes, search)
     scored = pairs.drop("vote_count").join(movies, "id")
     return rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, k, rounded=True).withColumns(
         {"reason": F.lit(SIMILARITY_REASON), "score_type": F.lit("similarity")}
@@ -71,6 +85,7 @@ def filtered_similar(
     vectors: DataFrame,
     k: int = 10,
     sizes: BlockSizes = BlockSizes(),
+    search: Search | None = None,
 ) -> DataFrame:
     """Similar movies that also pass the request's filters, top_k per request.
 
@@ -87,7 +102,7 @@ def filtered_similar(
     sources = requests.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
         "query_id", "source_id", "vector"
     )
-    near = nearest_dense(sources, vectors.join(movies.select("id"), "id"), candidate_pool(most), sizes=sizes)
+    near = _searched(sources, movies, vectors, candidate_pool(most), sizes, search)
     pooled = near.join(asked, "query_id").filter(F.col("retrieval_rank") <= pool_target(F.col("_top_k")))
     scored = pooled.drop("vote_count").join(movies, "id")
     found = rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, candidate_pool(most), rounded=True).withColumns(
@@ -169,6 +184,7 @@ def answer(
     movies: DataFrame,
     vectors: DataFrame,
     sizes: BlockSizes = BlockSizes(),
+    search: Search | None = None,
 ) -> DataFrame:
     """Answer a table of messages (query_id, message, top_k).
 
@@ -206,13 +222,13 @@ def answer(
 
     similarity = base.filter(F.col("mode") == "similarity")
     resolved = cut_lineage(
-        resolve_with_status(similarity.select("query_id", F.col("title").alias("query")), movies, sizes)
+        resolve_with_status(similarity.select("query_id", F.col("title").alias("query")), movies)
     )
     known = vectors.join(movies.select("id", F.col("title").alias("source_title")), "id")
     sources = resolved.filter(F.col("status") == "resolved").select("query_id", "source_id")
     found = _results(
         filtered_similar(
-            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes
+            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes, search=search
         ),
         wanted,
         "hybrid_score",

@@ -17,7 +17,9 @@ _SCHEMA = (
     "score_key double, similarity_key double, vote_count double"
 )
 _COLUMNS = [field.split()[0] for field in _SCHEMA.split(", ")]
-_ORDER = Order(["score_key", "similarity_key", "vote_count", "id"], [False, False, False, True])
+#: The columns of a search result, without its rank.
+RESULT = ["query_id", "id", "similarity_score", "vote_count"]
+ORDER = Order(["score_key", "similarity_key", "vote_count", "id"], [False, False, False, True])
 
 
 def _best_of_block(
@@ -62,11 +64,15 @@ def _scaled(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.divide(values, sizes, out=np.zeros_like(values), where=sizes > 0)
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    table = np.stack(vectors.to_numpy()).astype(float)
+def scaled_rows(table: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; a row of zeros stays."""
     return _scaled(table, np.linalg.norm(table, axis=1, keepdims=True))
 
 
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    return scaled_rows(np.stack(vectors.to_numpy()).astype(float))
+
+
 def _dense_kernel(k: int, weight: float, chunk: int = 256):
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         items = _in_tie_order(items)
@@ -121,19 +127,32 @@ def _sparse_kernel(k: int, weight: float, cells: int = 4_000_000):
     return kernel
 
 
-def _nearest(queries, items, columns, kernel, k, within, weight, own, sizes) -> DataFrame:
+def _found(queries, items, columns, kernel, k, within, weight, own, sizes) -> DataFrame:
+    """The k best items of each query, with the columns of ``ORDER``."""
     votes = F.coalesce(F.col("vote_count").cast("double"), F.lit(0.0)) if "vote_count" in items.columns else F.lit(0.0)
     part = F.lit(0.0) if own is None else own
     left = queries.select(F.col("query_id").cast("bigint"), F.col("source_id").cast("bigint"), *columns, *within)
     right = items.select(
         F.col("id").cast("bigint"), votes.alias("vote_count"), part.alias("own"), *columns, *within
     )
-    found = best_matches(
-        left, right, kernel(k, weight), _SCHEMA, _ORDER, k, within=within, sizes=sizes, rank="retrieval_rank"
-    ).drop("score_key", "similarity_key")
+    return best_matches(left, right, kernel(k, weight), _SCHEMA, ORDER, k, within=within, sizes=sizes, rank="retrieval_rank")
+
+
+def _nearest(queries, items, columns, kernel, k, within, weight, own, sizes) -> DataFrame:
+    found = _found(queries, items, columns, kernel, k, within, weight, own, sizes).drop("score_key", "similarity_key")
     return found if own is not None else found.drop("hybrid_score")
 
 
+def best_dense(queries: DataFrame, items: DataFrame, k: int, within: Sequence[str], sizes: BlockSizes) -> DataFrame:
+    """What ``nearest_dense`` finds, with the columns it is ordered by, so that several searches can be merged."""
+    return _found(queries, items, ["vector"], _dense_kernel, k, within, 1.0, None, sizes)
+
+
+def best_sparse(queries: DataFrame, items: DataFrame, k: int, within: Sequence[str], sizes: BlockSizes) -> DataFrame:
+    """The same for ``nearest_sparse``."""
+    return _found(queries, items, ["indices", "values"], _sparse_kernel, k, within, 1.0, None, sizes)
+
+
 def nearest_dense(
     queries: DataFrame,
     items: DataFrame,

@@ -1,20 +1,22 @@
-"""Title search and title resolution for a table of queries."""
+"""Title search and title resolution for a table of queries.
+
+Queries never meet all titles: contained titles come from a posting table of character n-grams, similar ones from
+a prefix-filtered join (``postings``). Each distinct title is looked at once, however many movies share
+it, and brings at most as many movies as can be in the answer.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.strings import normalise_title
-from marquee.operators.blocks import BlockSizes, Order, best_matches
+from marquee.operators.blocks import Order
 from marquee.operators.dedupe import top_per_key
-from marquee.session import cut_lineage
+from marquee.operators.postings import containing, gram_postings, lengths_met, similar_pairs
 
 # The fuzzy thresholds and list lengths.
 FUZZY_RATIO = 0.74
@@ -24,142 +26,101 @@ CONTAINS_LIMIT = 8
 FUZZY_LIMIT = 5
 
 
-def _contains_kernel(columns: Sequence[str], own: Order, k: int, exact_first: bool):
-    """First k titles that hold the query; the block is sorted once for all queries."""
-
-    def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        items = own.sorted(items)
-        keys = pa.array(items["key"])
-        parts = []
-        for query_id, wanted in zip(queries["query_id"], queries["wanted"]):
-            hit = pc.match_substring(keys, wanted).to_numpy(zero_copy_only=False)
-            if exact_first:
-                equal = pc.equal(keys, wanted).to_numpy(zero_copy_only=False)
-                first = np.flatnonzero(equal)[:k]
-                place = np.r_[first, np.flatnonzero(hit & ~equal)[: k - len(first)]]
-                tier = (np.arange(len(place)) >= len(first)).astype("int32")
-            else:
-                place, tier = np.flatnonzero(hit)[:k], np.int32(0)
-            parts.append(items.iloc[place].assign(query_id=query_id, tier=tier)[list(columns)])
-        return pd.concat(parts, ignore_index=True)
+def titles_of(movies: DataFrame, key: Column, order: Sequence[Column], k: int, keep: Sequence[str]) -> DataFrame:
+    """The first ``k`` movies of each distinct title ``key``."""
+    keyed = movies.select(*keep, key.alias("key")).filter(F.col("key").isNotNull() & (F.col("key") != ""))
+    return top_per_key(keyed, ["key"], order, k, "_n").drop("_n")
 
-    return kernel
 
+def title_postings(movies: DataFrame, key: Column) -> DataFrame:
+    """The posting table of the distinct titles ``key``; written once, it serves every search on that key."""
+    keys = movies.select(key.alias("key")).filter(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
+    return gram_postings(keys)
 
-def _search(queries, movies, key, order, k, sizes, exact_first=False) -> DataFrame:
-    """The k first movies of each query whose title holds it.
 
-    The catalogue is scanned, not shuffled: a title that a third of all rows
-    share adds at most k rows per query and task.
-    """
-    kinds = dict(movies.dtypes)
+def _search(queries, movies, key, order, k, postings, exact_first=False) -> DataFrame:
+    """The k first movies of each query whose title holds it."""
     own = order.without("tier")
     needed = list(dict.fromkeys(["id", *own.columns]))
-    items = movies.select(*needed, key.alias("key")).filter(F.col("key").isNotNull())
+    few = titles_of(movies, key, own.spark(), k, needed)
     asked = queries.filter(F.col("wanted") != "").select(F.col("query_id").cast("bigint"), "wanted")
-    columns = ["query_id", *needed, "tier"]
-    schema = ", ".join(["query_id bigint", *(f"{c} {kinds[c]}" for c in needed), "tier int"])
-    return best_matches(asked, items, _contains_kernel(columns, own, k, exact_first), schema, order, k, sizes=sizes)
+    hits = containing(asked.select("wanted").distinct(), title_postings(movies, key) if postings is None else postings)
+    tier = (F.col("key") != F.col("wanted")).cast("int") if exact_first else F.lit(0)
+    rows = hits.join(few, "key").withColumn("tier", tier)
+    best = top_per_key(rows, ["wanted"], order.spark(), k, "rank")
+    return asked.join(best, "wanted").select("query_id", *needed, "tier", "rank")
 
 
-def search_titles(queries: DataFrame, movies: DataFrame, limit: int = 10, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+def search_titles(queries: DataFrame, movies: DataFrame, limit: int = 10, postings: DataFrame | None = None) -> DataFrame:
     """Movies whose normalised title contains the query, most voted first.
 
     ``queries``: query_id, query. Exact and prefix hits are a subset of the
-    contained ones and do not change the order.
+    contained ones and do not change the order. ``postings`` is the posting table of the
+    normalised titles, if it was written before.
     """
     order = Order(["vote_count", "vote_average", "title", "id"], [False, False, True, True])
     asked = queries.withColumn("wanted", normalise_title("query"))
-    return _search(asked, movies, normalise_title("title"), order, limit, sizes)
+    return _search(asked, movies, normalise_title("title"), order, limit, postings)
 
 
-def resolve_first(queries: DataFrame, movies: DataFrame, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+def resolve_first(queries: DataFrame, movies: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """One movie per query: an equal title (ignoring case), else one that contains it."""
     order = Order(["tier", "title", "release_year", "id"], [True] * 4)
     asked = queries.withColumn("wanted", F.lower("query"))
-    found = _search(asked, movies, F.lower("title"), order, 1, sizes, exact_first=True)
+    found = _search(asked, movies, F.lower("title"), order, 1, postings, exact_first=True)
     return found.drop("rank")
 
 
-def resolve_popular(queries: DataFrame, movies: DataFrame, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+def resolve_popular(queries: DataFrame, movies: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """The most voted, then most popular, movie whose title contains the query."""
     order = Order(["vote_count", "popularity", "id"], [False, False, True])
     asked = queries.withColumn("wanted", F.trim(F.lower("query")))
-    return _search(asked, movies, F.lower("title"), order, 1, sizes).drop("rank", "tier")
+    return _search(asked, movies, F.lower("title"), order, 1, postings).drop("rank", "tier")
 
 
-def _letter_counts(values: Sequence[str]) -> np.ndarray:
-    """Character counts folded into 64 classes."""
-    table = np.zeros((len(values), 64), dtype=np.int32)
-    for i, value in enumerate(values):
-        codes = np.fromiter((ord(c) for c in value), dtype=np.int64, count=len(value))
-        np.add.at(table[i], codes % 64, 1)
-    return table
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Ratio of the matching blocks of two texts; the first one is the query, as the ratio depends on the order."""
 
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)], dtype=float)
 
-def _fuzzy_kernel(order: Order, k: int):
-    """Exact sequence ratio on the pairs that two upper bounds let through.
+    return ratio(a, b)
+
+
+def _fuzzy_sides(queries: DataFrame, movies: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Queries with their wanted text, and the movies that can be in an answer, by title."""
+    order = [F.desc_nulls_last("vote_count"), F.desc_nulls_last("vote_average"), F.asc("id")]
+    rated = movies.withColumns({c: F.col(c).cast("double") for c in ("vote_count", "vote_average")})
+    few = titles_of(rated, normalise_title("title"), order, limit, ["id", "vote_count", "vote_average"])
+    wanted = queries.select(F.col("query_id").cast("bigint"), normalise_title("query").alias("wanted"))
+    return wanted.filter(F.length("wanted") >= FUZZY_MIN_LENGTH), few
 
-    The ratio is 2m/(a+b) for m matched characters. m is at most the overlap of
-    the character counts, and folding characters into classes only raises that
-    overlap, so no pair that reaches the threshold is lost.
-    """
 
-    def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        titles = items["key"].tolist()
-        lengths = np.array([len(t) for t in titles])
-        counts = _letter_counts(titles)
-        parts = []
-        for query_id, wanted in zip(queries["query_id"], queries["wanted"]):
-            own = _letter_counts([wanted])[0]
-            bound = 2.0 * np.minimum(counts, own).sum(axis=1) / (lengths + len(wanted))
-            kept, ratios = [], []
-            ratio_of: dict[str, float] = {}
-            for i in np.flatnonzero(bound >= FUZZY_RATIO):
-                title = titles[i]
-                if title not in ratio_of:
-                    ratio_of[title] = SequenceMatcher(None, wanted, title).ratio()
-                if ratio_of[title] >= FUZZY_RATIO:
-                    kept.append(i)
-                    ratios.append(ratio_of[title])
-            found = items.iloc[kept][["id", "vote_count", "vote_average"]].assign(query_id=query_id, ratio=ratios)
-            parts.append(order.cut(found, "query_id", k))
-        return pd.concat(parts, ignore_index=True)[["query_id", "id", "ratio", "vote_count", "vote_average"]]
-
-    return kernel
-
-
-def fuzzy_titles(queries: DataFrame, movies: DataFrame, limit: int = FUZZY_LIMIT, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+def fuzzy_titles(queries: DataFrame, movies: DataFrame, limit: int = FUZZY_LIMIT) -> DataFrame:
     """Movies whose normalised title resembles the query, most similar first.
 
-    Equal titles are cut to the limit first, so that each distinct title is
-    compared once. Queries only meet titles of a length that can reach the
-    threshold: the length is an equality column of the block search.
+    The sequence ratio is computed only for pairs that the similarity join lets through.
     """
-    order = Order(["ratio", "vote_count", "vote_average", "id"], [False, False, False, True])
-    keyed = movies.select(
-        "id",
-        F.col("vote_count").cast("double").alias("vote_count"),
-        F.col("vote_average").cast("double").alias("vote_average"),
-        normalise_title("title").alias("key"),
-    )
-    few = top_per_key(keyed, ["key"], order.without("ratio").spark(), limit, "_n").drop("_n")
-    few = few.withColumn("length", F.length("key"))
-    size = F.length("wanted")
-    shortest = F.ceil(size * FUZZY_RATIO / (2 - FUZZY_RATIO)).cast("int")
-    longest = F.floor(size * (2 - FUZZY_RATIO) / FUZZY_RATIO).cast("int")
-    asked = (
-        queries.withColumn("wanted", normalise_title("query"))
-        .filter(size >= FUZZY_MIN_LENGTH)
-        .select(F.col("query_id").cast("bigint"), "wanted", F.explode(F.sequence(shortest, longest)).alias("length"))
-    )
-    schema = "query_id bigint, id bigint, ratio double, vote_count double, vote_average double"
-    return best_matches(
-        asked, few, _fuzzy_kernel(order, limit), schema, order, limit, within=["length"], sizes=sizes
-    )
+    asked, few = _fuzzy_sides(queries, movies, limit)
+    pairs = similar_pairs(asked.select("wanted").distinct(), few.select("key").distinct(), round(100 * FUZZY_RATIO))
+    rated = pairs.withColumn("ratio", sequence_ratio(F.col("wanted"), F.col("key"))).filter(F.col("ratio") >= FUZZY_RATIO)
+    order = [F.desc("ratio"), F.desc_nulls_last("vote_count"), F.desc_nulls_last("vote_average"), F.asc("id")]
+    best = top_per_key(rated.join(few, "key"), ["wanted"], order, limit, "rank")
+    return asked.join(best, "wanted").select("query_id", "id", "ratio", "vote_count", "vote_average", "rank")
+
+
+def fuzzy_candidates(queries: DataFrame, movies: DataFrame) -> DataFrame:
+    """Per query: distinct titles of a length that can reach the ratio, and those that the similarity join lets through."""
+    asked, few = _fuzzy_sides(queries, movies, 1)
+    wanted, keys = asked.select("wanted").distinct(), few.select("key")
+    percent = round(100 * FUZZY_RATIO)
+    through = similar_pairs(wanted, keys, percent).groupBy("wanted").agg(F.count("*").alias("compared"))
+    counts = lengths_met(wanted, keys, percent).join(through, "wanted", "left")
+    return asked.join(counts, "wanted").select("query_id", "wanted", "in_length", F.coalesce("compared", F.lit(0)).alias("compared"))
 
 
-def resolve_with_status(queries: DataFrame, movies: DataFrame, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+def resolve_with_status(queries: DataFrame, movies: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """Resolve each query to one movie, or to candidates to choose from.
 
     A title that equals the query exactly once wins. Otherwise up to eight
@@ -173,8 +134,8 @@ def resolve_with_status(queries: DataFrame, movies: DataFrame, sizes: BlockSizes
     )
     exact = asked.join(per_title, "wanted", "left").withColumn("unique", F.coalesce(F.col("equal") == 1, F.lit(False)))
     open_queries = exact.filter(~F.col("unique")).select("query_id", "query")
-    contained = cut_lineage(_listed(search_titles(open_queries, movies, CONTAINS_LIMIT, sizes), "contained"))
-    similar = fuzzy_titles(open_queries.join(contained, "query_id", "left_anti"), movies, FUZZY_LIMIT, sizes)
+    contained = _listed(search_titles(open_queries, movies, CONTAINS_LIMIT, postings), "contained")
+    similar = fuzzy_titles(open_queries.join(contained, "query_id", "left_anti"), movies, FUZZY_LIMIT)
     similar = _listed(similar, "similar", F.max("ratio").alias("best_ratio"))
     merged = exact.join(contained, "query_id", "left").join(similar, "query_id", "left")
     candidates = F.coalesce("contained", "similar", F.array().cast("array<bigint>"))

@@ -14,6 +14,7 @@ from marquee.plans.served import (
     TITLE_QUERIES_SQL,
     filter_requests,
     movies,
+    title_postings,
     title_queries,
     vectors,
 )
@@ -80,7 +81,7 @@ def _contained_sql(order, limit, select, key="normal", extra=""):
     ),
 )
 def t6(spark, sf):
-    return titles.search_titles(title_queries(spark, sf), movies(spark, sf)).select(
+    return titles.search_titles(title_queries(spark, sf), movies(spark, sf), postings=title_postings(spark, sf)).select(
         "query_id", "rank", "id", "title"
     )
 
@@ -90,7 +91,7 @@ def t6(spark, sf):
     _contained_sql("tier, title, release_year NULLS LAST, id", 1, "query_id, id, title, tier", key="lower"),
 )
 def j9(spark, sf):
-    return titles.resolve_first(title_queries(spark, sf), movies(spark, sf)).select(
+    return titles.resolve_first(title_queries(spark, sf), movies(spark, sf), title_postings(spark, sf, False)).select(
         "query_id", "id", "title", "tier"
     )
 
@@ -100,7 +101,7 @@ def j9(spark, sf):
     _contained_sql("vote_count DESC, popularity DESC, id", 1, "query_id, id", key="lower"),
 )
 def j10(spark, sf):
-    return titles.resolve_popular(title_queries(spark, sf), movies(spark, sf)).select("query_id", "id")
+    return titles.resolve_popular(title_queries(spark, sf), movies(spark, sf), title_postings(spark, sf, False)).select("query_id", "id")
 
 
 @query(
@@ -120,7 +121,7 @@ def j10(spark, sf):
     ),
 )
 def j11(spark, sf):
-    return titles.resolve_with_status(title_queries(spark, sf), movies(spark, sf)).select(
+    return titles.resolve_with_status(title_queries(spark, sf), movies(spark, sf), title_postings(spark, sf)).select(
         "query_id", "status", "source_id", F.array_join("candidates", ",").alias("candidates")
     )
 
@@ -139,7 +140,7 @@ def j8(spark, sf):
 
 @query("j11_fuzzy_title_resolution")
 def j11_fuzzy(spark, sf):
-    return titles.resolve_with_status(misspelt_queries(spark, sf), movies(spark, sf)).select(
+    return titles.resolve_with_status(misspelt_queries(spark, sf), movies(spark, sf), title_postings(spark, sf)).select(
         "query_id", "status", "source_id", F.array_join("candidates", ",").alias("candidates")
     )
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marquee.operators import features as ft
+from marquee.functions.strings import normalise_title
+from marquee.operators import features as ft, titles
+from marquee.operators.cells import CellIndex
 from marquee.operators.ranking import service_columns
 from marquee.plans.sources import final_movies
-from marquee.plans.storage import stored
+from marquee.plans.storage import stored, stored_folder
 from marquee.plans.testbed import table
 
 SERVED_COLUMNS = [*ft.DOCUMENT_COLUMNS, "poster_path", "backdrop_path"]
@@ -26,6 +28,30 @@ def vectors(spark, sf) -> DataFrame:
     )
 
 
+#: Vectors of a ring in the test data's small cells, so that rings are met there too.
+_RING = 16
+
+
+def cell_index(spark, sf) -> CellIndex:
+    """The cell index of all vectors."""
+    folder = stored_folder(spark, sf, "cells", lambda path: CellIndex.build(vectors(spark, sf), path, ring=_RING))
+    return CellIndex.open(spark, folder)
+
+
+def movie_cell_index(spark, sf) -> CellIndex:
+    """The cell index of the served movies' vectors."""
+    known = vectors(spark, sf).join(movies(spark, sf).select("id"), "id")
+    folder = stored_folder(spark, sf, "movie_cells", lambda path: CellIndex.build(known, path, ring=_RING))
+    return CellIndex.open(spark, folder)
+
+
+def title_postings(spark, sf, folded: bool = True) -> DataFrame:
+    """The posting table of the movies' titles, normalised or only in lower case."""
+    key = normalise_title("title") if folded else F.lower("title")
+    name = "normal_postings" if folded else "lower_postings"
+    return stored(spark, sf, name, lambda: titles.title_postings(movies(spark, sf), key))
+
+
 def title_queries(spark, sf) -> DataFrame:
     """The name of every movie, without what tells namesakes apart, as a title query."""
     name = F.split("original_title", r" \(")[0]

@@ -29,3 +29,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> str:
+    """A folder that ``build`` fills, once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = f"{scratch_folder(spark)}/{name}"
+        build(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]

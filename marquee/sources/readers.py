@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -9,19 +12,22 @@ from marquee.functions.columns import has_text, number, present
 from marquee.operators.dedupe import first_batch
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, **options) -> DataFrame:
-    """CSV with a header; quoted values may hold quotes and line ends.
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, line_ends: bool = True, **options
+) -> DataFrame:
+    """CSV with a header; quoted values may hold quotes and, with ``line_ends``, line ends.
 
+    A file whose values may hold line ends is read by one task; without them large files are split.
     Without a schema every column is text. ``inferSchema=True`` is possible but
     costs a second pass.
     """
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', **options)
+    reader = spark.read.options(header=True, multiLine=line_ends, quote='"', escape='"', **options)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, line_ends: bool = True) -> DataFrame:
     """The columns that vector training reads, cast, without blank rows."""
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, line_ends=line_ends)
     return model_input(raw)
 
 
@@ -60,17 +66,49 @@ def checked_batches(spark: SparkSession, path: str, schema: StructType | str) ->
     columns are parsed for that, whichever are read.
     The path, and the position of the row in its file, give the batch order: a
     file is read by one task, in order. Batch files hold a bounded number of
-    rows, so reading each whole (values may hold line ends) stays small. Files
-    that cannot be read at all stop the scan.
+    rows, so reading each whole (values may hold line ends) stays small. A file
+    that cannot be read whole is left out; :func:`unreadable_files` lists those.
     """
-    batches = read_csv(spark, path, with_malformed(schema), mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED)
+    batches = read_csv(
+        spark, path, with_malformed(schema), mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, ignoreCorruptFiles="true"
+    )
     # always true; it names every column, as the parser checks only those that are read
     whole = F.hash(*(c for c in batches.columns)) >= F.lit(-(1 << 31))
-    return batches.filter(whole).select(
+    rows = batches.filter(whole).select(
         "*",
         F.col("_metadata.file_path").alias("batch_file"),
         F.monotonically_increasing_id().alias("batch_row"),
     )
+    broken = unreadable_files(spark, path).select(F.col("file").alias("batch_file"))
+    return rows.join(broken, "batch_file", "left_anti").select(rows.columns)
+
+
+def _reason(name: str, content: bytes) -> str | None:
+    """Why a batch file cannot be read, or None."""
+    try:
+        data = zlib.decompress(content, wbits=31) if name.endswith(".gz") else content
+    except zlib.error:
+        return "damaged"
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return "not_text"
+    return None if text.strip() else "empty"
+
+
+def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, reason) of the batch files that cannot be read: damaged, not text, or without even a header.
+
+    Each file's bytes are looked at by the task that reads them; files hold a bounded number of rows.
+    """
+
+    @F.pandas_udf("string")
+    def reason(names: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([_reason(n, c) for n, c in zip(names, contents)], dtype=object)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(path)
+    looked = files.select(F.col("_metadata.file_path").alias("file"), reason(F.col("path"), F.col("content")).alias("reason"))
+    return looked.filter(F.col("reason").isNotNull())
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from marquee.sources.readers import MALFORMED, with_malformed
+from marquee.functions.columns import union_all
+from marquee.operators.dedupe import last_batch
+from marquee.session import cut_lineage
+from marquee.sources.readers import BATCH_ORDER, MALFORMED, with_malformed
+from marquee.sources.sinks import BUCKETS, bucket_of, write_buckets
 
 
 def new_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -38,3 +42,55 @@ def ingest(batches: DataFrame, table: str, progress: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+# -- incremental enrichment ---------------------------------------------------------------------------
+
+
+def merge_batch(
+    spark: SparkSession, rows: DataFrame, batch_id: int, table: str, buckets: int = BUCKETS
+) -> None:
+    """Merge one micro-batch into a keyed table: the row of the latest batch file stays for each id.
+
+    ``rows`` carry the batch order (``BATCH_ORDER``), which is kept in the table beside the id of the
+    micro-batch, so an older file that comes late changes nothing. The merge is idempotent: a micro-batch that runs again, after
+    a failure or by hand, finds its own rows there and leaves the same table.
+    """
+    new = last_batch(rows.filter(F.col("id").isNotNull()), BATCH_ORDER).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    new = cut_lineage(new.withColumn("bucket", bucket_of("id", buckets)))
+    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+    if not touched:
+        return
+    known = _existing(spark, table, new.schema)
+    current = known.filter(F.col("bucket").isin(touched)).select(*new.columns)
+    # Of equal batch positions the stored row stays, so a repeated micro-batch keeps its first number.
+    both = union_all([current.withColumn("_old", F.lit(1)), new.withColumn("_old", F.lit(0))])
+    merged = last_batch(both, [*BATCH_ORDER, "_old"]).drop("_old", "bucket")
+    write_buckets(merged, table, "id", buckets)
+
+
+def _existing(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """The table so far; empty before the first merge."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.schema(schema).parquet(table)
+    return spark.createDataFrame([], schema)
+
+
+def enrich(batches: DataFrame, table: str, progress: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merge all waiting batch files into the enrichment table and stop.
+
+    ``batches`` as of :func:`new_batches`; rows that do not fit the schema are left to the ingest.
+    """
+
+    def merge(rows: DataFrame, batch_id: int) -> None:
+        good = rows.filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
+        ordered = good.withColumn("batch_row", F.monotonically_increasing_id())
+        merge_batch(rows.sparkSession, ordered, batch_id, table, buckets)
+
+    return (
+        batches.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -131,10 +131,9 @@ def norm(text):
     return " ".join(text.lower().split())
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_fuzzy_titles(spark, movies, sizes):
+def test_fuzzy_titles(spark, movies):
     texts = ["intersteler", "the dark nite", "titanik", "tide", "av", "Spirted  Away"]
-    found = titles.fuzzy_titles(queries(spark, *texts), movies, sizes=sizes).collect()
+    found = titles.fuzzy_titles(queries(spark, *texts), movies).collect()
     got = {(r["query_id"], r["id"], round(r["ratio"], 9)) for r in found}
     rows = movies.collect()
     want = set()
@@ -152,10 +151,9 @@ def test_ratio_is_asymmetric(spark, movies):
     assert SequenceMatcher(None, "tide", "diet").ratio() != SequenceMatcher(None, "diet", "tide").ratio()
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_resolution_status(spark, movies, sizes):
+def test_resolution_status(spark, movies):
     texts = ["inception", "dark", "titanic", "dark knight", "spirited", "intersteller", "zzzz zzzz", "interstellar"]
-    found = titles.resolve_with_status(queries(spark, *texts), movies, sizes).collect()
+    found = titles.resolve_with_status(queries(spark, *texts), movies).collect()
     by_query = {r["query"]: (r["status"], r["source_id"], r["candidates"]) for r in found}
     assert by_query["inception"] == ("resolved", 1, [])
     assert by_query["dark"] == ("resolved", 3, [])
@@ -167,9 +165,8 @@ def test_resolution_status(spark, movies, sizes):
     assert by_query["interstellar"] == ("resolved", 0, [])
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_exact_title_before_contained(spark, movies, sizes):
-    found = titles.resolve_first(queries(spark, "DARK", "knight"), movies, sizes).collect()
+def test_exact_title_before_contained(spark, movies):
+    found = titles.resolve_first(queries(spark, "DARK", "knight"), movies).collect()
     assert {r["query_id"]: r["id"] for r in found} == {0: 3, 1: 2}
 
 
