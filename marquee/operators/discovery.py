@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marquee.functions.columns import half_even, text
+from marquee.functions.columns import half_even, text, union_all
 from marquee.operators.blocks import BlockSizes, Order, best_matches
+from marquee.operators.dedupe import top_per_key
 from marquee.operators.intents import BOUND_FIELDS, filter_reason, has_filters, language_code
+from marquee.operators.places import with_places
 from marquee.operators.ranking import DISCOVERY_WEIGHTS, best_by_score, metadata_score
+from marquee.session import cut_lineage
+
+# Movies of the first range of a search in score order, and how much larger each range ends.
+FIRST, GROWTH = 4096, 4
 
-# The columns each category of terms is looked up in.
+# The columns each category of terms is looked up in.
 _SEARCHED = {
     "preferred_genres": ["genres_text"],
     "actors": ["top_cast_text"],
@@ -108,16 +116,10 @@ def _kernel(k: int):
     return kernel
 
 
-def discover(
-    requests: DataFrame, movies: DataFrame, limit: int = 10, sizes: BlockSizes = BlockSizes()
-) -> DataFrame:
-    """The best movies of every request by rating, votes, popularity and quality.
-
-    ``requests``: query_id, intent. Requests without any filter have no result.
-    Returns query_id, rank, id, score (four digits) and reason.
-    """
+def _asked(requests: DataFrame) -> DataFrame:
+    """The requests that have a filter, with their terms and bounds."""
     intent = F.col("intent")
-    asked = requests.filter(has_filters(intent)).select(
+    return requests.filter(has_filters(intent)).select(
         F.col("query_id").cast("bigint"),
         *(_terms(intent, f).alias(f) for f in _SEARCHED),
         (F.size(intent["original_languages"]) > 0).alias("has_languages"),
@@ -126,7 +128,11 @@ def discover(
         ).alias("languages"),
         *(intent[f].cast("double").alias(f) for f in BOUND_FIELDS),
     )
-    items = movies.select(
+
+
+def _rated(movies: DataFrame) -> DataFrame:
+    """What a request looks at, and the score, which no request changes."""
+    return movies.select(
         F.col("id").cast("bigint"),
         metadata_score(movies, DISCOVERY_WEIGHTS).alias("score"),
         F.col("vote_count").cast("double").alias("vote_count"),
@@ -134,8 +140,67 @@ def discover(
         F.lower(text("original_language")).alias("original_language"),
         *(F.lower(text(c)).alias(c) for cs in _SEARCHED.values() for c in cs),
     )
-    found = best_matches(asked, items, _kernel(limit), _SCHEMA, _ORDER, limit, sizes=sizes)
-    reasons = requests.select(F.col("query_id").cast("bigint"), filter_reason(intent).alias("reason"))
+
+
+def _answered(found: DataFrame, requests: DataFrame) -> DataFrame:
+    reasons = requests.select(F.col("query_id").cast("bigint"), filter_reason(F.col("intent")).alias("reason"))
     return found.join(reasons, "query_id").select(
         "query_id", "rank", "id", half_even("score", 4).alias("score"), "reason"
     )
+
+
+def discover(
+    requests: DataFrame, movies: DataFrame, limit: int = 10, sizes: BlockSizes = BlockSizes()
+) -> DataFrame:
+    """The best movies of every request by rating, votes, popularity and quality.
+
+    ``requests``: query_id, intent. Requests without any filter have no result.
+    Returns query_id, rank, id, score (four digits) and reason.
+    """
+    found = best_matches(_asked(requests), _rated(movies), _kernel(limit), _SCHEMA, _ORDER, limit, sizes=sizes)
+    return _answered(found, requests)
+
+
+@dataclass(frozen=True)
+class ScoreOrder:
+    """Movies written in the order of their discovery score, for searches that end early.
+
+    A request takes the first movies in that order that pass its filters. The search goes through the order in
+    ranges that grow by ``GROWTH``; a request leaves as soon as it has all its results, as nothing further down can
+    displace them, and the search ends with the last open request. A range is a filter on the written place, so what
+    lies below is never read; there are log(movies) ranges at most.
+    """
+
+    movies: DataFrame
+    size: int
+
+    @staticmethod
+    def build(movies: DataFrame, path: str) -> ScoreOrder:
+        placed = with_places(_rated(movies), _ORDER.spark())
+        placed.repartitionByRange("place").sortWithinPartitions("place").write.mode("overwrite").parquet(path)
+        return ScoreOrder.open(movies.sparkSession, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> ScoreOrder:
+        written = spark.read.parquet(path)
+        return ScoreOrder(written, written.count())
+
+    def discover(self, requests: DataFrame, limit: int = 10, first: int = FIRST, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+        """What :func:`discover` gives for all movies."""
+        found = self.ranges(requests, limit, first, sizes)
+        if not found:
+            return _answered(self.movies.limit(0).select(*_COLUMNS[1:], F.lit(0).cast("bigint").alias("query_id"), F.lit(0).alias("rank")), requests)
+        best = top_per_key(union_all(found), ["query_id"], _ORDER.spark(), limit, "rank")
+        return _answered(best, requests)
+
+    def ranges(self, requests: DataFrame, limit: int, first: int = FIRST, sizes: BlockSizes = BlockSizes()) -> list[DataFrame]:
+        """The results of each range that had to be read, in order; written tables."""
+        open_, found = cut_lineage(_asked(requests)), []
+        low, high = 0, first
+        while low < self.size and not open_.isEmpty():
+            items = self.movies.filter((F.col("place") >= low) & (F.col("place") < high)).drop("place")
+            found.append(cut_lineage(best_matches(open_, items, _kernel(limit), _SCHEMA, _ORDER, limit, sizes=sizes).drop("rank")))
+            full = union_all(found).groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= limit)
+            open_ = cut_lineage(open_.join(full.select("query_id"), "query_id", "left_anti"))
+            low, high = high, high * GROWTH
+        return found

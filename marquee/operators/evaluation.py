@@ -10,9 +10,18 @@ from marquee.functions.columns import mean, union_all
 from marquee.functions.strings import jaccard
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import ranked
-from marquee.operators.ranking import CANDIDATE_POOL, SERVICE_WEIGHTS, Weights, linear_norms, rerank
+from marquee.operators.ranking import (
+    CANDIDATE_POOL,
+    NOTEBOOK_WEIGHTS,
+    SERVICE_WEIGHTS,
+    Weights,
+    linear_norms,
+    log_norms,
+    own_score,
+    rerank,
+)
 from marquee.operators.retrieval import nearest_dense, nearest_sparse
-from marquee.operators.titles import resolve_first
+from marquee.operators.titles import resolve_first, resolve_popular
 
 OVERALL = "__overall__"
 _SHOWN = ["id", "title", "release_year", "genres_text", "vote_average", "vote_count", "popularity", "recommendation_quality_score"]
@@ -145,6 +154,37 @@ def grid_metrics(examples: DataFrame, models: Sequence[str], queries: DataFrame)
     return grid.join(found, ["model", "query_id"], "left").na.fill(0)
 
 
+COUNT_MODEL, TFIDF_MODEL, HYBRID_MODEL = "CountVectorizer + Cosine", "TF-IDF + Cosine", "Hybrid Recommendation"
+
+
+def notebook_examples(
+    queries: DataFrame, movies: DataFrame, counts: DataFrame, tfidf: DataFrame, k: int = 10, sizes: BlockSizes = BlockSizes()
+) -> DataFrame:
+    """Top k of three models for the most popular movie of each title: two by cosine, one by the hybrid score over all movies.
+
+    ``counts`` and ``tfidf``: id, indices, values, vote_count.
+    """
+    sources = resolve_popular(queries, movies).select("query_id", F.col("id").alias("source_id"))
+    shown = movies.select("id", "vote_average", "vote_count", "popularity")
+
+    def found(model: str, features: DataFrame, score: str, **how) -> DataFrame:
+        own = features.select(F.col("id").alias("source_id"), "indices", "values")
+        pairs = nearest_sparse(sources.join(own, "source_id"), features, k, sizes=sizes, **how)
+        return pairs.drop("vote_count").join(shown, "id").select(
+            F.lit(model).alias("model"), "query_id", "id", F.col(score).alias("score"), "vote_average", "vote_count", "popularity"
+        )
+
+    rated = tfidf.drop("vote_count").join(movies, "id")
+    hybrid = {"weight": NOTEBOOK_WEIGHTS.similarity, "own": own_score(log_norms(movies), NOTEBOOK_WEIGHTS)}
+    return union_all(
+        [
+            found(COUNT_MODEL, counts, "similarity_score"),
+            found(TFIDF_MODEL, tfidf, "similarity_score"),
+            found(HYBRID_MODEL, rated, "hybrid_score", **hybrid),
+        ]
+    )
+
+
 def ranks_before_and_after(scored: DataFrame, query_key: str = "query_id") -> DataFrame:
     """Rank by similarity, and rank by the hybrid score, of every candidate."""
     first = ranked(scored, [query_key], [F.round("similarity_score", 9).desc(), F.asc("id")], "retrieval_rank")

@@ -28,7 +28,15 @@ DOUBLE_COLUMNS = [
     "popularity", "vote_average", "runtime", "budget", "revenue", "profit", "roi",
     "metadata_completeness_score",
 ]
-LONG_COLUMNS = ["id", "vote_count", "source_page", "release_year", "release_month", "release_decade"]
+LONG_COLUMNS = [
+    "id", "vote_count", "source_page", "release_year", "release_month", "release_decade",
+    "overview_length", "tagline_length", "title_length",
+    "genres_detail_count", "production_companies_count", "production_countries_count",
+    "spoken_languages_count", "writers_count", "top_cast_count", "keywords_count",
+    "has_budget", "has_revenue", "has_budget_revenue", "has_overview", "has_tagline", "has_homepage",
+    "has_poster", "has_backdrop", "has_genre", "has_director", "has_top_cast", "has_keywords",
+    "has_runtime_valid", "has_vote_count_valid", "has_release_date",
+]
 DATE_COLUMNS = ["release_date", "source_start_date", "source_end_date"]
 TIME_COLUMNS = ["collected_at", "enriched_at"]
 TEXT_COLUMNS = [

@@ -12,6 +12,11 @@ Queries and items meet by equality on the block in the block search, so a term o
 over its blocks. Items that share no term with a query have cosine 0: they count where a query finds fewer
 than k positive scores, and then only the most voted ones can be in the result, a block of their own. Weights are
 counts or what follows from them, never negative.
+
+Items may have a score of their own, such as a share of ratings and votes. A hybrid search ranks by a weight times the
+cosine plus that score; a block's bound is then the weighted bound of the cosine plus its largest own score, and blocks that
+share no term are reached where their largest own score alone suffices: by equality on its level, as blocks and floors
+are both cut to ``LEVELS`` steps.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ BLOCK = 1024
 MARGIN = 2e-6
 #: The block of the most voted items.
 VOTED = -1
+#: Steps per unit of the own scores.
+LEVELS = 1000
 
 
 def unit_weights(indices: str = "indices", values: str = "values") -> Column:
@@ -50,13 +57,18 @@ class ImpactIndex:
 
     items: DataFrame
     maxima: DataFrame
+    #: part and its largest own score
+    tops: DataFrame
 
     @staticmethod
-    def build(items: DataFrame, path: str, block: int = BLOCK) -> ImpactIndex:
-        """Write the blocks of ``items`` (id, indices, values, vote_count) below ``path`` and open them."""
+    def build(items: DataFrame, path: str, block: int = BLOCK, own: Column | None = None) -> ImpactIndex:
+        """Write the blocks of ``items`` (id, indices, values, vote_count) below ``path`` and open them; ``own`` is their own score."""
         spark = items.sparkSession
         heaviest = F.array_max(F.transform(unit_weights(), lambda p: F.struct(p["weight"], p["term"])))
-        known = items.select("id", "indices", "values", F.coalesce(F.col("vote_count").cast("double"), F.lit(0.0)).alias("vote_count"))
+        known = items.select(
+            "id", "indices", "values", F.coalesce(F.col("vote_count").cast("double"), F.lit(0.0)).alias("vote_count"),
+            (F.lit(0.0) if own is None else own).alias("own_score"),
+        )
         rated = known.withColumn("_top", heaviest).withColumns({"_term": F.col("_top.term"), "_weight": F.col("_top.weight")}).drop("_top")
         order = [F.asc_nulls_last("_term"), F.desc_nulls_last("_weight"), F.asc("id")]
         placed = rated.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -67,11 +79,12 @@ class ImpactIndex:
         written = spark.read.parquet(f"{path}/items")
         terms = written.select("part", F.explode(unit_weights()).alias("p")).select("part", "p.term", "p.weight")
         terms.groupBy("part", "term").agg(F.max("weight").alias("most")).write.mode("overwrite").parquet(f"{path}/maxima")
+        written.groupBy("part").agg(F.max("own_score").alias("top")).write.mode("overwrite").parquet(f"{path}/tops")
         return ImpactIndex.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> ImpactIndex:
-        return ImpactIndex(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/maxima"))
+        return ImpactIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("items", "maxima", "tops")))
 
     def bounds(self, queries: DataFrame) -> DataFrame:
         """(query_id, part, bound) of the blocks that share a term with a query."""
@@ -110,6 +123,34 @@ class ImpactIndex:
         open_ = asked.join(floors.filter(F.col("floor") > MARGIN), "query_id", "left_anti").withColumn("part", F.lit(VOTED).cast("bigint"))
         return first, rest, best_sparse(open_, most, k, ["part"], sizes)
 
+    def nearest_hybrid(self, queries: DataFrame, k: int, weight: float, sizes: BlockSizes = BlockSizes()) -> DataFrame:
+        """The ``k`` items with the highest ``weight`` times cosine plus own score; what ``nearest_sparse`` gives with ``own``.
+
+        A threshold search: blocks whose bound does not reach the k-th score of the best block are never scored.
+        """
+        asked = _asked(queries)
+        total = weight * F.col("bound") + F.col("top")
+        rated = self.bounds(asked).join(self.tops, "part").select("query_id", "part", total.alias("bound"))
+        bounds = cut_lineage(ranked(rated, ["query_id"], [F.desc("bound"), F.asc("part")], "place"))
+        best = bounds.filter("place = 1").select("query_id", "part")
+        own = F.col("own_score")
+        first = cut_lineage(best_sparse(asked.join(best, "query_id"), self.items, k, ["part"], sizes, weight, own))
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("hybrid_score")).alias("floor"))
+        # A query without a k-th score yet has to see every block.
+        least = self.tops.agg(F.min("top")).scalar()
+        floor = F.coalesce("floor", least) - MARGIN
+        open_ = cut_lineage(asked.select("query_id").join(floors, "query_id", "left").withColumn("floor", floor))
+        sharing = bounds.join(open_, "query_id").filter(F.col("bound") >= F.col("floor")).select("query_id", "part")
+        level = lambda c: F.floor(F.col(c) * LEVELS)
+        highest = self.tops.agg(F.max("top")).scalar()
+        steps = F.sequence(level("floor"), F.greatest(F.floor(highest * LEVELS), level("floor")))
+        alone = open_.withColumn("_level", F.explode(steps)).join(self.tops.withColumn("_level", level("top")), "_level")
+        alone = alone.filter(F.col("top") >= F.col("floor")).select("query_id", "part")
+        visits = sharing.unionByName(alone).distinct().join(best, ["query_id", "part"], "left_anti")
+        rest = best_sparse(asked.join(visits, "query_id"), self.items, k, ["part"], sizes, weight, own)
+        found = top_per_key(first.unionByName(rest).drop("retrieval_rank"), ["query_id"], ORDER.spark(), k, "retrieval_rank")
+        return found.select(*RESULT, "hybrid_score", "retrieval_rank")
+
     def visited(self, queries: DataFrame, k: int, sizes: BlockSizes = BlockSizes()) -> DataFrame:
         """(query_id, shared, visited): blocks that share a term with a query, and blocks that its search scores."""
         bounds, first = self._first(_asked(queries), k, sizes)

@@ -369,6 +369,11 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Dat
     return df.filter(place < fraction)
 
 
+def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """The ``n`` rows of the smallest keys: a subset for a trial that is the same in every run."""
+    return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
+
+
 def partition_profile(df: DataFrame) -> DataFrame:
     """Rows and their spread over the partitions."""
     per_part = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))

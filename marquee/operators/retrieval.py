@@ -148,9 +148,11 @@ def best_dense(queries: DataFrame, items: DataFrame, k: int, within: Sequence[st
     return _found(queries, items, ["vector"], _dense_kernel, k, within, 1.0, None, sizes)
 
 
-def best_sparse(queries: DataFrame, items: DataFrame, k: int, within: Sequence[str], sizes: BlockSizes) -> DataFrame:
+def best_sparse(
+    queries: DataFrame, items: DataFrame, k: int, within: Sequence[str], sizes: BlockSizes, weight: float = 1.0, own: Column | None = None
+) -> DataFrame:
     """The same for ``nearest_sparse``."""
-    return _found(queries, items, ["indices", "values"], _sparse_kernel, k, within, 1.0, None, sizes)
+    return _found(queries, items, ["indices", "values"], _sparse_kernel, k, within, weight, own, sizes)
 
 
 def nearest_dense(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -174,6 +178,54 @@ def silhouette(clustered: DataFrame, features: str = "tfidf") -> float:
     ).evaluate(clustered)
 
 
+def _scored_by_clusters(clustered: DataFrame, tables: np.ndarray, offsets: np.ndarray, features: str) -> DataFrame:
+    """id, cluster_id and, per cluster, ``offsets - 2 x . tables`` plus the squared length of x."""
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            scores = [
+                (offsets - 2 * tables[:, i] @ v + v @ v).tolist()
+                for i, v in ((np.asarray(i, int), np.asarray(v, float)) for i, v in zip(block["indices"], block["values"]))
+            ]
+            yield block[["id", "cluster_id"]].assign(scores=scores)
+
+    plain = clustered.select("id", "cluster_id", F.unwrap_udt(features).alias("v")).select("id", "cluster_id", "v.indices", "v.values")
+    return plain.mapInPandas(run, "id bigint, cluster_id int, scores array<double>")
+
+
+def centre_distances(model, clustered: DataFrame, features: str = "tfidf") -> DataFrame:
+    """id, cluster_id and the squared distance to every centre; centres are k rows of the vocabulary's size."""
+    centres = np.array([np.asarray(c, float) for c in model.clusterCenters()])
+    return _scored_by_clusters(clustered, centres, (centres * centres).sum(1), features)
+
+
+def silhouette_of_means(model, clustered: DataFrame, features: str = "tfidf") -> DataFrame:
+    """The silhouette by mean squared distances to all members of a cluster, put together from sums per cluster."""
+    centres = np.array([np.asarray(c, float) for c in model.clusterCenters()])
+    lengths = F.aggregate(F.unwrap_udt(features)["values"], F.lit(0.0), lambda s, x: s + x * x)
+    sums = {r.cluster_id: (r.n, r.total) for r in clustered.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(lengths).alias("total")).collect()}
+    sizes = np.array([sums.get(i, (0, 0.0))[0] for i in range(len(centres))], float)
+    spread = np.array([sums[i][1] / sums[i][0] if i in sums else np.inf for i in range(len(centres))])
+    scored = _scored_by_clusters(clustered, _member_means(model, clustered, features), spread, features)
+    size = F.array(*(F.lit(float(n)) for n in sizes))[F.col("cluster_id")]
+    own = F.col("scores")[F.col("cluster_id")] * size / F.when(size > 1, size - 1)
+    other = F.array_min(F.filter("scores", lambda x, i: (i != F.col("cluster_id")) & (x < float("inf"))))
+    value = F.when(size > 1, (other - own) / F.greatest(own, other)).otherwise(0.0)
+    return scored.agg(F.avg(value).alias("silhouette"))
+
+
+def _member_means(model, clustered: DataFrame, features: str) -> np.ndarray:
+    """Mean vector of each cluster's members: the model's centres are those of the last but one assignment."""
+    plain = clustered.select("cluster_id", F.unwrap_udt(features).alias("v"))
+    cells = plain.select("cluster_id", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c"))
+    sums = cells.groupBy("cluster_id", F.col("c.indices").alias("place")).agg(F.sum("c.values").alias("total"))
+    counts = clustered.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    means = sums.join(counts, "cluster_id").select("cluster_id", "place", (F.col("total") / F.col("n")).alias("mean")).toPandas()
+    out = np.zeros((len(model.clusterCenters()), len(model.clusterCenters()[0])))
+    out[means["cluster_id"], means["place"]] = means["mean"]
+    return out
+
+
 def cluster_summary(clustered: DataFrame, key: str = "cluster_id") -> DataFrame:
     return clustered.groupBy(key).agg(
         F.count("*").alias("movie_count"),

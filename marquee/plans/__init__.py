@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "profiles", "sources", "ranked", "texts", "evaluated", "conversed", "searched"]
+MODULES = ["features", "profiles", "sources", "ranked", "texts", "evaluated", "conversed", "searched", "completed"]
 
 
 def load_all() -> None:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from marquee.functions.vectors import dot, unit
 from marquee.operators import requests as rq, titles
 from marquee.operators.cells import recall_at
+from marquee.operators.discovery import ScoreOrder
 from marquee.operators.impacts import ImpactIndex
+from marquee.operators.ranking import NOTEBOOK_WEIGHTS, log_norms, own_score
 from marquee.operators.retrieval import nearest_dense
-from marquee.operators.titles import resolve_first
+from marquee.operators.titles import resolve_first, resolve_popular
 from marquee.plans.ranked import _all_queries, _similar_requests, misspelt_queries
 from marquee.plans.registry import ORACLES, query
-from marquee.plans.served import TITLE_QUERIES_SQL, cell_index, movie_cell_index, movies, title_queries, vectors
+from marquee.plans.served import TITLE_QUERIES_SQL, cell_index, filter_requests, movie_cell_index, movies, title_queries, vectors
 from marquee.plans.storage import stored_folder
 from marquee.plans.testbed import prepared_sql
 from marquee.plans.texts import sparse_features
@@ -139,3 +141,29 @@ def m9_impacts(spark, sf):
 @query("m10_nearest_by_tfidf_impacts", ORACLES["m10_nearest_by_tfidf"])
 def m10_impacts(spark, sf):
     return _by_impacts(spark, sf, "tfidf")
+
+
+# -- searches that end early --------------------------------------------------------------------------
+
+
+@query("t5_discovery_in_score_order", ORACLES["t5_discovery"])
+def t5_ordered(spark, sf):
+    folder = stored_folder(spark, sf, "score_order", lambda path: ScoreOrder.build(movies(spark, sf), path))
+    found = ScoreOrder.open(spark, folder).discover(filter_requests(spark, sf), first=512)
+    return found.drop("reason")
+
+
+@query("m13_hybrid_by_impacts", ORACLES["m13_hybrid_over_all_movies"])
+def m13_impacts(spark, sf):
+    shown = movies(spark, sf)
+    features = sparse_features(spark, sf, "tfidf")
+    rated = features.drop("vote_count").join(shown, "id")
+    own = own_score(log_norms(shown), NOTEBOOK_WEIGHTS)
+    folder = stored_folder(spark, sf, "hybrid_impacts", lambda path: ImpactIndex.build(rated, path, own=own))
+    sources = resolve_popular(title_queries(spark, sf), shown).select("query_id", F.col("id").alias("source_id"))
+    asked = sources.join(features.select(F.col("id").alias("source_id"), "indices", "values"), "source_id")
+    found = ImpactIndex.open(spark, folder).nearest_hybrid(asked, 10, NOTEBOOK_WEIGHTS.similarity)
+    return found.select(
+        "query_id", "id", F.col("retrieval_rank").alias("rank"),
+        F.round("similarity_score", 6).alias("similarity_score"), F.round("hybrid_score", 6).alias("hybrid_score"),
+    )

@@ -45,8 +45,8 @@ def finalise(documents: DataFrame) -> DataFrame:
 
 
 def final_movies(spark, sf) -> DataFrame:
-    """The final table: one row per movie by construction of the test catalogue."""
-    return keep_final(ready_movies(spark, sf))
+    """The final table: complete rows, the best one of each movie."""
+    return finalise(ready_movies(spark, sf))
 
 
 def movie_payload(final: DataFrame, extra: DataFrame) -> DataFrame:
@@ -59,6 +59,8 @@ def movie_payload(final: DataFrame, extra: DataFrame) -> DataFrame:
 
 # -- scans and sinks ---------------------------------------------------------------------------------
 
+# Files whose values may hold line ends are read whole, so they are kept short.
+_ROWS_PER_FILE = 50_000
 _BASE = [f.name for f in BASE_MOVIE]
 _BASE_SQL = ", ".join(c for c in _BASE if c not in ("poster_path", "overview"))
 
@@ -69,7 +71,7 @@ _BASE_SQL = ", ".join(c for c in _BASE if c not in ("poster_path", "overview"))
 )
 def a1(spark, sf):
     path = scratch_folder(spark) + "/movies"
-    sinks.write_csv(catalogue(spark, sf, *_BASE), path)
+    sinks.write_csv(catalogue(spark, sf, *_BASE), path, rows_per_file=_ROWS_PER_FILE)
     return readers.read_csv(spark, path, BASE_MOVIE)
 
 
@@ -82,7 +84,7 @@ def a1(spark, sf):
 )
 def a2(spark, sf):
     path = scratch_folder(spark) + "/final"
-    sinks.write_csv(ft.document_table(final_movies(spark, sf)), path)
+    sinks.write_csv(ft.document_table(final_movies(spark, sf)), path, rows_per_file=_ROWS_PER_FILE)
     rows = readers.read_documents(spark, path)
     return rows.withColumn("recommendation_quality_score", F.round("recommendation_quality_score", 6))
 
@@ -201,11 +203,13 @@ def a6(spark, sf):
     )
 
 
-def _details(spark, sf) -> DataFrame:
-    """Detail records of the catalogue, nested as a detail source delivers them."""
+def _details(spark, sf, whole: bool = False) -> DataFrame:
+    """Detail records of the catalogue, nested as a detail source delivers them; ``whole`` ones have every field."""
+    more = ["revenue", "imdb_id", "homepage"] if whole else []
     movies = catalogue(
         spark, sf, "id", "runtime", "status", "tagline", "budget", "genres_detail", "director",
         "writers", "top_cast", "keywords", "production_companies", "production_countries",
+        *more, *(["spoken_languages"] if whole else []),
     )
 
     def named(c, *extra):
@@ -225,8 +229,15 @@ def _details(spark, sf) -> DataFrame:
         F.array(F.struct(F.col("director").alias("name"), F.lit("Director").alias("job"))),
     )
     cast = named("top_cast", lambda x, i: (F.lit(100) - i).cast("bigint").alias("order"))
+    if whole:  # two of each order, told apart by the cast id
+        cast = named(
+            "top_cast",
+            lambda x, i: (F.lit(100) - F.floor(i / 2)).cast("bigint").alias("order"),
+            lambda x, i: (i + 1).cast("bigint").alias("cast_id"),
+        )
+        more.append(named("spoken_languages", lambda x, i: F.concat(F.lit("L-"), x).alias("english_name")).alias("spoken_languages"))
     detail = F.struct(
-        "id", "runtime", "status", "tagline", "budget",
+        "id", "runtime", "status", "tagline", "budget", *more,
         named("genres_detail").alias("genres"),
         named("production_companies").alias("production_companies"),
         named("production_countries", lambda x, i: F.right(x, F.lit(2)).alias("iso_3166_1")).alias(
@@ -329,7 +340,7 @@ _PAYLOAD_SQL = ", ".join(
 @query("j2_movie_payload", prepared_sql(f"SELECT {_PAYLOAD_SQL} FROM final"))
 def j2(spark, sf):
     ready = ready_movies(spark, sf)
-    final = keep_final(ft.document_table(ready))
+    final = finalise(ft.document_table(ready))
     payload = movie_payload(final, ready)
     return payload.withColumn("recommendation_quality_score", F.round("recommendation_quality_score", 6))
 
@@ -372,7 +383,7 @@ def j5(spark, sf):
 )
 def g16(spark, sf):
     ready = ready_movies(spark, sf)
-    return pf.final_summary(ready, keep_final(ready))
+    return pf.final_summary(ready, finalise(ready))
 
 
 _RATES = [c for c in pf.SUMMARY_FLAGS]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from marquee.functions.strings import STOP_WORDS, tokens
@@ -9,8 +11,9 @@ from marquee.operators import retrieval, text_models as tm
 from marquee.operators.features import modelling_base
 from marquee.plans.registry import query
 from marquee.plans.served import TITLE_QUERIES_SQL, movies, title_queries
-from marquee.plans.storage import stored
+from marquee.plans.storage import stored, stored_folder
 from marquee.plans.testbed import prepared_sql, table
+from marquee.sources.sinks import load_model, save_model
 
 _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
 
@@ -273,7 +276,7 @@ def m7(spark, sf):
     "g23_training_summary",
     prepared_sql(
         """SELECT unnest(['movie_count', 'vector_size', 'min_count', 'max_iter', 'vocabulary_size', 'avg_filtered_token_count']) AS metric,
-          unnest([(SELECT count(DISTINCT id) FROM words)::VARCHAR, '8', '5', '1',
+          unnest([(SELECT count(DISTINCT id) FROM words)::VARCHAR, '64', '5', '5',
             (SELECT count(*) FROM (SELECT term FROM words GROUP BY 1 HAVING count(*) >= 5))::VARCHAR,
             (SELECT round(count(*)::DOUBLE / count(DISTINCT id), 4) FROM words)::VARCHAR]) AS value""",
         f"words AS (SELECT id, unnest({_tokens_sql('movie_document_weighted')}) AS term FROM final)",
@@ -281,33 +284,39 @@ def m7(spark, sf):
 )
 def g23(spark, sf):
     prepared = tm.with_tokens(base(spark, sf)).select("id", "tokens")
-    model = tm.fit_word2vec(prepared, size=8, iterations=1)
-    return tm.training_summary(model, prepared, 8, 5, 1)
+    model = tm.fit_word2vec(prepared)
+    return tm.training_summary(model, prepared, 64, 5, 5)
+
+
+def clusters(spark, sf):
+    """The text model, the fitted clusters and the clustered TF-IDF vectors: fitted once, saved and read back."""
+
+    def build(path):
+        fitted, features = tm.text_features(base(spark, sf), *tm.TFIDF_VOCABULARY)
+        features.select("id", "tfidf").write.parquet(f"{path}/features")
+        save_model(fitted, f"{path}/text")
+        save_model(tm.fit_clusters(spark.read.parquet(f"{path}/features")), f"{path}/clusters")
+
+    path = stored_folder(spark, sf, "clusters", build)
+    model = load_model(KMeansModel, f"{path}/clusters")
+    return load_model(PipelineModel, f"{path}/text"), model, model.transform(spark.read.parquet(f"{path}/features"))
 
 
 @query("m17_document_clusters")
 def m17(spark, sf):
-    """K-Means on TF-IDF: start points depend on the partitions, so no SQL twin."""
-    _, features = tm.text_features(base(spark, sf), *tm.TFIDF_VOCABULARY)
-    features = features.select("id", "tfidf").persist()
-    model = tm.fit_clusters(features)
-    return model.transform(features).select("id", "cluster_id")
+    """K-Means on TF-IDF: start points depend on the partitions, so no SQL twin; ``m17_cluster_invariants`` has one."""
+    return clusters(spark, sf)[2].select("id", "cluster_id")
 
 
 @query("m18_cluster_silhouette")
 def m18(spark, sf):
-    _, features = tm.text_features(base(spark, sf), *tm.TFIDF_VOCABULARY)
-    features = features.select("id", "tfidf").persist()
-    clustered = tm.fit_clusters(features).transform(features)
-    return spark.createDataFrame([(20, tm.silhouette(clustered))], "k int, silhouette double")
+    return spark.createDataFrame([(20, tm.silhouette(clusters(spark, sf)[2]))], "k int, silhouette double")
 
 
 @query("m19_cluster_centre_terms")
 def m19(spark, sf):
-    fitted, features = tm.text_features(base(spark, sf), *tm.TFIDF_VOCABULARY)
-    features = features.select("id", "tfidf").persist()
-    model = tm.fit_clusters(features)
-    return tm.cluster_terms(model, fitted.stages[2].vocabulary, features)
+    fitted, model, clustered = clusters(spark, sf)
+    return tm.cluster_terms(model, fitted.stages[2].vocabulary, clustered)
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from marquee.operators import cells, impacts, postings, retrieval, titles
 from marquee.operators.blocks import BlockSizes
+from marquee.operators.discovery import ScoreOrder, discover
+from marquee.operators.intents import intent_of
 
 SMALL = BlockSizes(query_rows=16, item_rows=32)
 
@@ -213,3 +215,62 @@ def test_one_vector_and_none(spark, tmp_path):
     assert results(built.nearest(query, 2)) == [(7, 1, 1, 1.0), (9, 1, 1, 0.0)]
     none = impacts.ImpactIndex.build(one.limit(0), f"{tmp_path}/none")
     assert none.nearest(query, 2).count() == 0
+
+
+@pytest.mark.parametrize("weight", [0.7, 0.05])
+def test_hybrid_block_search_equals_the_full_one(spark, tmp_path, weight):
+    df = spark.createDataFrame(texts(), SPARSE)
+    own = (F.pmod(F.xxhash64("id"), F.lit(97)) / 300.0).cast("double")
+    built = impacts.ImpactIndex.build(df, str(tmp_path), block=16, own=own)
+    hybrid = lambda found: sorted((r.query_id, r.retrieval_rank, r.id, round(r.hybrid_score, 6)) for r in found.collect())
+    want = hybrid(retrieval.nearest_sparse(sparse_asked(df), df, 5, weight=weight, own=own))
+    assert hybrid(built.nearest_hybrid(sparse_asked(df), 5, weight, SMALL)) == want
+
+
+# -- discovery in score order -------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def rated(spark):
+    rnd = random.Random(6)
+    rows = [
+        (i, rnd.choice([5.0, 6.5, 8.0]), rnd.randrange(1000), float(rnd.randrange(50)), rnd.random(), rnd.choice(["drama", "comedy", "war film"]), rnd.choice(["en", "fr", "ko"]),
+         rnd.choice([80.0, 120.0, None]), "a", "b", "c", "d", "e", rnd.choice([1990, 2005, 2020])) for i in range(900)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "id bigint, vote_average double, vote_count bigint, popularity double, recommendation_quality_score double, genres_text string, original_language string, "
+        "runtime double, top_cast_text string, director_clean string, keywords_text string, overview_clean string, tagline_clean string, release_year int",
+    )
+
+
+def wishes(spark, none=False):
+    no = F.array().cast("array<string>")
+    return spark.range(0 if none else 5).select(
+        F.col("id").alias("query_id"),
+        intent_of(
+            preferred_genres=F.when(F.col("id") == 0, F.array(F.lit("War"))).when(F.col("id") == 3, F.array(F.lit("nothing"))).otherwise(no),
+            original_languages=F.when(F.col("id") == 1, F.array(F.lit("korean"))).otherwise(no),
+            min_rating=F.when(F.col("id") < 2, F.lit(7.0)),
+            max_rating=F.when(F.col("id") == 2, F.lit(5.0)),
+        ).alias("intent"),
+    )
+
+
+def listed(found):
+    return sorted((r.query_id, r["rank"], r.id, r.score, r.reason) for r in found.collect())
+
+
+def test_score_order_equals_the_full_discovery(spark, rated, tmp_path):
+    order = ScoreOrder.build(rated, str(tmp_path / "o"))
+    assert listed(order.discover(wishes(spark), 7, first=16)) == listed(discover(wishes(spark), rated, 7))
+    assert order.discover(wishes(spark, none=True), 7).count() == 0
+    none = ScoreOrder.build(rated.limit(0), str(tmp_path / "n"))
+    assert none.discover(wishes(spark), 7).count() == 0
+
+
+def test_satisfied_requests_end_the_search(spark, rated, tmp_path):
+    order = ScoreOrder.build(rated, str(tmp_path))
+    easy = wishes(spark).filter("query_id < 3")
+    assert len(order.ranges(easy, 2, first=64)) <= 2
+    assert len(order.ranges(wishes(spark), 2, first=64)) == 3
