@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.components import components
-from marquee.llm.shared import written
+from marquee.llm.shared import small_batches, written
 from marquee.llm.textblocks import (
     LOWER, SPACES, binary16, distinct_per_text, mixed, row_blocks, shingle_hashes, text_bytes, word_hashes, word_spans,
 )
@@ -43,6 +43,8 @@ from marquee.llm.textblocks import (
 _ROW = ("__row1", "__row2")
 #: Longs of the parity sketch.
 SKETCH = 4
+#: Text bytes whose shingles and signatures lie in a task's memory together.
+BLOCK = 1 << 20
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -134,7 +136,7 @@ def _sketches(hashes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
 
 def _set_digests(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, "text"):
+        for block in row_blocks(batches, "text", BLOCK):
             n = block.num_rows
             hashes, text = sets_of(block.column("text"), words)
             sizes = np.bincount(text, minlength=n).astype(np.int64)
@@ -153,7 +155,7 @@ def _set_digests(words: int):
 
 def _signed(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, "text"):
+        for block in row_blocks(batches, "text", BLOCK):
             hashes, text = sets_of(block.column("text"), words)
             sig, owner = signatures(hashes, text, block.num_rows, percent)
             ids = block.column("class").to_numpy(zero_copy_only=False)
@@ -166,7 +168,7 @@ def _signed(words: int, percent: int):
 
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches, "text"):
+        for block in row_blocks(batches, "text", BLOCK):
             hashes, text = sets_of(block.column("text"), words)
             offsets = np.searchsorted(text, np.arange(block.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
@@ -204,7 +206,8 @@ def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int)
     )
     kind = rows.schema["id"].dataType.simpleString()
     row_types = f"{_ROW[0]} bigint, {_ROW[1]} bigint"
-    digests = written(rows.mapInArrow(_set_digests(words), f"id {kind}, {row_types}, n bigint, set_key binary, sketch array<bigint>"))
+    with small_batches(documents.sparkSession):
+        digests = written(rows.mapInArrow(_set_digests(words), f"id {kind}, {row_types}, n bigint, set_key binary, sketch array<bigint>"))
     classes = written(
         digests.filter("n > 0").groupBy("set_key")
         .agg(F.min("id").alias("least_id"), F.min(_rank()).alias("best"), F.min(F.struct(*_ROW)).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -214,10 +217,12 @@ def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int)
 
     signed = texts.mapInArrow(_signed(words, percent), "sig bigint, class bigint")
     group = F.min("class").over(_by("sig")).alias("u"), F.max("class").over(_by("sig")).alias("top")
-    shared = written(signed.select("sig", F.col("class").alias("v"), *group).filter("u < top").select("sig", "u", "v"))
+    with small_batches(documents.sparkSession):
+        shared = written(signed.select("sig", F.col("class").alias("v"), *group).filter("u < top").select("sig", "u", "v"))
 
     wanted = shared.select(F.col("v").alias("class")).distinct()
-    sets = written(texts.join(wanted, "class", "left_semi").mapInArrow(_set_rows(words), "class bigint, elements array<bigint>"))
+    with small_batches(documents.sparkSession):
+        sets = written(texts.join(wanted, "class", "left_semi").mapInArrow(_set_rows(words), "class bigint, elements array<bigint>"))
     meta = classes.join(wanted, "class", "left_semi").select("class", "n", "sketch")
 
     def about(c: str) -> DataFrame:
