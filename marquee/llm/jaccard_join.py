@@ -14,10 +14,11 @@ choice without elements would sign unrelated sets alike; it is left out unless
 so many parts of a set are affected that the argument above would need it.
 
 Classes that share a signature are not paired with each other. First each is
-compared with the smallest class of the signature; links make components. Only
-members of a signature that lie in different components are compared further, after an
-exact bound on the difference by 256-bit parity sketches. So a large group of
-near copies costs its size, and no link between components is lost.
+compared with the smallest class of the signature; links make components. Then members outside its
+component are compared with the class that has most links so far, most often the original
+of the copies. Only members of a signature that still lie in different components are compared
+further, pack by pack inside the tasks, and only pairs that pass an exact bound on the difference by 256-bit
+parity sketches leave them. So a large group of near copies costs its size, and no link between components is lost.
 
 Defined cases: NULL, empty and wordless texts have no set and link with nothing;
 a text of fewer words than a shingle has its whole word sequence as its one element;
@@ -45,6 +46,10 @@ _ROW = ("__row1", "__row2")
 SKETCH = 4
 #: Text bytes whose shingles and signatures lie in a task's memory together.
 BLOCK = 1 << 20
+#: Rounds in which the members of a signature are compared with the one that has most links, before all that is left is.
+HUB_ROUNDS = 3
+#: Members of a signature that are compared with each other at a time.
+PACK = 256
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -194,6 +199,56 @@ def _near(percent: int, a: str, b: str) -> Column:
     return sizes & ((100 + percent) * apart <= (100 - percent) * total)
 
 
+def _open_groups(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(sig, node, component) of the signatures whose members lie in different components."""
+    member = shared.select("sig", F.col("v").alias("node")).distinct().join(parts, "node", "left")
+    member = member.withColumn("component", F.coalesce("component", "node"))
+    ends = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return member.join(ends.select("sig"), "sig").select("sig", "node", "component")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one signature and different components whose sizes and sketches allow a link, each once.
+
+    The members of a signature come in packs of about ``PACK``, dealt by hash; a pack is compared with itself and with the
+    others of its signature, a pair of packs a row, and only pairs that pass the bound leave the task.
+    """
+    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / PACK).alias("packs"))
+    dealt = members.join(sizes, "sig").withColumn("pack", F.pmod(F.xxhash64("node"), F.col("packs")))
+    fields = F.sort_array(F.collect_list(F.struct("node", "component", F.col("node_n").alias("n"), F.col("node_sketch").alias("sketch"))))
+    packs = written(dealt.groupBy("sig", "packs", "pack").agg(fields.alias("a")))
+    many = packs.filter("packs > 1")
+    others = many.select("sig", F.col("pack").alias("other"), F.col("a").alias("b"))
+    pairs = many.join(others, "sig").filter("pack < other").select("a", "b")
+    # Few rows a batch, as a row holds two packs.
+    with small_batches(members.sparkSession, 256):
+        found = written(packs.select("a", F.col("a").alias("b")).unionByName(pairs).mapInArrow(_close_pairs(percent), "u bigint, v bigint"))
+    return found.distinct()
+
+
+def _close_pairs(percent: int):
+    def table(rows: pa.StructScalar) -> tuple[np.ndarray, ...]:
+        struct = rows.values
+        sketch = struct.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+        return *(struct.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n")), sketch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(batch.column("a"), batch.column("b")):
+                (a, a_part, a_n, a_bits), (b, b_part, b_n, b_bits) = table(x), table(y)
+                sizes = 100 * np.minimum(a_n[:, None], b_n) >= percent * np.maximum(a_n[:, None], b_n)
+                row, col = np.nonzero(sizes & (a_part[:, None] != b_part))
+                apart = np.bitwise_count(a_bits[row] ^ b_bits[col]).sum(axis=1, dtype=np.int64)
+                close = (100 + percent) * apart <= (100 - percent) * (a_n[row] + b_n[col])
+                us.append(np.minimum(a[row[close]], b[col[close]]))
+                vs.append(np.maximum(a[row[close]], b[col[close]]))
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    return run
+
+
 def set_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: ``id``, the row's hash, ``n`` (size of its set) and ``component_id`` (smallest id reachable by links)."""
     return _judged(documents, key, text, words, percent).drop("best")
@@ -233,15 +288,24 @@ def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int)
     links = written(_linked(near, sets, percent))
     parts = written(components(links))
 
-    member = shared.select("sig", F.col("v").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ends = F.min("component").over(_by("sig")).alias("low"), F.max("component").over(_by("sig")).alias("high")
-    mixed_groups = member.select("*", *ends).filter("low < high").select("sig", "node", "component").distinct()
-    open_groups = written(mixed_groups.join(about("node"), "node"))
-    a = open_groups.select("sig", *(F.col(c).alias(f"a_{c.removeprefix('node_')}") for c in open_groups.columns if c != "sig"))
-    b = open_groups.select("sig", *(F.col(c).alias(f"b_{c.removeprefix('node_')}") for c in open_groups.columns if c != "sig"))
-    across = a.join(b, "sig").filter((F.col("a_component") < F.col("b_component")) & _near(percent, "a_", "b_"))
-    across = across.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
-    more = written(_linked(across.join(near, ["u", "v"], "left_anti"), sets, percent))
+    done = near
+    for _ in range(HUB_ROUNDS):
+        degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        open_ = _open_groups(shared, parts).join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        hubs = open_.groupBy("sig").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"), "component")).alias("hub"))
+        hubs = hubs.select("sig", (-F.col("hub.node")).alias("hub"), F.col("hub.component").alias("hub_component"))
+        met = open_.join(hubs, "sig").filter("component != hub_component")
+        pairs = met.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+        pairs = pairs.join(done, ["u", "v"], "left_anti").join(about("u"), "u").join(about("v"), "v")
+        pairs = written(pairs.filter(_near(percent, "u_", "v_")).select("u", "v"))
+        new = written(_linked(pairs, sets, percent))
+        if new.isEmpty():
+            break
+        done, links = done.unionByName(pairs), links.unionByName(new)
+        parts = written(components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new)))
+
+    across = _across(_open_groups(shared, parts).join(about("node"), "node"), percent)
+    more = written(_linked(across.join(done, ["u", "v"], "left_anti"), sets, percent))
     if not more.isEmpty():
         stars_done = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
         parts = written(components(stars_done.unionByName(more)))
