@@ -331,16 +331,17 @@ def decade_by_item(df: DataFrame, source: str, item: str, commas: bool = False)
 def histogram(df: DataFrame, value: str | Column, bins: int) -> DataFrame:
     """Equi-width histogram between minimum and maximum, the last bin closed.
 
-    The bounds are a scalar subquery. Empty bins are part of the result.
+    The bounds are a scalar subquery. Empty bins are part of the result. Values are counted first: bounds and bins
+    read the same counts, so the input is planned and scanned once.
     """
-    values = df.select(number(as_column(value)).alias("x")).filter(F.col("x").isNotNull())
+    values = df.select(number(as_column(value)).alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(F.count("*").alias("n"))
     bounds = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     width = (hi - lo) / F.lit(bins)
     place = F.when(width > 0, F.floor((F.col("x") - lo) / width)).otherwise(0)
     counts = (
         values.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("frequency"))
+        .agg(F.sum("n").alias("frequency"))
     )
     edges = bounds.filter(F.col("lo").isNotNull()).select(
         "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")

@@ -29,3 +29,12 @@ def test_query(spark, con, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_broken_module_is_not_taken_for_a_missing_one(tmp_path, monkeypatch):
+    (tmp_path / "broken_package").mkdir()
+    (tmp_path / "broken_package" / "__init__.py").write_text("")
+    (tmp_path / "broken_package" / "queries.py").write_text("import no_such_module_at_all\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert entry._there("broken_package.queries")
+    assert not entry._there("broken_package.other") and not entry._there("no_such_package.queries")
