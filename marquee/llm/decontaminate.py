@@ -234,7 +234,7 @@ def contamination(
 
 def _counted(rows: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select("key", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return rows.select("key", "n_words", n_hit.alias("n_hit"), "spans", F.array_distinct("items").alias("items"))
 
 
 def _hits(tests: TestItems, carried: list[str] | None = None):

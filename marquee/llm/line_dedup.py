@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.llm.shared import partitions, released_shuffles, shared_folder, written
-from marquee.llm.textblocks import LOWER, SPACES, PrefixHashes, binary16, mixed, row_blocks, text_bytes
+from marquee.llm.textblocks import LOWER, SPACES, binary16, row_blocks, span_hashes, text_bytes
 
 _ROW = ("__row1", "__row2")
 
@@ -59,10 +59,7 @@ def line_keys(column: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray,
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     keep = points[end] - points[begin] >= min_chars
     begin, end, lower = begin[keep], end[keep], LOWER[data]
-    size = (end - begin).astype(np.uint64)
-    one = mixed(PrefixHashes(lower, 1).spans(begin, end) + size)
-    two = mixed(PrefixHashes(lower, 2).spans(begin, end) ^ size)
-    return text[keep], number[keep], one, two
+    return text[keep], number[keep], span_hashes(lower, begin, end, 1), span_hashes(lower, begin, end, 2)
 
 
 class LineRuns:

@@ -75,3 +75,20 @@ def test_empty_and_repeated(spark, make_documents):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.longest_matches(docs, bench.limit(0)).count() == 0
+
+
+def test_words_that_polynomials_confuse(spark, make_documents):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    items = spark.createDataFrame([(1, one)], "item_id bigint, text string")
+    found = decontaminate.contamination(make_documents([one, two]), items)
+    assert sorted((r.key, r.n_hit) for r in found.collect()) == [(0, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 128])
+def test_repeated_items_count_once(spark, make_documents, block_bytes):
+    words = "one two three four five six seven eight nine ten eleven"
+    rows = [(7, words), (7, words), (7, words + " twelve"), (8, words)] + [(20 + i, f"filler {i} text") for i in range(20)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    found = decontaminate.contamination(make_documents(["a " + words + " b"]), items, block_bytes=block_bytes).collect()
+    assert [sorted(r["items"]) for r in found] == [["7", "8"]]

@@ -124,3 +124,11 @@ def test_components(spark):
                 root[u] = root[v] = low
                 changed = True
     assert got == {k: v for k, v in root.items() if any(k in link and link[0] != link[1] for link in links)}
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, make_documents, size):
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    one, two = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    docs = make_documents([f"x {one} y", f"x {two} y"])
+    assert sorted((r.id, r.component_id) for r in jaccard_join.set_components(docs, words=3, percent=90).collect()) == [(0, 0), (1, 1)]

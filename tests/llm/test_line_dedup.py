@@ -55,3 +55,17 @@ def test_runs_are_compacted(spark):
     assert len(runs.runs()) <= 3
     assert sorted(bytes(r.key) for r in runs.frequent().collect()) == [b"\1", b"\2"]
     runs.forget()
+
+
+def thue_morse(n):
+    """Strings of n and complementary letters on which polynomial hashes modulo 2 ** 64 agree."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_lines_that_polynomials_confuse(spark, make_documents, size):
+    one, two = thue_morse(size)
+    docs = make_documents([one] * 5 + [two] * 5)
+    kept = line_dedup.without_frequent_lines(docs, min_chars=1, min_documents=10)
+    assert sorted(r.text for r in kept.collect()) == sorted([one] * 5 + [two] * 5)
