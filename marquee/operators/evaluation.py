@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -52,14 +52,18 @@ def evaluate_dense(
     pool: int = CANDIDATE_POOL,
     weights: Weights = SERVICE_WEIGHTS,
     sizes: BlockSizes = BlockSizes(),
+    search: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Top k per query: cosine pool, hybrid re-rank, every score and both ranks."""
+    """Top k per query: cosine pool, hybrid re-rank, every score and both ranks.
+
+    ``search`` asks an index of the movies' vectors instead of all of them.
+    """
     sources = resolved_sources(queries, movies)
     asked = sources.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
         "query_id", "source_id", "vector"
     )
-    indexed = vectors.join(movies.select("id"), "id")
-    pairs = with_payload(nearest_dense(asked, indexed, pool, sizes=sizes), movies)
+    found = search(asked, pool) if search else nearest_dense(asked, vectors.join(movies.select("id"), "id"), pool, sizes=sizes)
+    pairs = with_payload(found, movies)
     top = rerank(pairs, linear_norms(movies), weights, k)
     return (
         top.join(sources, "query_id")

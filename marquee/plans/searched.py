@@ -8,6 +8,7 @@ from marquee.functions.vectors import dot, unit
 from marquee.operators import requests as rq, titles
 from marquee.operators.cells import recall_at
 from marquee.operators.discovery import ScoreOrder
+from marquee.operators.evaluation import evaluate_dense
 from marquee.operators.impacts import ImpactIndex
 from marquee.operators.ranking import NOTEBOOK_WEIGHTS, log_norms, own_score
 from marquee.operators.retrieval import nearest_dense
@@ -86,6 +87,22 @@ def m24_cells(spark, sf):
     return found.select("query_id", "id", "rank", "similarity_score", "hybrid_score")
 
 
+@query("m16_nearest_in_cluster_by_cells", ORACLES["m16_nearest_in_cluster"])
+def m16_cells(spark, sf):
+    """Cluster and part must both be equal."""
+    found = cell_index(spark, sf).nearest_exact(_all_queries(spark, sf), 10, within=["cluster_id"])
+    return found.select("query_id", "id", F.round("similarity_score", 6).alias("similarity_score"), "retrieval_rank")
+
+
+@query("m21_evaluation_by_cells", ORACLES["m21_evaluation_run"])
+def m21_cells(spark, sf):
+    found = evaluate_dense(title_queries(spark, sf), movies(spark, sf), vectors(spark, sf), search=movie_cell_index(spark, sf).nearest_exact)
+    return found.select(
+        "query_id", "source_id", F.col("id").alias("recommended_id"), "retrieval_rank", "hybrid_rank",
+        *(F.round(c, 6).alias(c) for c in ("similarity_score", "hybrid_score", "genre_overlap")),
+    )
+
+
 # -- titles -------------------------------------------------------------------------------------------
 
 _LETTERS = "(SELECT {key}, c, count(*) AS n FROM (SELECT {key}, unnest(string_split({key}, '')) AS c FROM {rows}) GROUP BY 1, 2)"

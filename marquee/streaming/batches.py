@@ -17,11 +17,13 @@ def new_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFra
     """Stream of the rows of batch files that were not ingested before.
 
     A row that does not fit the schema comes with its text in ``_malformed``:
-    ingested like the others, it can be counted and looked at in the table.
+    ingested like the others, it can be counted and looked at in the table. A file that
+    cannot be read does not stop the stream; ``readers.unreadable_files`` lists it.
     """
     return (
         spark.readStream.schema(with_malformed(schema))
         .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED)
+        .option("ignoreCorruptFiles", "true")
         .csv(folder)
         .withColumn("batch_file", F.col("_metadata.file_path"))
     )

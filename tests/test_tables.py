@@ -55,6 +55,7 @@ def test_enrichment_keeps_the_last_batch_and_can_be_replayed(spark, tmp_path):
     landing, table, progress = (tmp_path / n for n in ("landing", "table", "progress"))
     landing.mkdir()
     (landing / "b.csv").write_text("id,title\n1,old\n1,newer\nx,bad\n2,two\n")
+    (landing / "0.csv.gz").write_bytes(gzip.compress(b"id,title\n9,nine\n")[:-9])
     assert enrichment(spark, landing, table, progress) == [(1, "newer", 0), (2, "two", 0)]
     (landing / "c.csv").write_text("id,title\n2,last\n3,three\n")
     (landing / "a.csv").write_text("id,title\n1,late\n4,four\n")
