@@ -17,8 +17,8 @@ Classes that share a signature are not paired with each other. First each is
 compared with the smallest class of the signature; links make components. Then members outside its
 component are compared with the class that has most links so far, most often the original
 of the copies. Only members of a signature that still lie in different components are compared
-further, pack by pack inside the tasks, and only pairs that pass an exact bound on the difference by 256-bit
-parity sketches leave them. So a large group of near copies costs its size, and no link between components is lost.
+further, pack by pack inside the tasks, and only pairs that pass an exact bound on the difference by parity
+sketches of 256 bits (1024 for thresholds below 90 %) leave them. So a large group of near copies costs its size, and no link between components is lost.
 
 Defined cases: NULL, empty and wordless texts have no set and link with nothing;
 a text of fewer words than a shingle has its whole word sequence as its one element;
@@ -42,8 +42,9 @@ from marquee.llm.textblocks import (
 )
 
 _ROW = ("__row1", "__row2")
-#: Longs of the parity sketch.
-SKETCH = 4
+#: Longs of the parity sketch, and of one for thresholds below ``LOOSE`` per cent: the more linked sets may differ, the
+#: more bits it takes until the parities of sets that differ more are told apart.
+SKETCH, LOOSE_SKETCH, LOOSE = 4, 16, 90
 #: Text bytes whose shingles and signatures lie in a task's memory together.
 BLOCK = 1 << 20
 #: Rounds in which the members of a signature are compared with the one that has most links, before all that is left is.
@@ -132,14 +133,18 @@ def sets_of(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_text(*shingle_hashes(hashes, first, words))
 
 
-def _sketches(hashes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+def sketch_size(percent: int) -> int:
+    return SKETCH if percent >= LOOSE else LOOSE_SKETCH
+
+
+def _sketches(hashes: np.ndarray, text: np.ndarray, n_texts: int, longs: int) -> np.ndarray:
     """Parity of the elements per hashed bit, as longs."""
-    bits = 64 * SKETCH
+    bits = 64 * longs
     odd = np.bincount(text * bits + (mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=n_texts * bits) & 1
     return np.packbits(odd.astype(np.uint8).reshape(n_texts, bits), axis=1).view(np.int64)
 
 
-def _set_digests(words: int):
+def _set_digests(words: int, longs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches, "text", BLOCK):
             n = block.num_rows
@@ -148,8 +153,8 @@ def _set_digests(words: int):
             one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             np.add.at(one, text, mixed(hashes))
             np.add.at(two, text, mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)))
-            sketch = _sketches(hashes, text, n)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCH), pa.array(sketch.ravel()))
+            sketch = _sketches(hashes, text, n, longs)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * longs), pa.array(sketch.ravel()))
             key = binary16(mixed(one + sizes.astype(np.uint64)), mixed(two))
             yield pa.RecordBatch.from_arrays(
                 [block.column("id"), *(block.column(c) for c in _ROW), pa.array(sizes), key, lists], names=["id", *_ROW, "n", "set_key", "sketch"]
@@ -194,7 +199,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _near(percent: int, a: str, b: str) -> Column:
     """Whether size and parity sketches of two sets allow a link: never false for linked sets."""
     total = F.col(f"{a}n") + F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(sketch_size(percent))), F.lit(0))
     sizes = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
     return sizes & ((100 + percent) * apart <= (100 - percent) * total)
 
@@ -229,7 +234,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 def _close_pairs(percent: int):
     def table(rows: pa.StructScalar) -> tuple[np.ndarray, ...]:
         struct = rows.values
-        sketch = struct.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+        sketch = struct.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, sketch_size(percent))
         return *(struct.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n")), sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +244,8 @@ def _close_pairs(percent: int):
                 (a, a_part, a_n, a_bits), (b, b_part, b_n, b_bits) = table(x), table(y)
                 sizes = 100 * np.minimum(a_n[:, None], b_n) >= percent * np.maximum(a_n[:, None], b_n)
                 row, col = np.nonzero(sizes & (a_part[:, None] != b_part))
-                apart = np.bitwise_count(a_bits[row] ^ b_bits[col]).sum(axis=1, dtype=np.int64)
+                # unsigned: of a negative number NumPy would count the bits of its absolute value
+                apart = np.bitwise_count((a_bits[row] ^ b_bits[col]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                 close = (100 + percent) * apart <= (100 - percent) * (a_n[row] + b_n[col])
                 us.append(np.minimum(a[row[close]], b[col[close]]))
                 vs.append(np.maximum(a[row[close]], b[col[close]]))
@@ -262,7 +268,7 @@ def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int)
     kind = rows.schema["id"].dataType.simpleString()
     row_types = f"{_ROW[0]} bigint, {_ROW[1]} bigint"
     with small_batches(documents.sparkSession):
-        digests = written(rows.mapInArrow(_set_digests(words), f"id {kind}, {row_types}, n bigint, set_key binary, sketch array<bigint>"))
+        digests = written(rows.mapInArrow(_set_digests(words, sketch_size(percent)), f"id {kind}, {row_types}, n bigint, set_key binary, sketch array<bigint>"))
     classes = written(
         digests.filter("n > 0").groupBy("set_key")
         .agg(F.min("id").alias("least_id"), F.min(_rank()).alias("best"), F.min(F.struct(*_ROW)).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,28 @@ def test_words_that_polynomials_confuse(spark, make_documents, size):
     one, two = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
     docs = make_documents([f"x {one} y", f"x {two} y"])
     assert sorted((r.id, r.component_id) for r in jaccard_join.set_components(docs, words=3, percent=90).collect()) == [(0, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_packs_let_every_close_pair_through(percent):
+    """Sketches whose highest bits differ: the bound counts single bits, whatever the sign of the long."""
+    longs = jaccard_join.sketch_size(percent)
+    rnd = random.Random(percent)
+    members = []
+    for i in range(60):
+        sketch = [-1 if k % 2 else 0 for k in range(longs)]
+        for _ in range(rnd.randint(0, 5)):
+            k, bit = rnd.randrange(longs), rnd.choice([0, 1, 62, 63, 63])
+            flipped = (sketch[k] & ((1 << 64) - 1)) ^ (1 << bit)
+            sketch[k] = flipped - (1 << 64) if flipped >> 63 else flipped
+        members.append({"node": i, "component": i, "n": 40, "sketch": sketch})
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
+    pack = pa.array([members], kind)
+    (batch,) = jaccard_join._close_pairs(percent)(iter([pa.RecordBatch.from_arrays([pack, pack], names=["a", "b"])]))
+    got = set(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()))
+    want = set()
+    for a, b in combinations(members, 2):
+        apart = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a["sketch"], b["sketch"]))
+        if (100 + percent) * apart <= (100 - percent) * 80:
+            want.add((a["node"], b["node"]))
+    assert got == want and want
