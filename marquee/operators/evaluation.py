@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import mean, union_all
+from marquee.functions.columns import mean, never_broadcast, union_all
 from marquee.functions.strings import jaccard
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import ranked
@@ -36,12 +36,12 @@ def resolved_sources(queries: DataFrame, movies: DataFrame) -> DataFrame:
         F.col("release_year").alias("source_release_year"),
         F.col("genres_text").alias("source_genres"),
     )
-    return found.join(shown, "source_id")
+    return found.join(never_broadcast(shown), "source_id")
 
 
 def with_payload(pairs: DataFrame, movies: DataFrame) -> DataFrame:
     """Retrieved pairs with the metadata of the recommended movie."""
-    return pairs.drop("vote_count").join(movies.select(*_SHOWN), "id")
+    return pairs.drop("vote_count").join(never_broadcast(movies.select(*_SHOWN)), "id")
 
 
 def evaluate_dense(
@@ -59,10 +59,10 @@ def evaluate_dense(
     ``search`` asks an index of the movies' vectors instead of all of them.
     """
     sources = resolved_sources(queries, movies)
-    asked = sources.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
+    asked = sources.join(never_broadcast(vectors.withColumnRenamed("id", "source_id")), "source_id").select(
         "query_id", "source_id", "vector"
     )
-    found = search(asked, pool) if search else nearest_dense(asked, vectors.join(movies.select("id"), "id"), pool, sizes=sizes)
+    found = search(asked, pool) if search else nearest_dense(asked, vectors.join(never_broadcast(movies.select("id")), "id"), pool, sizes=sizes)
     pairs = with_payload(found, movies)
     top = rerank(pairs, linear_norms(movies), weights, k)
     return (
@@ -86,7 +86,7 @@ def evaluate_sparse(
     """
     sources = resolved_sources(queries, movies)
     asked = sources.select("query_id", "source_id").join(
-        features.select(F.col("id").alias("source_id"), "indices", "values"), "source_id"
+        never_broadcast(features.select(F.col("id").alias("source_id"), "indices", "values")), "source_id"
     )
     pairs = with_payload(nearest_sparse(asked, features, k, sizes=sizes), movies)
     rows = pairs.join(sources, "query_id").withColumn("genre_overlap", jaccard("source_genres", "genres_text"))
@@ -172,13 +172,13 @@ def notebook_examples(
     shown = movies.select("id", "vote_average", "vote_count", "popularity")
 
     def found(model: str, features: DataFrame, score: str, **how) -> DataFrame:
-        own = features.select(F.col("id").alias("source_id"), "indices", "values")
+        own = never_broadcast(features.select(F.col("id").alias("source_id"), "indices", "values"))
         pairs = nearest_sparse(sources.join(own, "source_id"), features, k, sizes=sizes, **how)
-        return pairs.drop("vote_count").join(shown, "id").select(
+        return pairs.drop("vote_count").join(never_broadcast(shown), "id").select(
             F.lit(model).alias("model"), "query_id", "id", F.col(score).alias("score"), "vote_average", "vote_count", "popularity"
         )
 
-    rated = tfidf.drop("vote_count").join(movies, "id")
+    rated = tfidf.drop("vote_count").join(never_broadcast(movies), "id")
     hybrid = {"weight": NOTEBOOK_WEIGHTS.similarity, "own": own_score(log_norms(movies), NOTEBOOK_WEIGHTS)}
     return union_all(
         [

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from marquee.functions.columns import never_broadcast
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import ranked, top_per_key
 from marquee.operators.retrieval import ORDER, RESULT, best_sparse
@@ -89,7 +90,7 @@ class ImpactIndex:
     def bounds(self, queries: DataFrame) -> DataFrame:
         """(query_id, part, bound) of the blocks that share a term with a query."""
         terms = queries.select("query_id", F.explode(unit_weights()).alias("p")).select("query_id", "p.term", "p.weight")
-        return terms.join(self.maxima, "term").groupBy("query_id", "part").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
+        return terms.join(never_broadcast(self.maxima), "term").groupBy("query_id", "part").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
 
     def nearest(self, queries: DataFrame, k: int, sizes: BlockSizes = BlockSizes()) -> DataFrame:
         """The ``k`` nearest of all items; columns as of ``nearest_sparse``, whose result it equals.

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marquee.functions.columns import never_broadcast
+
 #: Characters of the longest grams.
 GRAM = 3
 
@@ -51,7 +53,7 @@ def rarest_grams(wanted: DataFrame, postings: DataFrame, name: str = "wanted") -
 
 def containing(wanted: DataFrame, postings: DataFrame, name: str = "wanted", key: str = "key") -> DataFrame:
     """(``name``, ``key``): every text that contains a wanted text. ``wanted`` holds non-empty texts, each once."""
-    listed = rarest_grams(wanted, postings, name).select(name, "gram").join(postings, "gram")
+    listed = rarest_grams(wanted, postings, name).select(name, "gram").join(never_broadcast(postings), "gram")
     return listed.filter(F.contains(F.col(key), F.col(name))).select(name, key)
 
 
@@ -114,7 +116,7 @@ def similar_pairs(wanted: DataFrame, texts: DataFrame, percent: int, name: str =
     shortest, _ = length_bounds(F.col("size"), percent)
     widest = F.greatest(F.col("size") - common_least(shortest, F.col("size"), percent) + 1, F.lit(0))
     listed = right.select(key, "size", "tokens", "pairs", F.posexplode(F.slice("tokens", F.lit(1), widest)).alias("place", "token"))
-    met = asked.join(listed, ["token", "size"])
+    met = asked.join(never_broadcast(listed), ["token", "size"])
     need = common_least(F.col("a"), F.col("size"), percent)
     shared = F.array_intersect("own", "tokens")
     together = F.size(F.array_intersect("own_pairs", "pairs"))

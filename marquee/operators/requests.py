@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import union_all
+from marquee.functions.columns import never_broadcast, union_all
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import top_per_key
 from marquee.operators.discovery import discover
@@ -50,7 +50,7 @@ Search = Callable[[DataFrame, int], DataFrame]
 def _searched(asked: DataFrame, movies: DataFrame, vectors: DataFrame, k: int, sizes: BlockSizes, search: Search | None) -> DataFrame:
     if search is not None:
         return search(asked, k)
-    return nearest_dense(asked, vectors.join(movies.select("id"), "id"), k, sizes=sizes)
+    return nearest_dense(asked, vectors.join(never_broadcast(movies.select("id")), "id"), k, sizes=sizes)
 
 
 def similar_movies(
@@ -69,11 +69,11 @@ def similar_movies(
     ``search`` asks an index of the movies' vectors instead of all of them.
     """
     pool = max(pool, k + 1)
-    asked = sources.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
+    asked = sources.join(never_broadcast(vectors.withColumnRenamed("id", "source_id")), "source_id").select(
         "query_id", "source_id", "vector"
     )
     pairs = _searched(asked, movies, vectors, pool - 1, sizes, search)
-    scored = pairs.drop("vote_count").join(movies, "id")
+    scored = pairs.drop("vote_count").join(never_broadcast(movies), "id")
     return rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, k, rounded=True).withColumns(
         {"reason": F.lit(SIMILARITY_REASON), "score_type": F.lit("similarity")}
     )
@@ -99,12 +99,12 @@ def filtered_similar(
     asked = requests.select(
         F.col("query_id").cast("bigint"), "intent", (F.col("top_k") if own else F.lit(k)).alias("_top_k")
     )
-    sources = requests.join(vectors.withColumnRenamed("id", "source_id"), "source_id").select(
+    sources = requests.join(never_broadcast(vectors.withColumnRenamed("id", "source_id")), "source_id").select(
         "query_id", "source_id", "vector"
     )
     near = _searched(sources, movies, vectors, candidate_pool(most), sizes, search)
     pooled = near.join(asked, "query_id").filter(F.col("retrieval_rank") <= pool_target(F.col("_top_k")))
-    scored = pooled.drop("vote_count").join(movies, "id")
+    scored = pooled.drop("vote_count").join(never_broadcast(movies), "id")
     found = rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, candidate_pool(most), rounded=True).withColumns(
         {"reason": F.lit(SIMILARITY_REASON), "score_type": F.lit("similarity")}
     )
@@ -224,7 +224,7 @@ def answer(
     resolved = cut_lineage(
         resolve_with_status(similarity.select("query_id", F.col("title").alias("query")), movies)
     )
-    known = vectors.join(movies.select("id", F.col("title").alias("source_title")), "id")
+    known = vectors.join(never_broadcast(movies.select("id", F.col("title").alias("source_title"))), "id")
     sources = resolved.filter(F.col("status") == "resolved").select("query_id", "source_id")
     found = _results(
         filtered_similar(
@@ -237,7 +237,7 @@ def answer(
     joined = (
         similarity.join(resolved.drop("query"), "query_id")
         .join(found, "query_id", "left")
-        .join(titles, "source_id", "left")
+        .join(never_broadcast(titles), "source_id", "left")
     )
     has_vector = F.col("source_title").isNotNull()
     status = (

@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marquee.functions.columns import never_broadcast
 from marquee.functions.strings import normalise_title
 from marquee.operators.blocks import Order
 from marquee.operators.dedupe import top_per_key
@@ -46,7 +47,7 @@ def _search(queries, movies, key, order, k, postings, exact_first=False) -> Data
     asked = queries.filter(F.col("wanted") != "").select(F.col("query_id").cast("bigint"), "wanted")
     hits = containing(asked.select("wanted").distinct(), title_postings(movies, key) if postings is None else postings)
     tier = (F.col("key") != F.col("wanted")).cast("int") if exact_first else F.lit(0)
-    rows = hits.join(few, "key").withColumn("tier", tier)
+    rows = hits.join(never_broadcast(few), "key").withColumn("tier", tier)
     best = top_per_key(rows, ["wanted"], order.spark(), k, "rank")
     return asked.join(best, "wanted").select("query_id", *needed, "tier", "rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions.columns import mean
+from marquee.functions.columns import mean, never_broadcast
 from marquee.operators import evaluation as ev
 from marquee.operators.ranking import SERVICE_WEIGHTS, linear_norms, with_hybrid_score
 from marquee.operators.retrieval import nearest_dense
@@ -98,9 +98,9 @@ def g20(spark, sf):
 )
 def w6(spark, sf):
     shown = movies(spark, sf)
-    indexed = vectors(spark, sf).join(shown.select("id"), "id")
+    indexed = vectors(spark, sf).join(never_broadcast(shown.select("id")), "id")
     pairs = nearest_dense(_all_queries(spark, sf), indexed, 20).drop("vote_count", "retrieval_rank")
-    scored = with_hybrid_score(pairs.join(shown, "id"), linear_norms(shown), SERVICE_WEIGHTS)
+    scored = with_hybrid_score(pairs.join(never_broadcast(shown), "id"), linear_norms(shown), SERVICE_WEIGHTS)
     return ev.ranks_before_and_after(scored).select("query_id", "id", "retrieval_rank", "hybrid_rank")
 
 
@@ -215,6 +215,6 @@ def m23(spark, sf):
     """Same-cluster neighbours of every vector, compared cluster by cluster."""
     found = nearest_dense(_all_queries(spark, sf), vectors(spark, sf), 10, within=["cluster_id"])
     clusters = vectors(spark, sf).select(F.col("id").alias("query_id"), "cluster_id")
-    return found.join(clusters, "query_id").groupBy("cluster_id").agg(
+    return found.join(never_broadcast(clusters), "query_id").groupBy("cluster_id").agg(
         F.count("*").alias("pairs"), mean("similarity_score").alias("avg_similarity")
     )
