@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import evaluation as ev, postings, retrieval
 from marquee.operators.blocks import BlockSizes
+from marquee.plans import testbed
 
 
 def _optimized(df) -> str:
@@ -41,3 +42,16 @@ def test_tables_that_grow_are_not_broadcast(spark):
     hits = postings.containing(wanted, postings.gram_postings(texts))
     assert "strategy=merge" in _optimized(hits)
     assert sorted(r.key for r in hits.collect()) == ["abc", "bcd"]
+
+
+def test_sales_bring_a_part_together_before_sets_are_collected(spark):
+    rows = [(p, 1, n, str(n), "F", n, 0.1, 1.0, 2.0) for p in range(300) for n in (1, 2)]
+    lineitem = spark.createDataFrame(
+        rows, "l_partkey bigint, l_suppkey bigint, l_orderkey bigint, l_returnflag string, l_linestatus string, "
+        "l_linenumber int, l_discount double, l_quantity double, l_extendedprice double"
+    ).withColumn("l_shipdate", F.lit("2000-01-01").cast("date"))
+    sales = testbed._sales(lineitem)
+    plan = sales._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan.split("partial_collect_set")[-1]
+    got = sales.collect()
+    assert len(got) == 300 and all(r.n == 2 and sorted(r.flag_set) == ["1", "2"] and r.quantity == 2.0 for r in got)
