@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import evaluation as ev, postings, retrieval
 from marquee.operators.blocks import BlockSizes
+from marquee.operators.cells import CellIndex
 from marquee.plans import testbed
 
 
@@ -27,6 +28,15 @@ def test_block_search_sends_counts_and_never_queries(spark):
     assert found.count() == 80
 
 
+def test_visits_of_one_file_are_chosen_in_many_tasks(spark, tmp_path):
+    items = _vectors(spark, 60)
+    index = CellIndex.build(items.select("id", "vector"), str(tmp_path / "cells"), cells=3, ring=8)
+    asked = items.select(F.col("id").alias("query_id"), F.col("id").alias("source_id"), "vector").coalesce(1)
+    visits = index._visits(asked, index._probing(3))
+    assert visits.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert visits.count() == 60 * len(index.parts)
+
+
 def test_tables_that_grow_are_not_broadcast(spark):
     movies = spark.range(5).select(
         "id", *(F.lit("a").alias(c) for c in ("title", "genres_text")), F.lit(2000).alias("release_year"),
