@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import mean, never_broadcast, union_all
+from marquee.functions.columns import FEW, is_few, mean, never_broadcast, rows_of, union_all
 from marquee.functions.strings import jaccard
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import ranked
@@ -20,28 +20,29 @@ from marquee.operators.ranking import (
     own_score,
     rerank,
 )
-from marquee.operators.retrieval import nearest_dense, nearest_sparse
+from marquee.operators.retrieval import DENSE_SIZES, nearest_dense, nearest_sparse
 from marquee.operators.titles import resolve_first, resolve_popular
+from marquee.session import cut_lineage
 
 OVERALL = "__overall__"
 _SHOWN = ["id", "title", "release_year", "genres_text", "vote_average", "vote_count", "popularity", "recommendation_quality_score"]
 
 
 def resolved_sources(queries: DataFrame, movies: DataFrame) -> DataFrame:
-    """query_id, source_id and the source's title, year and genres; unmatched queries drop out."""
-    found = resolve_first(queries, movies).select("query_id", F.col("id").alias("source_id"))
+    """query_id, source_id and the source's title, year and genres; unmatched queries drop out. Written: several steps read it."""
+    found = cut_lineage(resolve_first(queries, movies).select("query_id", F.col("id").alias("source_id")))
     shown = movies.select(
         F.col("id").alias("source_id"),
         F.col("title").alias("source_title"),
         F.col("release_year").alias("source_release_year"),
         F.col("genres_text").alias("source_genres"),
     )
-    return found.join(never_broadcast(shown), "source_id")
+    return cut_lineage(rows_of(found, shown, "source_id", is_few(found)))
 
 
-def with_payload(pairs: DataFrame, movies: DataFrame) -> DataFrame:
-    """Retrieved pairs with the metadata of the recommended movie."""
-    return pairs.drop("vote_count").join(never_broadcast(movies.select(*_SHOWN)), "id")
+def with_payload(pairs: DataFrame, movies: DataFrame, few: bool = False) -> DataFrame:
+    """Retrieved pairs, ``few`` or many, with the metadata of the recommended movie."""
+    return rows_of(pairs.drop("vote_count"), movies.select(*_SHOWN), "id", few)
 
 
 def evaluate_dense(
@@ -51,7 +52,7 @@ def evaluate_dense(
     k: int = 10,
     pool: int = CANDIDATE_POOL,
     weights: Weights = SERVICE_WEIGHTS,
-    sizes: BlockSizes = BlockSizes(),
+    sizes: BlockSizes = DENSE_SIZES,
     search: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Top k per query: cosine pool, hybrid re-rank, every score and both ranks.
@@ -59,11 +60,10 @@ def evaluate_dense(
     ``search`` asks an index of the movies' vectors instead of all of them.
     """
     sources = resolved_sources(queries, movies)
-    asked = sources.join(never_broadcast(vectors.withColumnRenamed("id", "source_id")), "source_id").select(
-        "query_id", "source_id", "vector"
-    )
+    own = vectors.withColumnRenamed("id", "source_id")
+    asked = rows_of(sources.select("query_id", "source_id"), own, "source_id", is_few(sources)).select("query_id", "source_id", "vector")
     found = search(asked, pool) if search else nearest_dense(asked, vectors.join(never_broadcast(movies.select("id")), "id"), pool, sizes=sizes)
-    pairs = with_payload(found, movies)
+    pairs = with_payload(found, movies, is_few(sources, FEW // pool))
     top = rerank(pairs, linear_norms(movies), weights, k)
     return (
         top.join(sources, "query_id")
@@ -85,10 +85,9 @@ def evaluate_sparse(
     ``features``: id, indices, values, vote_count.
     """
     sources = resolved_sources(queries, movies)
-    asked = sources.select("query_id", "source_id").join(
-        never_broadcast(features.select(F.col("id").alias("source_id"), "indices", "values")), "source_id"
-    )
-    pairs = with_payload(nearest_sparse(asked, features, k, sizes=sizes), movies)
+    own = features.select(F.col("id").alias("source_id"), "indices", "values")
+    asked = rows_of(sources.select("query_id", "source_id"), own, "source_id", is_few(sources))
+    pairs = with_payload(nearest_sparse(asked, features, k, sizes=sizes), movies, is_few(sources, FEW // k))
     rows = pairs.join(sources, "query_id").withColumn("genre_overlap", jaccard("source_genres", "genres_text"))
     return model_rows(rows, model_name, F.col("retrieval_rank"), F.col("similarity_score"))
 
@@ -168,13 +167,14 @@ def notebook_examples(
 
     ``counts`` and ``tfidf``: id, indices, values, vote_count.
     """
-    sources = resolve_popular(queries, movies).select("query_id", F.col("id").alias("source_id"))
+    sources = cut_lineage(resolve_popular(queries, movies).select("query_id", F.col("id").alias("source_id")))
     shown = movies.select("id", "vote_average", "vote_count", "popularity")
+    few, few_pairs = is_few(sources), is_few(sources, FEW // k)
 
     def found(model: str, features: DataFrame, score: str, **how) -> DataFrame:
-        own = never_broadcast(features.select(F.col("id").alias("source_id"), "indices", "values"))
-        pairs = nearest_sparse(sources.join(own, "source_id"), features, k, sizes=sizes, **how)
-        return pairs.drop("vote_count").join(never_broadcast(shown), "id").select(
+        own = features.select(F.col("id").alias("source_id"), "indices", "values")
+        pairs = nearest_sparse(rows_of(sources, own, "source_id", few), features, k, sizes=sizes, **how)
+        return rows_of(pairs.drop("vote_count"), shown, "id", few_pairs).select(
             F.lit(model).alias("model"), "query_id", "id", F.col(score).alias("score"), "vote_average", "vote_count", "popularity"
         )
 

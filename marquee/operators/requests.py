@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import never_broadcast, union_all
+from marquee.functions.columns import FEW, is_few, never_broadcast, rows_of, union_all
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.dedupe import top_per_key
 from marquee.operators.discovery import discover
@@ -18,7 +18,7 @@ from marquee.operators.ranking import (
     linear_norms,
     rerank,
 )
-from marquee.operators.retrieval import nearest_dense
+from marquee.operators.retrieval import DENSE_SIZES, nearest_dense
 from marquee.operators.titles import resolve_with_status
 from marquee.session import cut_lineage
 
@@ -59,7 +59,7 @@ def similar_movies(
     vectors: DataFrame,
     k: int = 10,
     pool: int = CANDIDATE_POOL,
-    sizes: BlockSizes = BlockSizes(),
+    sizes: BlockSizes = DENSE_SIZES,
     search: Search | None = None,
 ) -> DataFrame:
     """Service recommendation for resolved sources.
@@ -84,7 +84,7 @@ def filtered_similar(
     movies: DataFrame,
     vectors: DataFrame,
     k: int = 10,
-    sizes: BlockSizes = BlockSizes(),
+    sizes: BlockSizes = DENSE_SIZES,
     search: Search | None = None,
 ) -> DataFrame:
     """Similar movies that also pass the request's filters, top_k per request.
@@ -99,13 +99,13 @@ def filtered_similar(
     asked = requests.select(
         F.col("query_id").cast("bigint"), "intent", (F.col("top_k") if own else F.lit(k)).alias("_top_k")
     )
-    sources = requests.join(never_broadcast(vectors.withColumnRenamed("id", "source_id")), "source_id").select(
-        "query_id", "source_id", "vector"
-    )
-    near = _searched(sources, movies, vectors, candidate_pool(most), sizes, search)
+    known = vectors.withColumnRenamed("id", "source_id")
+    pool = candidate_pool(most)
+    sources = rows_of(requests, known, "source_id", is_few(requests)).select("query_id", "source_id", "vector")
+    near = _searched(sources, movies, vectors, pool, sizes, search)
     pooled = near.join(asked, "query_id").filter(F.col("retrieval_rank") <= pool_target(F.col("_top_k")))
-    scored = pooled.drop("vote_count").join(never_broadcast(movies), "id")
-    found = rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, candidate_pool(most), rounded=True).withColumns(
+    scored = rows_of(pooled.drop("vote_count"), movies, "id", is_few(requests, FEW // pool))
+    found = rerank(scored, linear_norms(movies), SERVICE_WEIGHTS, pool, rounded=True).withColumns(
         {"reason": F.lit(SIMILARITY_REASON), "score_type": F.lit("similarity")}
     )
     movie = {n: F.col(c) for n, c in _SUMMARY.items()}
@@ -183,7 +183,7 @@ def answer(
     requests: DataFrame,
     movies: DataFrame,
     vectors: DataFrame,
-    sizes: BlockSizes = BlockSizes(),
+    sizes: BlockSizes | None = None,
     search: Search | None = None,
 ) -> DataFrame:
     """Answer a table of messages (query_id, message, top_k).
@@ -207,7 +207,7 @@ def answer(
     wanted = asked.select("query_id", "top_k")
 
     discovery = base.filter(F.col("mode") == "discovery")
-    listed = cut_lineage(_results(discover(discovery, movies, TOP_K[1], sizes), wanted, "score"))
+    listed = cut_lineage(_results(discover(discovery, movies, TOP_K[1], sizes or BlockSizes()), wanted, "score"))
     discovered = discovery.join(listed, "query_id", "left").select(
         "query_id", "mode",
         F.when(F.col("recommendations").isNotNull(), "recommendations").otherwise("not_found").alias("status"),
@@ -228,7 +228,7 @@ def answer(
     sources = resolved.filter(F.col("status") == "resolved").select("query_id", "source_id")
     found = _results(
         filtered_similar(
-            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes, search=search
+            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes or DENSE_SIZES, search=search
         ),
         wanted,
         "hybrid_score",

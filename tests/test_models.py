@@ -87,3 +87,20 @@ def test_evaluation_invariants(spark):
         found.sort()
         assert [rank for rank, _ in found] == list(range(1, len(found) + 1))
         assert all(a[1] >= b[1] - 1e-9 for a, b in zip(found, found[1:]))
+
+
+def test_words_counted_within_rows_equal_those_counted_by_document(spark):
+    rows = [(i, t.split()) for i, t in enumerate(["b a b c", "b", "c c c", "a b"])]
+    prepared = spark.createDataFrame([*rows, (9, []), (10, None)], "id bigint, tokens array<string>")
+    frequency = tm.row_frequency(prepared)
+    assert "hashpartitioning(term" in frequency._jdf.queryExecution().executedPlan().toString().replace("term#", "term")[:100000]
+    expected = tm.document_frequency(tm.term_counts(prepared))
+    assert sorted(map(tuple, frequency.collect())) == sorted(map(tuple, expected.collect()))
+    for least in (1, 2, 3):
+        assert tm.chosen_words(prepared, 2, least, one_row=True) == tm.chosen_words(prepared, 2, least)
+
+
+def test_modelling_base_of_unique_rows_is_not_shuffled(spark, documents):
+    base = ft.modelling_base(documents, one_row=True)
+    assert "Exchange" not in base._jdf.queryExecution().executedPlan().toString()
+    assert sorted(base.collect()) == sorted(ft.modelling_base(documents).collect())

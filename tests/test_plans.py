@@ -4,10 +4,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from marquee.functions.columns import is_few, rows_of
 from marquee.operators import evaluation as ev, postings, retrieval
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.cells import CellIndex
-from marquee.plans import testbed
+from marquee.plans import served, storage, testbed
+from marquee.plans.sources import final_movies
 
 
 def _optimized(df) -> str:
@@ -65,3 +67,44 @@ def test_sales_bring_a_part_together_before_sets_are_collected(spark):
     assert "REPARTITION_BY_COL" in plan.split("partial_collect_set")[-1]
     got = sales.collect()
     assert len(got) == 300 and all(r.n == 2 and sorted(r.flag_set) == ["1", "2"] and r.quantity == 2.0 for r in got)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_served_movies_write_each_text_once(spark):
+    shown = served.movies(spark, SF)
+    written = spark.read.parquet(storage._WRITTEN[(spark.sparkContext.applicationId, SF, "movies")])
+    assert not [c for c in written.columns if c.startswith("movie_document")]
+    assert shown.columns == served.SERVED_COLUMNS
+    documents = ["id", "movie_document_basic", "movie_document_rich", "movie_document_weighted", "overview_clean", "top_cast_text"]
+    expected = final_movies(spark, SF).select(*documents)
+    assert sorted(map(tuple, shown.select(*documents).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_suppliers_of_a_part_are_sent_once(spark):
+    lineitem = spark.createDataFrame([(p, s % 12) for p in range(3) for s in range(24)], "l_partkey bigint, l_suppkey bigint")
+    supplier = spark.createDataFrame([(s, f"s{s:02}", 0) for s in range(12)], "s_suppkey bigint, s_name string, s_nationkey int")
+    cast = testbed._cast_lists(lineitem, F.broadcast(supplier))
+    assert cast._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.top_cast for r in cast.collect()} == {" | ".join(f"s{s:02}" for s in range(10))}
+
+
+def test_few_keys_are_sent_to_the_table_and_many_are_merged(spark):
+    keys, rows = spark.range(3), spark.range(9).withColumn("v", F.col("id") * 2)
+    assert is_few(keys, 3) and not is_few(keys, 2)
+    few, many = rows_of(keys, rows, "id", True), rows_of(keys, rows, "id", False)
+    assert "BuildLeft" in few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect()) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_dense_search_cuts_queries_and_items_into_few_blocks(spark):
+    items = _vectors(spark, 9000).select("id", "vector")
+    asked = items.select(F.col("id").alias("query_id"), F.col("id").alias("source_id"), "vector").limit(5)
+    found = retrieval.nearest_dense(asked, items, 2)
+    assert "/ 16384" in _optimized(found) and "/ 8192" in _optimized(found)
+    kernels = [retrieval._dense_kernel(2, 1.0, cells) for cells in (1, 1 << 20)]
+    sides = asked.toPandas(), items.limit(50).withColumns({"vote_count": F.lit(0.0), "own": F.lit(0.0)}).toPandas()
+    one, all_ = (kernel(*sides) for kernel in kernels)
+    assert one.round(9).equals(all_.round(9)) and len(one) == 10
