@@ -96,7 +96,7 @@ def _rare_first(texts: DataFrame, frequency: DataFrame, name: str) -> DataFrame:
     single = texts.select(name, F.explode("tokens").alias("token")).join(frequency, "token", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
     listed = single.groupBy(name).agg(F.transform(order, lambda x: x["token"]).alias("tokens"))
-    return texts.drop("tokens").join(listed, name)
+    return texts.drop("tokens").join(never_broadcast(listed), name)
 
 
 def similar_pairs(wanted: DataFrame, texts: DataFrame, percent: int, name: str = "wanted", key: str = "key") -> DataFrame:

@@ -107,7 +107,7 @@ def fuzzy_titles(queries: DataFrame, movies: DataFrame, limit: int = FUZZY_LIMIT
     pairs = similar_pairs(asked.select("wanted").distinct(), few.select("key").distinct(), round(100 * FUZZY_RATIO))
     rated = pairs.withColumn("ratio", sequence_ratio(F.col("wanted"), F.col("key"))).filter(F.col("ratio") >= FUZZY_RATIO)
     order = [F.desc("ratio"), F.desc_nulls_last("vote_count"), F.desc_nulls_last("vote_average"), F.asc("id")]
-    best = top_per_key(rated.join(few, "key"), ["wanted"], order, limit, "rank")
+    best = top_per_key(rated.join(never_broadcast(few), "key"), ["wanted"], order, limit, "rank")
     return asked.join(best, "wanted").select("query_id", "id", "ratio", "vote_count", "vote_average", "rank")
 
 
@@ -133,7 +133,7 @@ def resolve_with_status(queries: DataFrame, movies: DataFrame, postings: DataFra
     per_title = movies.groupBy(normalise_title("title").alias("wanted")).agg(
         F.count("*").alias("equal"), F.min("id").alias("equal_id")
     )
-    exact = asked.join(per_title, "wanted", "left").withColumn("unique", F.coalesce(F.col("equal") == 1, F.lit(False)))
+    exact = asked.join(never_broadcast(per_title), "wanted", "left").withColumn("unique", F.coalesce(F.col("equal") == 1, F.lit(False)))
     open_queries = exact.filter(~F.col("unique")).select("query_id", "query")
     contained = _listed(search_titles(open_queries, movies, CONTAINS_LIMIT, postings), "contained")
     similar = fuzzy_titles(open_queries.join(contained, "query_id", "left_anti"), movies, FUZZY_LIMIT)

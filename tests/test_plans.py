@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import is_few, rows_of
-from marquee.operators import evaluation as ev, postings, retrieval
+from marquee.operators import evaluation as ev, postings, retrieval, titles
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.cells import CellIndex
 from marquee.plans import served, storage, testbed
@@ -108,3 +108,15 @@ def test_dense_search_cuts_queries_and_items_into_few_blocks(spark):
     sides = asked.toPandas(), items.limit(50).withColumns({"vote_count": F.lit(0.0), "own": F.lit(0.0)}).toPandas()
     one, all_ = (kernel(*sides) for kernel in kernels)
     assert one.round(9).equals(all_.round(9)) and len(one) == 10
+
+
+def test_titles_that_grow_are_not_broadcast(spark):
+    columns = "id bigint, title string, vote_count double, vote_average double"
+    movies = spark.createDataFrame([(1, "Alpha Centauri", 3.0, 4.0), (2, "Beta Pictoris", 2.0, 4.0)], columns)
+    queries = spark.createDataFrame([(1, "alpha centauri"), (2, "beta pictoriss")], "query_id bigint, query string")
+    found = titles.fuzzy_titles(queries, movies)
+    assert _optimized(found).count("strategy=merge") >= 4
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(1, 1), (2, 2)]
+    resolved = titles.resolve_with_status(queries, movies)
+    assert "strategy=merge" in _optimized(resolved.select("query_id", "status", "source_id")).split("LeftOuter", 1)[1]
+    assert sorted((r.query_id, r.source_id) for r in resolved.collect()) == [(1, 1), (2, 2)]
