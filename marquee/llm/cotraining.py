@@ -14,7 +14,7 @@ A document is good if its label says quality 1 and toxic 0.
 
 Fitting reads ``LABELLED`` labelled rows, give or take chance: a sample by hash of the id, so it
 does not depend on order or partitions. A fifth of them is held out for calibration. In each
-round both views score every unlabelled document. Of all that a view is confident about, the other
+round both views score every document. Of all unlabelled ones that a view is confident about, the other
 one trains on ``PSEUDO`` at most, give or take chance: a sample by hash of each class, half of
 them of either class or all of a rarer one, with weights that restore the shares of the classes.
 Scoring reads every document.
@@ -86,9 +86,11 @@ def with_features(documents: DataFrame, key: str, text: str, source: str, lang:
     )
 
     def tokens(w: Column) -> Column:
-        lower = F.array_distinct(F.transform(w, F.lower))
-        starts = [F.transform(lower, lambda x, k=k: F.concat(F.lit(f"{k}^"), F.substring(x, 1, k))) for k in (4, 6)]
-        return F.struct(F.concat(lower, *starts).alias("tokens"), *(m.alias(f"m{i}") for i, m in enumerate(_measures(w, F.col("text")))))
+        def begun(lower: Column) -> Column:
+            return F.concat(lower, *(F.transform(lower, lambda x, k=k: F.concat(F.lit(f"{k}^"), F.substring(x, 1, k))) for k in (4, 6)))
+
+        told = let(F.array_distinct(F.transform(w, F.lower)), begun)
+        return F.struct(told.alias("tokens"), *(m.alias(f"m{i}") for i, m in enumerate(_measures(w, F.col("text")))))
 
     size = F.floor(F.log2(F.coalesce("length", F.lit(0.0)) + 1))
     meta = F.array(
@@ -184,18 +186,27 @@ def _narrow(rows: DataFrame, weights: dict[int, float]) -> DataFrame:
     return _weighed(rows, "text_view", weights).withColumn("text_view", F.col("__x")).drop("__x")
 
 
-def _pseudo_labelled(judged: DataFrame, odds: str, bound: int) -> DataFrame:
-    """About ``bound`` of all rows whose ``odds`` are confident, each class drawn apart and weighed back."""
+def _unmarked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` without a label; joined by merge, as the table of marked ids grows with the labels."""
+    return rows.join(marks.hint("merge"), "id", "left_anti")
+
+
+def _pseudo_labelled(judged: DataFrame, odds: str, bound: int, marks: DataFrame) -> DataFrame:
+    """About ``bound`` of all unlabelled rows whose ``odds`` are confident, each class drawn apart and weighed back.
+
+    ``marks``: ids with a label. Ids alone are sent to leave them out of the count, and the drawn rows only with their views.
+    """
     edge = log(CONFIDENT / (1 - CONFIDENT))
     sure = judged.filter(F.abs(odds) >= edge).withColumn("label", (F.col(odds) > 0).cast("double"))
-    total = {r["label"]: r["n"] for r in sure.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most two rows
+    counted = _unmarked(sure.select("id", "label"), marks).groupBy("label").agg(F.count("*").alias("n"))
+    total = {r["label"]: r["n"] for r in counted.collect()}  # at most two rows
     shares = label_shares(total, bound)
     drawn = sum(n * shares[label] / PARTS for label, n in total.items())
     scale = {label: PSEUDO_WEIGHT * PARTS / shares[label] * drawn / sum(total.values()) for label in total}
     pick = lambda of, default: F.when(F.col("label") == 1, F.lit(of.get(1.0, default))).otherwise(F.lit(of.get(0.0, default)))
     # chosen by the whole row: rows with equal or NULL ids are drawn one by one
     chosen = sure.filter(F.pmod(F.xxhash64(F.lit(3), "id", "text_view", "meta_view"), F.lit(PARTS)) < pick(shares, 0))
-    return chosen.select("id", "text_view", "meta_view", "label", pick(scale, PSEUDO_WEIGHT).alias("weight"))
+    return _unmarked(chosen.select("id", "text_view", "meta_view", "label", pick(scale, PSEUDO_WEIGHT).alias("weight")), marks)
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -221,24 +232,36 @@ class Classifier:
         return both.select("id", F.col("text_view_odds").alias("text_odds"), F.col("meta_view_odds").alias("meta_odds"), odds.alias("odds"))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", quality: str = "quality", toxic: str = "toxic", labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> Classifier:
-    """Co-train on the labelled documents and all others."""
+def fitted(documents: DataFrame, labels: DataFrame, *names: str, **fit) -> Classifier:
+    """Co-train on the labelled documents and all others; arguments as of ``cotrained``. It scores rows of ``with_features``."""
+    classifier, _, word_weights = cotrained(documents, labels, *names, **fit)
+    if classifier.text is not None:
+        classifier.text.weights = word_weights
+    return classifier
+
+
+def cotrained(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", quality: str = "quality", toxic: str = "toxic", labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> tuple[Classifier, DataFrame, dict[int, float] | None]:
+    """The classifier, all documents with the chosen and weighed inputs that it scores, and the weights of these."""
     good = (F.coalesce(F.col(quality), F.lit(0)) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0)
     marked = labels.select(F.col(key).alias("id"), good.cast("double").alias("label")).filter("id IS NOT NULL")
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most two rows
     chosen = documents.select(F.col(key).alias("id"), key, text, source, lang, length) if key != "id" else documents.select(key, text, source, lang, length)
     names = _sample(marked, labelled, 1)
-    known = with_features(chosen.join(names.select("id").distinct(), "id", "left_semi"), key, text, source, lang, length).join(names, "id")
+    # the sample is bounded, so its ids go to the documents: no text of another one is sent
+    sampled = chosen.join(F.broadcast(names.select("id").distinct()), "id", "left_semi")
+    known = with_features(sampled, key, text, source, lang, length).join(names, "id")
     known = _bounded(known.withColumns({"weight": F.lit(1.0), "held": F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(5)) == 0}))
     seen = {(r["held"], r["label"]) for r in known.groupBy("held", "label").count().collect()}  # at most four rows
     if len(seen) < 4:
         share = (counts.get(1.0, 0) + 1e-9) / (sum(counts.values()) + 2e-9)
-        return Classifier(None, None, (max(-20.0, min(20.0, log(share / (1 - share)))), 0.0, 0.0))
+        constant = Classifier(None, None, (max(-20.0, min(20.0, log(share / (1 - share)))), 0.0, 0.0))
+        return constant, chosen.select("id"), None
     train, held = known.filter("NOT held").select("id", "text_view", "meta_view", "label", "weight"), known.filter("held")
     word_weights = _word_weights(train)
-    # the chosen words only from here on: that makes a table of all unlabelled documents small
-    others = with_features(chosen.join(marked.select("id").distinct(), "id", "left_anti"), key, text, source, lang, length)
-    unlabelled = written(_narrow(others, word_weights))
+    # the chosen words only from here on: that makes a table of all documents small, which the rounds and the result read;
+    # labels are looked up by id in what the rounds judge, so no text is sent
+    rows_of_all = written(_narrow(with_features(chosen, key, text, source, lang, length), word_weights))
+    marks = written(marked.select("id").distinct())
     train, held = _bounded(_narrow(train, word_weights)), _bounded(_narrow(held, word_weights))
     extra: dict[str, DataFrame | None] = {"text_view": None, "meta_view": None}
     for round_ in range(rounds + 1):
@@ -248,22 +271,22 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             views[column] = _calibrated(View(column, _fit(rows, column, None, 0.01)), held)
         if round_ == rounds:
             break
-        judged = views["meta_view"].scored(views["text_view"].scored(unlabelled))
+        judged = views["meta_view"].scored(views["text_view"].scored(rows_of_all))
         for teacher, learner in (("text_view", "meta_view"), ("meta_view", "text_view")):
-            extra[learner] = _pseudo_labelled(judged, f"{teacher}_odds", pseudo)
+            extra[learner] = _pseudo_labelled(judged, f"{teacher}_odds", pseudo, marks)
     both = views["meta_view"].scored(views["text_view"].scored(held))
     margins = np.array(both.select("text_view_odds", "meta_view_odds", "label").collect(), float)
     weights = _regression(margins, 2)
     good_odds = (weights[0] + margins[:, :2] @ np.array(weights[1:]))[margins[:, 2] == 1]
-    views["text_view"].weights = word_weights
-    return Classifier(views["text_view"], views["meta_view"], tuple(weights), min(0.0, float(np.quantile(good_odds, 1 - keep_good))))
+    kept_from = min(0.0, float(np.quantile(good_odds, 1 - keep_good)))
+    return Classifier(views["text_view"], views["meta_view"], tuple(weights), kept_from), rows_of_all, word_weights
 
 
 def scored(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", length: str = "n_chars", **fit) -> DataFrame:
     """Per row: ``id``, the views' calibrated probabilities, ``score`` (probability of good) and ``kept``."""
-    classifier = fitted(documents, labels, key, text, source, lang, length, **fit)
+    classifier, rows, _ = cotrained(documents, labels, key, text, source, lang, length, **fit)
     probability = lambda c: 1 / (1 + F.exp(-F.col(c)))
-    out = classifier.scored(with_features(documents, key, text, source, lang, length))
+    out = classifier.scored(rows)
     return out.select(
         "id", probability("text_odds").alias("text_score"), probability("meta_odds").alias("meta_score"), probability("odds").alias("score"),
         (F.col("odds") >= classifier.kept_from).alias("kept"),

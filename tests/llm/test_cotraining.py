@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from marquee.llm import cotraining
+from marquee.llm.shared import setting
 
 
 def corpus(n=700, seed=1):
@@ -86,3 +87,24 @@ def test_every_unlabelled_document_can_teach(spark, monkeypatch):
     cotraining.fitted(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, LABELS), rounds=1, pseudo=40)
     junk = {i for i, label in taught[-1].items() if label == 0 and i < 1012}
     assert len(junk) >= 10 and 15 < len(taught[-1]) < 70, taught[-1]
+
+
+def test_texts_are_read_once_and_never_sent(spark, monkeypatch):
+    rows, labels = corpus(300, 6)
+    made, tables, features, written = [], [], cotraining.with_features, cotraining.written
+    monkeypatch.setattr(cotraining, "with_features", lambda df, *names: made.append(df) or features(df, *names))
+
+    def planned(df, *by):
+        tables.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, *by)
+
+    monkeypatch.setattr(cotraining, "written", planned)
+    monkeypatch.setattr(cotraining, "CONFIDENT", 0.6)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = cotraining.scored(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, LABELS), pseudo=40)
+        assert out.count() == len(rows)
+    # the labelled sample, then all documents for the rounds and the result together
+    assert len(made) == 2
+    whole = [plan for columns, plan in tables if columns == ["id", "text_view", "meta_view"]]
+    assert whole and not any("Exchange" in plan for plan in whole), whole
+    assert not any("SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString() for df in made)
