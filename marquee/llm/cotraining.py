@@ -78,16 +78,24 @@ def _measures(w: Column, text: Column) -> list[Column]:
     ]
 
 
-def with_features(documents: DataFrame, key: str, text: str, source: str, lang: str, length: str) -> DataFrame:
-    """``id``, ``text_view`` and ``meta_view``: hashed, sparse, and bounded in size."""
+def with_features(documents: DataFrame, key: str, text: str, source: str, lang: str, length: str, weights: dict[int, float] | None = None) -> DataFrame:
+    """``id``, ``text_view`` and ``meta_view``: hashed, sparse, and bounded in size.
+
+    With ``weights`` (all measures and some words) the text view is what ``_narrow`` makes of it; other words are left out before
+    it is put together.
+    """
     rows = documents.select(
         F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(source).cast("string").alias("source"),
         F.col(lang).cast("string").alias("lang"), F.col(length).cast("double").alias("length"),
     )
 
     def tokens(w: Column) -> Column:
+        def starts(lower: Column, k: int) -> Column:
+            # one parameter: Spark would pass a second one the place in the array
+            return F.transform(lower, lambda x: F.concat(F.lit(f"{k}^"), F.substring(x, 1, k)))
+
         def begun(lower: Column) -> Column:
-            return F.concat(lower, *(F.transform(lower, lambda x, k=k: F.concat(F.lit(f"{k}^"), F.substring(x, 1, k))) for k in (4, 6)))
+            return F.concat(lower, starts(lower, 4), starts(lower, 6))
 
         told = let(F.array_distinct(F.transform(w, F.lower)), begun)
         return F.struct(told.alias("tokens"), *(m.alias(f"m{i}") for i, m in enumerate(_measures(w, F.col("text")))))
@@ -101,8 +109,16 @@ def with_features(documents: DataFrame, key: str, text: str, source: str, lang:
     rows = HashingTF(numFeatures=TEXT_SIZE, binary=True, inputCol="tokens", outputCol="words").transform(rows)
     rows = HashingTF(numFeatures=META_SIZE, binary=True, inputCol="meta", outputCol="meta_view").transform(rows)
     measures = [c for c in rows.columns if c[0] == "m" and c[1:].isdigit()]
-    rows = VectorAssembler(inputCols=[*measures, "words"], outputCol="text_view", handleInvalid="keep").transform(rows)
-    return rows.select("id", "text_view", "meta_view")
+    if weights is None:
+        rows = VectorAssembler(inputCols=[*measures, "words"], outputCol="text_view", handleInvalid="keep").transform(rows)
+        return rows.select("id", "text_view", "meta_view")
+    parts, words = list(measures), [i - MEASURES for i in weights if i >= MEASURES]
+    if words:
+        rows = VectorSlicer(inputCol="words", outputCol="some", indices=words).transform(rows)
+        parts.append("some")
+    rows = VectorAssembler(inputCols=parts, outputCol="told", handleInvalid="keep").transform(rows)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(list(weights.values())), inputCol="told", outputCol="text_view")
+    return scaled.transform(rows).select("id", "text_view", "meta_view")
 
 
 @dataclass
@@ -260,7 +276,7 @@ def cotrained(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text
     word_weights = _word_weights(train)
     # the chosen words only from here on: that makes a table of all documents small, which the rounds and the result read;
     # labels are looked up by id in what the rounds judge, so no text is sent
-    rows_of_all = written(_narrow(with_features(chosen, key, text, source, lang, length), word_weights))
+    rows_of_all = written(with_features(chosen, key, text, source, lang, length, word_weights))
     marks = written(marked.select("id").distinct())
     train, held = _bounded(_narrow(train, word_weights)), _bounded(_narrow(held, word_weights))
     extra: dict[str, DataFrame | None] = {"text_view": None, "meta_view": None}

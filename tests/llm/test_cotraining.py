@@ -92,7 +92,7 @@ def test_every_unlabelled_document_can_teach(spark, monkeypatch):
 def test_texts_are_read_once_and_never_sent(spark, monkeypatch):
     rows, labels = corpus(300, 6)
     made, tables, features, written = [], [], cotraining.with_features, cotraining.written
-    monkeypatch.setattr(cotraining, "with_features", lambda df, *names: made.append(df) or features(df, *names))
+    monkeypatch.setattr(cotraining, "with_features", lambda df, *args: made.append(df) or features(df, *args))
 
     def planned(df, *by):
         tables.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
@@ -108,3 +108,28 @@ def test_texts_are_read_once_and_never_sent(spark, monkeypatch):
     whole = [plan for columns, plan in tables if columns == ["id", "text_view", "meta_view"]]
     assert whole and not any("Exchange" in plan for plan in whole), whole
     assert not any("SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
+def test_features_are_the_same_each_time(spark):
+    """Words and their beginnings are hashed alike for training and scoring; chosen words are those of the whole view."""
+    rows, _ = corpus(60, 7)
+    docs = spark.createDataFrame([*rows, (None, None, None, None, None)], DOCUMENTS)
+    names = ("doc_id", "text", "source", "lang", "n_chars")
+    whole = cotraining.with_features(docs, *names)
+    views = lambda df: {(r.id, str(r.text_view.toArray().nonzero()), str(r.text_view), str(r.meta_view)) for r in df.collect()}
+    assert views(whole) == views(cotraining.with_features(docs, *names))
+    held = sorted({int(i) for r in whole.limit(20).collect() for i in r.text_view.indices if i >= cotraining.MEASURES})
+    measures = {i: 2.0 for i in range(cotraining.MEASURES)}
+    for weights in (measures, measures | {i: 0.1 * n + 0.5 for n, i in enumerate(held[::3])}):
+        expected = cotraining._narrow(whole, weights).select("id", "text_view", "meta_view")
+        found = cotraining.with_features(docs, *names, weights)
+        one, other = ({(r.id, str(r.text_view.toArray().tolist()), str(r.meta_view)) for r in df.collect()} for df in (expected, found))
+        assert one == other and len(one) == len(rows) + 1
+
+
+def test_beginnings_of_words(spark):
+    words = ["abcdefgh", "abcdxx", "abcdxy", "abcdef"]
+    docs = spark.createDataFrame([(i, w, "en", "press", 1) for i, w in enumerate(words)], DOCUMENTS)
+    view = {r.id: set(map(int, r.text_view.indices)) for r in cotraining.with_features(docs, "doc_id", "text", "source", "lang", "n_chars").collect()}
+    shared = lambda a, b: len({i for i in view[a] & view[b] if i >= cotraining.MEASURES})
+    assert shared(1, 2) == 1 and shared(0, 3) == 2
