@@ -17,8 +17,15 @@ _SCHEMA = (
     "score_key double, similarity_key double, vote_count double"
 )
 _COLUMNS = [field.split()[0] for field in _SCHEMA.split(", ")]
-#: Dense vectors are short rows: larger blocks send fewer copies of them, and fewer finds of each query.
-DENSE_SIZES = BlockSizes(query_rows=8192, item_rows=16384)
+#: Dense vectors are short rows: larger blocks send fewer copies of them, and fewer finds of each query. A query sends k finds for
+#: each item block, which is more than its vector: item blocks are the larger ones.
+DENSE_SIZES = BlockSizes(query_rows=8192, item_rows=65536)
+#: Items whose best score stands for them all where a bound of the k-th score is sought.
+RUN = 64
+#: Keys are rounded scores: one that reaches a rounded score differs from it by less than this.
+_ROUNDING = 2 * 10.0**-DIGITS
+#: Every score but that of an item left out.
+_LEAST = np.finfo(float).min
 #: The columns of a search result, without its rank.
 RESULT = ["query_id", "id", "similarity_score", "vote_count"]
 ORDER = Order(["score_key", "similarity_key", "vote_count", "id"], [False, False, False, True])
@@ -33,24 +40,52 @@ def _best_of_block(
     partition and one sort serve the whole block.
     """
     ids, votes, own = (items[c].to_numpy() for c in ("id", "vote_count", "own"))
-    total = weight * scores + own
-    key = np.round(total, DIGITS)
-    key[ids[None, :] == queries["source_id"].to_numpy()[:, None]] = -np.inf
-    floor = -np.inf
-    if key.shape[1] > k:
-        floor = np.partition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k][:, None]
-    row, item = np.nonzero((key >= floor) & (key > -np.inf))
-    similar = np.round(scores[row, item], DIGITS)
-    order = np.lexsort((item, -similar, -key[row, item], row))
-    row, item, similar = row[order], item[order], similar[order]
-    best = np.arange(len(row)) - np.searchsorted(row, row) < k
-    row, item, similar = row[best], item[best], similar[best]
+    total = scores if weight == 1.0 and not own.any() else weight * scores + own
+    row, item = _same(queries["source_id"].to_numpy(), ids)
+    total = np.array(total) if total is scores and len(row) else total
+    total[row, item] = -np.inf
+    row, item = np.divmod(np.flatnonzero(total >= np.maximum(_floors(total, k), _LEAST)), max(1, len(ids)))
+    whole, similar = total[row, item], np.round(scores[row, item], DIGITS)
+    key = np.round(whole, DIGITS)
+    order = np.lexsort((item, -similar, -key, row))
+    order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    row, item = row[order], item[order]
     values = [
-        queries["query_id"].to_numpy()[row], ids[item], scores[row, item], total[row, item], key[row, item], similar, votes[item],
+        queries["query_id"].to_numpy()[row], ids[item], scores[row, item], whole[order], key[order], similar[order], votes[item],
     ]
     return [pd.DataFrame(dict(zip(_COLUMNS, values)))]
 
 
+def _same(sources: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (source, item) places of equal ids, which may come more than once; a missing id equals none."""
+    wanted = np.argsort(sources, kind="stable")
+    ordered = sources[wanted]
+    first = np.searchsorted(ordered, ids)
+    n = np.where(ids == ids, np.searchsorted(ordered, ids, "right") - first, 0)
+    item = np.repeat(np.arange(len(ids)), n)
+    return wanted[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(item))], item
+
+
+def _floors(total: np.ndarray, k: int) -> np.ndarray | float:
+    """A bound per row that no score falls below whose rounded value reaches the rounded k-th best one.
+
+    The k-th best of the best scores of runs is reached by k items at least, so it is a bound, found without
+    ordering every score of the row.
+    """
+    n = total.shape[1]
+    if n <= k:
+        return -np.inf
+    best = total
+    if n >= 2 * k * RUN:
+        width = n // RUN
+        runs = total[:, : width * RUN].reshape(len(total), RUN, width).max(axis=1)
+        best = np.hstack([runs, total[:, width * RUN :]])
+        if np.isnan(best).any():
+            best = total
+    at = best.shape[1] - k
+    return np.partition(best, at, axis=1)[:, at][:, None] - _ROUNDING
+
+
 def _in_tie_order(items: pd.DataFrame) -> pd.DataFrame:
     return items.sort_values(["vote_count", "id"], ascending=[False, True], kind="stable")
 
@@ -75,15 +110,15 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return scaled_rows(np.stack(vectors.to_numpy()).astype(float))
 
 
-def _dense_kernel(k: int, weight: float, cells: int = 1 << 20):
+def _dense_kernel(k: int, weight: float, cells: int = 1 << 22):
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         items = _in_tie_order(items)
-        table = _unit_rows(items["vector"])
+        table = np.ascontiguousarray(_unit_rows(items["vector"]).T)
         chunk = max(1, cells // len(items))
         parts: list[pd.DataFrame] = []
         for start in range(0, len(queries), chunk):
             block = queries.iloc[start : start + chunk]
-            scores = _unit_rows(block["vector"]) @ table.T
+            scores = _unit_rows(block["vector"]) @ table
             parts += _best_of_block(scores, block, items, k, weight)
         return _joined(parts)
 

@@ -3,6 +3,7 @@
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,33 @@ def test_hybrid_arithmetic(spark):
     norms = {c: F.col(c) for c in ("rating_norm", "vote_count_norm", "popularity_norm", "quality_norm")}
     for r in ranking.with_hybrid_score(df, norms, ranking.SERVICE_WEIGHTS).collect():
         assert abs(r["hybrid_score"] - r["expected"]) < 1e-12
+
+
+@pytest.mark.parametrize("weight, own", [(1.0, 0.0), (0.7, 0.1)])
+def test_a_block_gives_what_ordering_all_its_scores_gives(weight, own):
+    """Ties, repeated ids and the source itself, in a block that is long enough for bounds by runs."""
+    rng = np.random.default_rng(3)
+    table = rng.integers(-2, 3, (3000, 4)).astype(float)
+    items = pd.DataFrame({"id": rng.permutation(3000) // 2, "vote_count": rng.integers(0, 3, 3000).astype(float)})
+    items = items.assign(own=own * rng.integers(0, 2, 3000), vector=list(table))
+    queries = pd.DataFrame({"query_id": np.arange(7), "source_id": [0, 1, 2, 3, 1499, 5000, 6], "vector": list(table[:7])})
+    found = retrieval.ORDER.cut(retrieval._dense_kernel(5, weight)(queries, items), "query_id", 5)
+    unit = retrieval.scaled_rows(table)
+    for q, source in enumerate(queries["source_id"]):
+        cosine = unit @ unit[q]
+        key, similar = np.round(weight * cosine + items["own"], 6), np.round(cosine, 6)
+        order = np.lexsort((items["id"], -items["vote_count"], -similar, -key))
+        want = [i for i in order if items["id"][i] != source][:5]
+        got = found[found["query_id"] == q]
+        assert got["id"].tolist() == items["id"][want].tolist()
+        assert got["score_key"].tolist() == pytest.approx(key[want].tolist(), abs=1.1e-6)
+
+
+def test_a_query_of_dense_vectors_sends_its_finds_once_for_65536_items(spark):
+    from marquee.operators.blocks import _gridded
+
+    items = spark.range(20000).select("id", F.lit(0.0).alias("vote_count"), F.lit(0.0).alias("own"), F.array(F.rand(1), F.rand(2)).alias("vector"))
+    queries = items.filter("id < 3").select(F.col("id").alias("query_id"), F.col("id").alias("source_id"), "vector")
+    kernel = retrieval._dense_kernel(4, 1.0)
+    found = _gridded(queries, items, kernel, retrieval._SCHEMA, retrieval.ORDER, 4, "query_id", "id", [], retrieval.DENSE_SIZES)
+    assert found.count() == 3 * 4
