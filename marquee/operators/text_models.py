@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,12 @@ VALIDATION_VOCABULARY = (20000, 3.0)
 
 
 def with_tokens(df: DataFrame, document: str = "movie_document", name: str = "tokens") -> DataFrame:
-    """Token arrays; rows without a token are left out."""
-    return df.withColumn(name, tokens(document)).filter(F.size(name) > 0)
+    """Token arrays; rows without a token are left out.
+
+    The arrays are made by a one-row generator, so that the filter stays above it; pushed below, it would split every text twice.
+    """
+    made = F.explode(F.array(tokens(document))).alias(name)
+    return df.select(*(c for c in df.columns if c != name), made).filter(F.size(name) > 0)
 
 
 # -- the same features as relations -------------------------------------------------------------------
@@ -55,13 +59,11 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def row_frequency(df: DataFrame, name: str = "tokens") -> DataFrame:
     """The same from token arrays of documents of one row each: a task sends a term once, however many documents hold it."""
-
-    def marked(ordered: Column) -> Column:
-        # Equal terms lie together; the first one of them counts the document.
-        return F.transform(ordered, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(ordered, i - 1) != x)).alias("first")))
-
-    terms = df.select(F.explode(F.transform(F.array(F.array_sort(name)), marked)[0]).alias("t")).select("t.term", "t.first")
-    return terms.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("total"))
+    # Each document is counted by its distinct terms, and its occurrences by all of them.
+    once = F.struct(F.array_distinct(name).alias("terms"), F.lit(True).alias("once"))
+    every = F.struct(F.col(name).alias("terms"), F.lit(False).alias("once"))
+    terms = df.select(F.inline(F.array(once, every))).select("once", F.explode("terms").alias("term"))
+    return terms.groupBy("term").agg(F.count_if("once").alias("df"), F.count_if(~F.col("once")).alias("total"))
 
 
 def most_frequent(frequency: DataFrame, size: int, min_df: float) -> DataFrame:
@@ -124,12 +126,28 @@ def text_pipeline(
 
 
 def text_features(
-    df: DataFrame, size: int, min_df: float, document: str = "movie_document", one_row: bool = False
+    df: DataFrame,
+    size: int,
+    min_df: float,
+    document: str = "movie_document",
+    one_row: bool = False,
+    path: str | None = None,
+    keep: Sequence[str] = ("id",),
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit the count and TF-IDF stages and add ``counts`` and ``tfidf`` vectors; ``one_row`` as in ``chosen_words``."""
+    """Fit the count and TF-IDF stages and add ``counts`` and ``tfidf`` vectors; ``one_row`` as in ``chosen_words``.
+
+    Given a ``path``, the columns ``keep`` and the counts are written there first and all that follows reads them, so
+    that texts are split once for the vocabulary and once for the vectors, and not again for each reader.
+    """
     words = chosen_words(with_tokens(df, document), size, min_df, one_row=one_row)
-    model = text_pipeline(size, min_df, True, document, words).fit(df)
-    return model, model.transform(df)
+    if path is None:
+        model = text_pipeline(size, min_df, True, document, words).fit(df)
+        return model, model.transform(df)
+    counting = text_pipeline(size, min_df, False, document, words).fit(df)
+    counting.transform(df).select(*keep, "counts").write.mode("overwrite").parquet(path)
+    counted = df.sparkSession.read.parquet(path)
+    weighing = IDF(inputCol="counts", outputCol="tfidf").fit(counted)
+    return PipelineModel([*counting.stages, weighing]), weighing.transform(counted)
 
 
 def fit_word2vec(

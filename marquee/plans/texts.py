@@ -12,7 +12,7 @@ from marquee.operators import retrieval, text_models as tm
 from marquee.operators.features import modelling_base
 from marquee.plans.registry import query
 from marquee.plans.served import TITLE_QUERIES_SQL, movies, title_queries
-from marquee.plans.storage import stored, stored_folder
+from marquee.plans.storage import scratch_folder, stored, stored_folder
 from marquee.plans.testbed import prepared_sql, table
 from marquee.session import cut_lineage
 from marquee.sources.sinks import load_model, save_model
@@ -140,7 +140,8 @@ def sparse_features(spark, sf, vector):
     """id, indices and values of the count or TF-IDF vectors of all movies."""
 
     def build():
-        _, features = tm.text_features(base(spark, sf), *tm.COMPARISON_VOCABULARY, one_row=True)
+        path = f"{scratch_folder(spark)}/counts"
+        _, features = tm.text_features(base(spark, sf), *tm.COMPARISON_VOCABULARY, one_row=True, path=path, keep=["id", "vote_count"])
         return features.select("id", "vote_count", *(F.unwrap_udt(c).alias(c) for c in ("counts", "tfidf")))
 
     both = stored(spark, sf, "features", build)
@@ -291,17 +292,20 @@ def g23(spark, sf):
 
 
 def clusters(spark, sf):
-    """The text model, the fitted clusters and the clustered TF-IDF vectors: fitted once, saved and read back."""
+    """The text model, the fitted clusters and the clustered TF-IDF vectors: fitted once, saved and read back.
+
+    The counts are written; they are weighed when they are read.
+    """
 
     def build(path):
-        fitted, features = tm.text_features(base(spark, sf), *tm.TFIDF_VOCABULARY, one_row=True)
-        features.select("id", "tfidf").write.parquet(f"{path}/features")
+        fitted, features = tm.text_features(base(spark, sf), *tm.TFIDF_VOCABULARY, one_row=True, path=f"{path}/counts")
         save_model(fitted, f"{path}/text")
-        save_model(tm.fit_clusters(spark.read.parquet(f"{path}/features")), f"{path}/clusters")
+        save_model(tm.fit_clusters(features.select("id", "tfidf")), f"{path}/clusters")
 
     path = stored_folder(spark, sf, "clusters", build)
-    model = load_model(KMeansModel, f"{path}/clusters")
-    return load_model(PipelineModel, f"{path}/text"), model, model.transform(spark.read.parquet(f"{path}/features"))
+    fitted, model = load_model(PipelineModel, f"{path}/text"), load_model(KMeansModel, f"{path}/clusters")
+    weighed = fitted.stages[-1].transform(spark.read.parquet(f"{path}/counts")).select("id", "tfidf")
+    return fitted, model, model.transform(weighed)
 
 
 @query("m17_document_clusters")

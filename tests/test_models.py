@@ -104,3 +104,31 @@ def test_modelling_base_of_unique_rows_is_not_shuffled(spark, documents):
     base = ft.modelling_base(documents, one_row=True)
     assert "Exchange" not in base._jdf.queryExecution().executedPlan().toString()
     assert sorted(base.collect()) == sorted(ft.modelling_base(documents).collect())
+
+
+def _texts(spark):
+    rows = [(1, "red cat red dog"), (2, "blue cat"), (3, "the"), (4, ""), (5, None), (6, "dog dog dog cat")]
+    return spark.createDataFrame(rows, "id long, movie_document string")
+
+
+def test_a_text_is_split_once_where_rows_without_tokens_are_left_out(spark):
+    kept = tm.with_tokens(_texts(spark))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert kept.columns == ["id", "movie_document", "tokens"]
+    assert sorted((r.id, *r.tokens) for r in kept.collect()) == [(1, "red", "cat", "red", "dog"), (2, "blue", "cat"), (6, "dog", "dog", "dog", "cat")]
+
+
+def test_terms_are_counted_within_rows_as_they_are_over_pairs(spark):
+    kept = tm.with_tokens(_texts(spark))
+    want = sorted(map(tuple, tm.document_frequency(tm.term_counts(kept)).collect()))
+    assert sorted(map(tuple, tm.row_frequency(kept).collect())) == want == [("blue", 1, 1), ("cat", 3, 3), ("dog", 2, 4), ("red", 1, 2)]
+
+
+def test_written_counts_are_weighed_without_reading_texts_again(spark, tmp_path):
+    texts = _texts(spark).filter("movie_document IS NOT NULL")
+    plain, straight = tm.text_features(texts, 100, 1.0, one_row=True)
+    model, written = tm.text_features(texts, 100, 1.0, one_row=True, path=f"{tmp_path}/counts")
+    assert "movie_document" not in written._jdf.queryExecution().analyzed().toString()
+    assert [type(s) for s in model.stages] == [type(s) for s in plain.stages]
+    rows = [sorted((r.id, str(r.counts), str(r.tfidf)) for r in df.collect()) for df in (straight, written, model.transform(texts))]
+    assert rows[0] == rows[1] == rows[2]
