@@ -18,7 +18,7 @@ from marquee.operators.ranking import (
     linear_norms,
     rerank,
 )
-from marquee.operators.retrieval import DENSE_SIZES, nearest_dense
+from marquee.operators.retrieval import POOL_SIZES, nearest_dense
 from marquee.operators.titles import resolve_with_status
 from marquee.session import cut_lineage
 
@@ -59,7 +59,7 @@ def similar_movies(
     vectors: DataFrame,
     k: int = 10,
     pool: int = CANDIDATE_POOL,
-    sizes: BlockSizes = DENSE_SIZES,
+    sizes: BlockSizes = POOL_SIZES,
     search: Search | None = None,
 ) -> DataFrame:
     """Service recommendation for resolved sources.
@@ -84,7 +84,7 @@ def filtered_similar(
     movies: DataFrame,
     vectors: DataFrame,
     k: int = 10,
-    sizes: BlockSizes = DENSE_SIZES,
+    sizes: BlockSizes = POOL_SIZES,
     search: Search | None = None,
 ) -> DataFrame:
     """Similar movies that also pass the request's filters, top_k per request.
@@ -228,7 +228,7 @@ def answer(
     sources = resolved.filter(F.col("status") == "resolved").select("query_id", "source_id")
     found = _results(
         filtered_similar(
-            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes or DENSE_SIZES, search=search
+            sources.join(similarity.select("query_id", "intent", "top_k"), "query_id"), movies, vectors, sizes=sizes or POOL_SIZES, search=search
         ),
         wanted,
         "hybrid_score",

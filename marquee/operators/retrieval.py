@@ -17,9 +17,10 @@ _SCHEMA = (
     "score_key double, similarity_key double, vote_count double"
 )
 _COLUMNS = [field.split()[0] for field in _SCHEMA.split(", ")]
-#: Dense vectors are short rows: larger blocks send fewer copies of them, and fewer finds of each query. A query sends k finds for
-#: each item block, which is more than its vector: item blocks are the larger ones.
-DENSE_SIZES = BlockSizes(query_rows=8192, item_rows=65536)
+#: Dense vectors are short rows: larger blocks send fewer copies of them, and fewer finds of each query.
+DENSE_SIZES = BlockSizes(query_rows=8192, item_rows=16384)
+#: For pools of fifty and more: a query sends its whole pool for each item block, which is far more than its vector.
+POOL_SIZES = BlockSizes(query_rows=8192, item_rows=65536)
 #: Items whose best score stands for them all where a bound of the k-th score is sought.
 RUN = 64
 #: Keys are rounded scores: one that reaches a rounded score differs from it by less than this.

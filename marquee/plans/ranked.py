@@ -322,7 +322,7 @@ maxima AS (SELECT coalesce(nullif(max(ln(1 + vote_count)), 0), 1.0::DOUBLE) AS b
 def _pool(spark, sf, pool=50):
     shown = movies(spark, sf)
     indexed = vectors(spark, sf).join(never_broadcast(shown.select("id", "vote_count")), "id")
-    pairs = retrieval.nearest_dense(_all_queries(spark, sf), indexed, pool)
+    pairs = retrieval.nearest_dense(_all_queries(spark, sf), indexed, pool, sizes=retrieval.POOL_SIZES)
     return shown, pairs.drop("vote_count").join(never_broadcast(shown), "id")
 
 

@@ -222,11 +222,11 @@ def test_a_block_gives_what_ordering_all_its_scores_gives(weight, own):
         assert got["score_key"].tolist() == pytest.approx(key[want].tolist(), abs=1.1e-6)
 
 
-def test_a_query_of_dense_vectors_sends_its_finds_once_for_65536_items(spark):
+def test_a_pool_is_sent_once_for_65536_items(spark):
     from marquee.operators.blocks import _gridded
 
     items = spark.range(20000).select("id", F.lit(0.0).alias("vote_count"), F.lit(0.0).alias("own"), F.array(F.rand(1), F.rand(2)).alias("vector"))
     queries = items.filter("id < 3").select(F.col("id").alias("query_id"), F.col("id").alias("source_id"), "vector")
     kernel = retrieval._dense_kernel(4, 1.0)
-    found = _gridded(queries, items, kernel, retrieval._SCHEMA, retrieval.ORDER, 4, "query_id", "id", [], retrieval.DENSE_SIZES)
+    found = _gridded(queries, items, kernel, retrieval._SCHEMA, retrieval.ORDER, 4, "query_id", "id", [], retrieval.POOL_SIZES)
     assert found.count() == 3 * 4
