@@ -165,7 +165,10 @@ def _word_weights(train: DataFrame) -> dict[int, float]:
 def _fit(rows: DataFrame, column: str, weights: dict[int, float] | None, reg: float) -> LogisticRegressionModel:
     rows = _weighed(rows, column, weights)
     learner = LogisticRegression(featuresCol="__x", labelCol="label", weightCol="weight", maxIter=20, regParam=reg, standardization=False)
-    return learner.fit(rows)
+    model = learner.fit(rows)
+    # The summary of the training holds the session, which tasks cannot be sent once it has observed a write.
+    model._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def _regression(rows: list, inputs: int) -> list[float]:

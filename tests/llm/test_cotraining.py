@@ -133,3 +133,17 @@ def test_beginnings_of_words(spark):
     view = {r.id: set(map(int, r.text_view.indices)) for r in cotraining.with_features(docs, "doc_id", "text", "source", "lang", "n_chars").collect()}
     shared = lambda a, b: len({i for i in view[a] & view[b] if i >= cotraining.MEASURES})
     assert shared(1, 2) == 1 and shared(0, 3) == 2
+
+
+def test_a_view_scores_after_the_session_has_observed_a_frame(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    data = [(Vectors.dense([float(i % 2), float(i)]), float(i % 2), 1.0) for i in range(8)]
+    rows = spark.createDataFrame(data, ["x", "label", "weight"])
+    model = cotraining._fit(rows, "x", None, 0.1)
+    odds = {r.label: r.x_odds for r in cotraining.View("x", model).scored(rows).collect()}
+    assert odds[1.0] > odds[0.0]
