@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,25 @@ def test_an_index_is_opened_again(spark, index):
     assert results(again.nearest(few, 3, 2)) == results(built.nearest(few, 3, 2))
 
 
+def test_a_query_is_sent_once_per_bundle_and_not_per_part(index):
+    df, built, _ = index
+    bundles = built._bundles(200)
+    assert sorted(p for b in bundles for p in b) == list(range(len(built.parts))) and len(bundles) < len(built.parts) / 2
+    assert all(built.parts["n"].to_numpy()[b].sum() <= 200 for b in bundles)
+    assert built._sent(asked(df), built._probing(1000), bundles).count() == 602 * len(bundles)
+    # what leaves the tasks before the last cut: k rows a bundle at most
+    sizes = BlockSizes(query_rows=1000, item_rows=200)
+    plan = plan_of(built._visit(asked(df), built._probing(1000), 5, (), sizes))
+    assert "bundle" in plan and results(built.nearest_exact(asked(df), 5, sizes=sizes)) == results(retrieval.nearest_dense(asked(df), df, 5))
+
+
+def test_a_query_meets_the_places_of_its_bits_only():
+    items = pd.DataFrame({"id": range(6), "vote_count": 0.0, "own": 0.0, "vector": [[1.0, float(i)] for i in range(6)], "place": [0, 0, 1, 1, 2, 2]})
+    queries = pd.DataFrame({"query_id": [7, 8], "source_id": [7, 8], "vector": [[1.0, 0.0]] * 2, "bits": [bytes([0b01000000]), bytes([0b10100000])]})
+    found = retrieval._visiting_kernel(3)(queries, items)
+    assert {q: list(rows["id"]) for q, rows in found.groupby("query_id")} == {7: [2, 3], 8: [0, 1, 4]}
+
+
 def test_null_vectors_and_no_vectors(spark, tmp_path):
     some = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, None, 0.0), (3, [1.0, 1.0], 0.0)], VECTORS)
     built = cells.CellIndex.build(some, f"{tmp_path}/some")
