@@ -20,7 +20,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.columns import long_table, mean
+from marquee.functions.columns import long_table, mean, never_broadcast
 from marquee.functions.strings import STOP_WORDS, tokens
 from marquee.operators.dedupe import top_per_key
 
@@ -295,9 +295,10 @@ def mean_terms(weights: DataFrame, members: DataFrame, key: str = "cluster_id",
     """Top terms of given groups by mean weight over all their members.
 
     ``weights``: id, term, weight; ``members``: id, key. The sum per (group,
-    term) is the group's centre up to its size, so the order is the centre's.
+    term) is the group's centre up to its size, so the order is the centre's. Weights are rows per
+    document and term, which the planner judges by the texts they were made from: they are never sent.
     """
-    sums = weights.join(members, "id").groupBy(key, "term").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    sums = never_broadcast(weights).join(members, "id").groupBy(key, "term").agg(F.round(F.sum("weight"), 6).alias("weight"))
     return _joined_terms(top_per_key(sums, [key], [F.desc("weight"), F.asc("term")], n), key)
 
 

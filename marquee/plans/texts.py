@@ -354,7 +354,7 @@ def g18(spark, sf):
 
 def _labelled(spark, sf):
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id"))
-    return movies(spark, sf).join(labels, "id")
+    return never_broadcast(movies(spark, sf)).join(labels, "id")
 
 
 @query(

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import is_few, rows_of
-from marquee.operators import evaluation as ev, postings, retrieval, titles
+from marquee.operators import evaluation as ev, postings, retrieval, text_models, titles
 from marquee.operators.blocks import BlockSizes
 from marquee.operators.cells import CellIndex
 from marquee.plans import served, storage, testbed
@@ -56,6 +56,15 @@ def test_tables_that_grow_are_not_broadcast(spark):
     assert sorted(r.key for r in hits.collect()) == ["abc", "bcd"]
 
 
+def test_weights_of_terms_are_not_broadcast(spark):
+    documents = spark.createDataFrame([(i, ["a", "b"][: 1 + i % 2]) for i in range(6)], "id bigint, tokens array<string>")
+    weights = text_models.term_counts(documents).withColumnRenamed("tf", "weight")
+    terms = text_models.mean_terms(weights, documents.select("id", (F.col("id") % 2).alias("cluster_id")))
+    assert "strategy=merge" in _optimized(terms)
+    assert "Broadcast" not in terms._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, terms.collect())) == [(0, "a"), (1, "a | b")]
+
+
 def test_sales_bring_a_part_together_before_sets_are_collected(spark):
     rows = [(p, 1, n, str(n), "F", n, 0.1, 1.0, 2.0) for p in range(300) for n in (1, 2)]
     lineitem = spark.createDataFrame(
