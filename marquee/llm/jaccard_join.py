@@ -13,6 +13,9 @@ both sides: each such choice is a signature, a commutative hash of its elements.
 choice without elements would sign unrelated sets alike; it is left out unless
 so many parts of a set are affected that the argument above would need it.
 
+Signatures are made and grouped in ``SIGNATURE_SLICES`` slices of their values, one after the other, as they are the largest shuffle;
+of signatures with the same members one is kept. Tables that are not read again are removed.
+
 Classes that share a signature are not paired with each other. First each is
 compared with the smallest class of the signature; links make components. Then members outside its
 component are compared with the class that has most links so far, most often the original
@@ -29,14 +32,15 @@ gives an empty result; other columns pass through :func:`one_per_group` unchange
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm.components import components
-from marquee.llm.shared import small_batches, written
+from marquee.llm.shared import dropped, small_batches, written
 from marquee.llm.textblocks import (
     LOWER, SPACES, binary16, distinct_per_text, mixed, row_blocks, shingle_hashes, text_bytes, word_hashes, word_spans,
 )
@@ -47,6 +51,9 @@ _ROW = ("__row1", "__row2")
 SKETCH, LOOSE_SKETCH, LOOSE = 4, 16, 90
 #: Text bytes whose shingles and signatures lie in a task's memory together.
 BLOCK = 1 << 20
+#: Slices of the texts, and of their signatures, of which one is shuffled at a time. Each slice of signatures makes all
+#: of them anew, which costs time; two need no more disk than the sets do later.
+SLICES, SIGNATURE_SLICES = 4, 2
 #: Rounds in which the members of a signature are compared with the one that has most links, before all that is left is.
 HUB_ROUNDS = 3
 #: Members of a signature that are compared with each other at a time.
@@ -163,11 +170,15 @@ def _set_digests(words: int, longs: int):
     return run
 
 
-def _signed(words: int, percent: int):
+def _signed(words: int, percent: int, number: int):
+    """Signatures of one slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches, "text", BLOCK):
             hashes, text = sets_of(block.column("text"), words)
             sig, owner = signatures(hashes, text, block.num_rows, percent)
+            mine = sig % np.uint64(SIGNATURE_SLICES) == number
+            sig, owner = sig[mine], owner[mine]
             ids = block.column("class").to_numpy(zero_copy_only=False)
             for start in range(0, len(sig), 200_000):
                 part = slice(start, start + 200_000)
@@ -196,6 +207,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * union).select("u", "v").distinct()
 
 
+def _slice(number: int) -> Column:
+    return F.pmod(F.col(_ROW[0]), F.lit(SLICES)) == number
+
+
+def _in_slices(of: Callable[[int], DataFrame], slices: int) -> DataFrame:
+    """All slices, each written before the next one is shuffled."""
+    return reduce(DataFrame.unionByName, [written(of(i)) for i in range(slices)])
+
+
+def _grouped(signed: DataFrame) -> DataFrame:
+    """The classes ``v`` of signatures that more than one has, with the smallest, ``u``, and two hashes of all members."""
+    by = _by("sig")
+    hashes = (F.bit_xor(F.xxhash64(F.lit(i), "class")).over(by).alias(f"members{i}") for i in (1, 2))
+    group = F.min("class").over(by).alias("u"), F.max("class").over(by).alias("top"), F.count("*").over(by).alias("members"), *hashes
+    return signed.select("sig", F.col("class").alias("v"), *group).filter("u < top").drop("top")
+
+
+def _one_per_members(groups: DataFrame) -> DataFrame:
+    """(sig, u, v) of one signature for each set of members: near copies share most of their signatures."""
+    first = groups.groupBy("members", "members1", "members2").agg(F.min("sig").alias("sig"))
+    return groups.join(first.select("sig"), "sig", "left_semi").select("sig", "u", "v")
+
+
 def _near(percent: int, a: str, b: str) -> Column:
     """Whether size and parity sketches of two sets allow a link: never false for linked sets."""
     total = F.col(f"{a}n") + F.col(f"{b}n")
@@ -228,6 +262,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     # Few rows a batch, as a row holds two packs.
     with small_batches(members.sparkSession, 256):
         found = written(packs.select("a", F.col("a").alias("b")).unionByName(pairs).mapInArrow(_close_pairs(percent), "u bigint, v bigint"))
+    dropped(packs)
     return found.distinct()
 
 
@@ -274,16 +309,17 @@ def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int)
         .agg(F.min("id").alias("least_id"), F.min(_rank()).alias("best"), F.min(F.struct(*_ROW)).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .select(F.monotonically_increasing_id().alias("class"), "set_key", "least_id", "best", "row.*", "n", "sketch")
     )
-    texts = rows.select(*_ROW, "text").join(classes.select("class", *_ROW), list(_ROW)).select("class", "text")
-
-    signed = texts.mapInArrow(_signed(words, percent), "sig bigint, class bigint")
-    group = F.min("class").over(_by("sig")).alias("u"), F.max("class").over(_by("sig")).alias("top")
+    first, all_texts = classes.select("class", *_ROW), rows.select(*_ROW, "text")
+    texts = _in_slices(lambda i: all_texts.filter(_slice(i)).join(first.filter(_slice(i)), list(_ROW)).select("class", "text"), SLICES)
     with small_batches(documents.sparkSession):
-        shared = written(signed.select("sig", F.col("class").alias("v"), *group).filter("u < top").select("sig", "u", "v"))
+        every = _in_slices(lambda i: _grouped(texts.mapInArrow(_signed(words, percent, i), "sig bigint, class bigint")), SIGNATURE_SLICES)
+    shared = written(_one_per_members(every))
+    dropped(every)
 
     wanted = shared.select(F.col("v").alias("class")).distinct()
     with small_batches(documents.sparkSession):
         sets = written(texts.join(wanted, "class", "left_semi").mapInArrow(_set_rows(words), "class bigint, elements array<bigint>"))
+    dropped(texts)
     meta = classes.join(wanted, "class", "left_semi").select("class", "n", "sketch")
 
     def about(c: str) -> DataFrame:
@@ -315,6 +351,7 @@ def _judged(documents: DataFrame, key: str, text: str, words: int, percent: int)
     if not more.isEmpty():
         stars_done = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
         parts = written(components(stars_done.unionByName(more)))
+    dropped(sets, shared)
 
     named = classes.select("class", "set_key", "least_id", "best").join(parts.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))

@@ -55,6 +55,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of :func:`written`, or unions of them, that nothing reads any more."""
+    for table in tables:
+        session = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(session._jvm.java.net.URI(folder))
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """``df`` written in buckets of ``key``: joins on it inside the block don't shuffle it again."""

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from itertools import combinations
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marquee.llm import jaccard_join
+from marquee.llm import jaccard_join, shared
 from marquee.llm.components import components
 
 
@@ -158,3 +159,22 @@ def test_packs_let_every_close_pair_through(percent):
         if (100 + percent) * apart <= (100 - percent) * 80:
             want.add((a["node"], b["node"]))
     assert got == want and want
+
+
+def test_one_signature_stands_for_all_of_the_same_members(spark):
+    groups = [(s, 1, v) for s in (10, 11, 12) for v in (1, 2, 3)] + [(13, 1, v) for v in (1, 2)] + [(14, 4, 4)]
+    signed = spark.createDataFrame([(s, v) for s, _, v in groups], "sig bigint, class bigint")
+    kept = jaccard_join._one_per_members(jaccard_join._grouped(signed)).collect()
+    assert sorted(map(tuple, kept)) == [(10, 1, 1), (10, 1, 2), (10, 1, 3), (13, 1, 1), (13, 1, 2)]
+
+
+def test_signatures_come_in_slices_and_tables_are_removed(spark, make_documents, monkeypatch):
+    texts = pa.RecordBatch.from_pydict({"class": [1, 2], "text": near_copies(3)[-12:-10]})
+    slices = [{s for b in jaccard_join._signed(3, 80, i)(iter([texts])) for s in b.column("sig").to_pylist()} for i in range(jaccard_join.SIGNATURE_SLICES)]
+    whole, _ = jaccard_join.signatures(*jaccard_join.sets_of(texts.column("text"), 3), 2, 80)
+    assert sum(map(len, slices)) == len(set().union(*slices)) == len(set(whole.tolist()))
+    gone = []
+    monkeypatch.setattr(jaccard_join, "dropped", lambda *tables: gone.extend(f for t in tables for f in t.inputFiles()) or shared.dropped(*tables))
+    found = jaccard_join.set_components(make_documents(near_copies(5)))
+    assert found.count() == len(near_copies(5))
+    assert gone and not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in gone)
