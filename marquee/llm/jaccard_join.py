@@ -52,7 +52,7 @@ SKETCH, LOOSE_SKETCH, LOOSE = 4, 16, 90
 #: Text bytes whose shingles and signatures lie in a task's memory together.
 BLOCK = 1 << 20
 #: Slices of the texts, and of their signatures, of which one is shuffled at a time. Each slice of signatures makes all
-#: of them anew, which costs time; two need no more disk than the sets do later.
+#: of them anew, which costs time.
 SLICES, SIGNATURE_SLICES = 4, 2
 #: Rounds in which the members of a signature are compared with the one that has most links, before all that is left is.
 HUB_ROUNDS = 3
